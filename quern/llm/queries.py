@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import quality, secretscan, toxicity
+from quern.llm import packing, quality, secretscan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tokenizer() -> dict[str, str]:
+    """The tokenizer's file, and the same vocabulary as ranks."""
+    import public_tokenizers
+
+    return {"tokenizer_file": public_tokenizers.path("byte_bpe_50k.json"), "ranks_file": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), **tokenizer())
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -23,5 +34,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op9_secrets, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_packing, op9_secrets, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import packing, quality, secretscan, toxicity
+from quern.llm import packing, quality, secretscan, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,52 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer())
 
 
+#: (verdict, host and path)
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a page's path is its document's, whose quality label marks the page."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    marks = labels.groupBy(F.col("doc_id").alias("number")).agg((F.min("quality") == 0).alias("bad")).where("bad IS NOT NULL")
+    numbered = pages.select("url", F.expr("try_cast(regexp_extract(url, '^.*?://[^/?#]*/[^?#]*?([0-9]+)', 1) AS BIGINT)").alias("number"))
+    labelled = numbered.join(marks, "number").select("url", "bad")
+    return urlfilter.judge(pages, labelled, URL_RULES)
+
+
+OP4_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path,
+         coalesce(regexp_extract(url, '^.*?://[^?#]*(.*)$', 1, 's'), '') AS tail,
+         try_cast(regexp_extract(url, '^.*?://[^/?#]*/[^?#]*?([0-9]+)', 1) AS BIGINT) AS number
+  FROM pages),
+worded AS (
+  SELECT *, list_distinct(list_concat(list_concat(
+      list_transform(list_filter(string_split(host, '.'), lambda w: w <> ''), lambda w: 'h:' || w),
+      list_transform(list_filter(list_transform(regexp_split_to_array(path, '[/.]'), lambda w: regexp_replace(w, '[0-9]+', '#', 'g')), lambda w: w <> ''), lambda w: 'p:' || w)),
+      list_transform(list_filter(list_transform(regexp_split_to_array(tail, '[?&#]'), lambda w: regexp_extract(w, '^([^=]*)', 1)), lambda w: w <> ''), lambda w: 'q:' || w))) AS words
+  FROM parts),
+marks AS (SELECT doc_id AS number, min(quality) = 0 AS bad FROM labels GROUP BY 1 HAVING min(quality) IS NOT NULL),
+baskets AS (SELECT row_number() OVER () AS b, words, bad FROM worded JOIN marks USING (number)),
+least AS (SELECT greatest(20, ceil(0.002 * count(*))) AS least FROM baskets),
+items AS (SELECT b, bad, unnest(words) AS w FROM baskets),
+counts AS (
+  SELECT [w] AS needed, sum(bad::INT) AS bad, count(*) AS n FROM items GROUP BY 1
+  UNION ALL SELECT [x.w, y.w], sum(x.bad::INT), count(*) FROM items x JOIN items y ON x.b = y.b AND x.w < y.w GROUP BY 1
+  UNION ALL SELECT [x.w, y.w, z.w], sum(x.bad::INT), count(*) FROM items x JOIN items y ON x.b = y.b AND x.w < y.w JOIN items z ON x.b = z.b AND y.w < z.w GROUP BY 1),
+mined AS (SELECT needed FROM counts, least WHERE bad >= least AND bad >= 0.5 * n),
+given(rule, verdict, rhost, rpath) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+best AS (
+  SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM (SELECT DISTINCT url, host, path FROM parts) JOIN given ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY 1)
+SELECT page_id, host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN EXISTS (SELECT 1 FROM mined WHERE list_has_all(words, needed)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM worded LEFT JOIN best ON worded.url = best.url
+"""
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -34,5 +81,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_packing, op9_secrets, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_packing, op4_url_filter, op9_secrets, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import packing, quality, secretscan, simhash, toxicity, urlfilter
+from quern.llm import packing, quality, repeats, secretscan, simhash, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ FROM worded LEFT JOIN best ON worded.url = best.url
 """
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -86,5 +90,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_packing, op4_url_filter, op6_simhash, op9_secrets, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_packing, op4_url_filter, op5_repeats, op6_simhash, op9_secrets, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL}

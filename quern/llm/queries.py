@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import packing, quality, repeats, secretscan, simhash, toxicity, urlfilter
+from quern.llm import decontam, packing, pii, quality, repeats, secretscan, simhash, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Of the surrogates; who runs this on real data sets a secret one.
+SURROGATE_KEY = b"quern surrogates"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogate_documents(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -90,5 +102,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_packing, op4_url_filter, op5_repeats, op6_simhash, op9_secrets, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_packing, op4_url_filter, op5_repeats, op6_simhash, op7_pii, op8_decontamination, op9_secrets, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL}

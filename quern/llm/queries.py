@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, packing, pii, quality, repeats, secretscan, simhash, toxicity, urlfilter
+from quern.llm import decontam, packing, pii, quality, repeats, secretscan, simhash, topk, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+OP1_SQL = """
+WITH bits AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS b FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+codes AS (SELECT id, array_to_string(b, '')::BIT AS code FROM bits),
+pairs AS (
+  SELECT q.id AS query_id, r.id AS neighbor_id, bit_count(xor(q.code, r.code)) AS distance
+  FROM codes q JOIN codes r ON q.id % 100 = 0 AND q.id <> r.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+SELECT query_id, neighbor_id, distance::BIGINT AS distance, rank FROM ranked WHERE rank <= 10
+"""
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -102,5 +117,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_packing, op4_url_filter, op5_repeats, op6_simhash, op7_pii, op8_decontamination, op9_secrets, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_packing, op4_url_filter, op5_repeats, op6_simhash, op7_pii, op8_decontamination, op9_secrets, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op4_url_filter": OP4_SQL}

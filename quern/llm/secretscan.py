@@ -121,8 +121,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
         counts[:, row["cell"]] = row["plain"], row["random"]
     if not counts[1].any():
         return np.zeros((N, N))
-    plain, random = (counts + [[0.05], [1.0]]).reshape(2, N, N)
-    return np.log(random / random.sum(axis=1, keepdims=True)) - np.log(plain / plain.sum(axis=1, keepdims=True))
+    plain, random = (_conditional(c.reshape(N, N)) for c in counts)
+    return np.log(random) - np.log(plain)
+
+
+def _conditional(counts: np.ndarray, weight: float = 2.0 * N) -> np.ndarray:
+    """Probability of the next character: pair counts, filled up by how common it is at all."""
+    common = counts.sum(axis=0) + 0.5
+    return (counts + weight * common / common.sum()) / (counts.sum(axis=1, keepdims=True) + weight)
 
 
 def scan(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", least: int = 16, threshold: float = 12.0) -> DataFrame:

@@ -32,19 +32,21 @@ def folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-def stem(token: Column | str, profile: Profile = MACEDONIAN) -> Column:
-    """At most one derivational, then one inflectional suffix, the first listed that fits."""
+def _suffixes(rules: tuple[tuple[str, int], ...]) -> tuple[str, str]:
+    """A pattern whose alternatives are the rules in order, and what is left of the token."""
+    groups: list[tuple[int, list[str]]] = []
+    for suffix, least in rules:
+        if groups and groups[-1][0] == least - len(suffix) and len(groups[-1][1][0]) == len(suffix):
+            groups[-1][1].append(suffix)
+        else:
+            groups.append((least - len(suffix), [suffix]))
+    pattern = "|".join(f"(.{{{n},}})(?:{'|'.join(ends)})" for n, ends in groups)
+    return f"^(?:{pattern})$", "".join(f"${i + 1}" for i in range(len(groups)))
 
-    def stripped(t: Column, rules: tuple[tuple[str, int], ...]) -> Column:
-        out = t
-        for suffix, least in reversed(rules):
-            out = F.when((F.char_length(t) >= least) & t.endswith(suffix), F.substring(t, F.lit(1), F.char_length(t) - len(suffix))).otherwise(out)
-        return out
 
-    t = col(token)
-    last = sorted({s[-1] for s, _ in (*profile.derivational, *profile.inflectional)})
-    # most tokens end in no suffix's letter and skip both chains
-    return F.when(F.right(t, F.lit(1)).isin(last), stripped(stripped(t, profile.derivational), profile.inflectional)).otherwise(t)
+def stem(token: Column | str, profile: Profile = MACEDONIAN) -> Column:
+    """At most one derivational, then one inflectional suffix, the first listed that fits."""
+    return F.regexp_replace(F.regexp_replace(col(token), *_suffixes(profile.derivational)), *_suffixes(profile.inflectional))
 
 
 def words(text: Column | str) -> Column:

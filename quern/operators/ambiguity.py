@@ -16,6 +16,7 @@ from quern.functions.text import collapse_dotted, content_words, intents, is_tar
 from quern.operators.context import differing_sections, universal_rows
 from quern.operators.ranking import batch
 from quern.profile import MACEDONIAN, Profile
+from quern.tables import stored
 
 SHORT = 5
 
@@ -85,14 +86,16 @@ def detect(queries: DataFrame, docs: DataFrame, blocks: DataFrame, profile: Prof
     All labelled forms are offered, sorted by label.
     """
     asked = queries.withColumn("intents", intents("query", profile))
-    differs = differing_sections(blocks, "id_service", "id_variation", "type", "content").select("id_service", "type")
-    universal = universal_rows(blocks, "id_service", "id_variation", "type", "content").select("id_service", "type", "content", F.lit(True).alias("universal"))
+    differs = stored(differing_sections(blocks, "id_service", "id_variation", "type", "content").select("id_service", "type"), "differs")
+    universal = stored(universal_rows(blocks, "id_service", "id_variation", "type", "content").select("id_service", "type", "content", F.lit(True).alias("universal")), "universal")
     own = docs.where("NOT injected AND id_variation IS NOT NULL AND variation_short_name IS NOT NULL").join(universal, ["id_service", "type", "content"], "left")
     clash = own.where("universal IS NULL").groupBy("query_id", "id_service", "type").agg(F.count_distinct("id_variation").alias("n")).where("n >= 2")
     first = docs.groupBy("query_id", "id_service").agg(F.min("rank").alias("rank"))
     clash = clash.join(asked.select("query_id", "intents"), "query_id").where(F.array_contains("intents", F.col("type"))).join(differs, ["id_service", "type"], "left_semi")
+    clash = stored(clash, "clash")
     evidence = clash.join(first, ["query_id", "id_service"]).groupBy("query_id").agg(F.min(F.struct("rank", "id_service"))["id_service"].alias("id_service"))
     evidence = evidence.join(clash, ["query_id", "id_service"]).groupBy("query_id", "id_service").agg(F.sort_array(F.collect_set("type")).alias("section_types")).withColumn("source", F.lit("evidence"))
+    evidence = stored(evidence, "evidence")
 
     votes = docs.where("id_variation IS NOT NULL").groupBy("query_id").agg(F.min_by("id_service", "rank").alias("id_service"))
     top = votes.join(asked.select("query_id", "query", F.get("intents", F.lit(0)).alias("type")), "query_id").where("type IS NOT NULL").join(differs, ["id_service", "type"], "left_semi")
@@ -101,7 +104,7 @@ def detect(queries: DataFrame, docs: DataFrame, blocks: DataFrame, profile: Prof
     exempt = (F.col("n") > 0) & ((F.col("n") == F.col("n_universal")) | ((F.col("n_universal") > 0) & is_targeted("query", profile)))
     structure = top.where(~exempt).select("query_id", "id_service", F.array("type").alias("section_types"), F.lit("structure").alias("source")).join(evidence, "query_id", "left_anti")
 
-    both = evidence.unionByName(structure)
+    both = stored(evidence.unionByName(structure), "open")
     both = both.join(_naming(queries, both.select("query_id", "id_service"), blocks, profile), ["query_id", "id_service"], "left_anti")
     offered = labels_of(blocks).groupBy("id_service").agg(F.array_sort(F.collect_list(F.struct("label", "id_variation"))).alias("variations"))
     return both.join(offered, "id_service").where(F.size("variations") >= 2).select("query_id", "id_service", "section_types", "variations", "source")

@@ -37,7 +37,7 @@ def announcement_search(decisions: DataFrame, queries: DataFrame) -> DataFrame:
         (~told("by_id") | (same_number("by_id") == same_number("id")))
         & (~told("by_name") | F.contains(norm_text("name"), F.col("by_name")))
         & (~told("by_type") | (norm_text("doc_type") == F.col("by_type")))
-        & (~told("by_date") | F.array_contains(F.transform("dates", printed_date), printed_date("by_date")))
+        & (~told("by_date") | F.array_contains(F.transform("dates", lambda d: printed_date(d)), printed_date("by_date")))
     )
     return decisions.join(asked, fits).drop("by_id", "by_name", "by_type", "by_date")
 

@@ -6,7 +6,6 @@ The vocabulary of these tables is Latin, so cues come from LATIN below.
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +17,7 @@ from quern.operators import answers, bm25, context, dense, dialog, gold, mainten
 from quern.profile import MACEDONIAN
 from quern.sources import corpus, crawl, directory, payloads
 from quern.streaming import flows
+from quern.tables import new_path, stored
 
 K = 10
 LATIN = replace(
@@ -136,7 +136,7 @@ def alias_rrf(spark, d):
     docs, items = table(spark, d, "documents"), _items(spark, d)
     wide = structured.expanded(items, profile=LATIN)
     more = wide.where(F.size("added") > 0).select("query_id", F.col("expanded").alias("query"))
-    first = bm25.search(docs, items, 30, digits=6)
+    first = stored(bm25.search(docs, items, 30, digits=6), "hits")
     second = bm25.search(docs, more, 30, digits=6)
     both = ranking.rrf([(first.join(more, "query_id", "left_semi"), 1.0), (second, 1.0)], K, digits=9)
     return _long(both.unionByName(first.join(more, "query_id", "left_anti").where(F.col("rank") <= K)), "rank")
@@ -149,8 +149,8 @@ def entity_rows(spark, d):
 
 def structured_rrf(spark, d):
     docs, items = table(spark, d, "documents"), _items(spark, d)
-    rows = structured.injected([structured.entity_rows(items, docs, "text", "doc_id", "doc_id")])
-    return _long(structured.fused(_hits(spark, d, 30), rows, K, digits=9), "rank")
+    rows = stored(structured.injected([structured.entity_rows(items, docs, "text", "doc_id", "doc_id")]), "rows")
+    return _long(structured.fused(stored(_hits(spark, d, 30), "hits"), rows, K, digits=9), "rank")
 
 
 def filtered_hits(spark, d):
@@ -169,7 +169,7 @@ def normalized_hits(spark, d):
 def attribution_votes(spark, d):
     """Whose question is it: the language by fused votes, the source by count."""
     blocks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source")
-    return _long(structured.attribution(_hits(spark, d, 30), blocks, owner="lang", variant="source"), "rank")
+    return _long(structured.attribution(stored(_hits(spark, d, 30), "hits"), blocks, owner="lang", variant="source"), "rank")
 
 
 def vote_top_per_group(spark, d):
@@ -408,10 +408,7 @@ def entity_index(spark, d):
 
 def stream_windows(spark, d):
     """Hourly counts by a stream of the events, run until all is read."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")).rstrip("/")
-    import uuid
-
-    at = f"{folder}/quern/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")  # a pattern may be a file or a folder
     counts = flows.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), width="1 day")

@@ -13,6 +13,7 @@ from quern.operators import bm25, dense, structured
 from quern.operators.context import differing_sections
 from quern.operators.ranking import rrf
 from quern.profile import MACEDONIAN, Profile
+from quern.tables import stored
 
 #: Rows that each arm gives before fusion, and the wrappers ask for.
 ARM_DEPTH, WRAP_DEPTH, OVERFETCH = 50, 30, 4
@@ -50,7 +51,7 @@ def aliased(inner: Retriever, profile: Profile = MACEDONIAN, depth: int = WRAP_D
     def run(queries: DataFrame, k: int) -> DataFrame:
         wide = structured.expanded(queries, profile=profile)
         more = wide.where(F.size("added") > 0).drop("query").withColumnRenamed("expanded", "query")
-        first, second = inner(queries, max(k, depth)), inner(more, max(k, depth))
+        first, second = stored(inner(queries, max(k, depth)), "hits"), inner(more, max(k, depth))
         both = rrf([(first.join(more, "query_id", "left_semi"), 1.0), (second, 1.0)], k)
         return both.unionByName(first.join(more, "query_id", "left_anti").where(F.col("rank") <= k))
 
@@ -62,15 +63,15 @@ def with_structure(inner: Retriever, corpus: Corpus, depth: int = WRAP_DEPTH) ->
 
     def run(queries: DataFrame, k: int) -> DataFrame:
         blocks, profile, most = corpus.rows, corpus.profile, structured.budget(k)
-        found = inner(queries, max(k, depth))
-        anchored = structured.anchored_services(queries, found, blocks, profile)
-        owner = structured.attribution(found, blocks, anchored)
+        found = stored(inner(queries, max(k, depth)), "hits")
+        anchored = stored(structured.anchored_services(queries, found, blocks, profile), "anchored")
+        owner = stored(structured.attribution(found, blocks, anchored), "owner")
         differs = differing_sections(blocks, "id_service", "id_variation", "type", "content")
-        rows = structured.injected([
+        rows = stored(structured.injected([
             structured.directory_rows(queries, blocks, most, profile),
             structured.entity_rows(queries, blocks, corpus.text_col, corpus.id_col, profile=profile),
             structured.section_rows(queries, owner.select("query_id", "id_service", "id_variation"), blocks, differs, most, profile),
-        ])
+        ]), "rows")
         return structured.fused(found, rows, k)
 
     return run

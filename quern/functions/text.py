@@ -46,7 +46,9 @@ def _suffixes(rules: tuple[tuple[str, int], ...]) -> tuple[str, str]:
 
 def stem(token: Column | str, profile: Profile = MACEDONIAN) -> Column:
     """At most one derivational, then one inflectional suffix, the first listed that fits."""
-    return F.regexp_replace(F.regexp_replace(col(token), *_suffixes(profile.derivational)), *_suffixes(profile.inflectional))
+    t, last = col(token), sorted({s[-1] for s, _ in (*profile.derivational, *profile.inflectional)})
+    cut = F.regexp_replace(F.regexp_replace(t, *_suffixes(profile.derivational)), *_suffixes(profile.inflectional))
+    return F.when(F.right(t, F.lit(1)).isin(last), cut).otherwise(t)  # most tokens end in no suffix's letter
 
 
 def words(text: Column | str) -> Column:

@@ -66,3 +66,13 @@ def test_stage_on_a_given_table(spark, sf):
     docs = table(spark, sf, "documents")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert sorted(r["doc_id"] for r in stage(spark, docs).collect()) == sorted(k for _, k, _ in plain_kept(rows))
+
+
+def test_one_row_stays_of_null_and_shared_ids(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text), (None, text), (None, text + " more"), (None, "other words"), (7, "some text here"), (7, "some text here"), (7, "a text apart")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in stage(spark, docs).collect()]
+    assert len(got) == 4 and {t for _, t in got} >= {"other words", "some text here", "a text apart"}
+    got = [tuple(r) for r in stage(spark, docs.unionByName(spark.createDataFrame([(3, text + " end")], docs.schema))).collect()]
+    assert len(got) == 4 and (3, text + " end") in got

@@ -194,8 +194,8 @@ def fit(column: pa.Array, toxic: np.ndarray, rounds: int = 10, least: int = 5, p
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 2500, **how) -> Chain:
     """Fit on a sample of at most max_docs labelled documents of each class.
 
-    The sample is dealt by a hash of the id; its texts meet in one task, which
-    the bound keeps small.  labels must hold the rows to learn from and no other.
+    The sample is dealt by a hash of the id; its texts alone meet in one task,
+    in a number that the bound keeps small; documents are read in many.  labels must hold the rows to learn from and no other.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     marks = marks.withColumn("h", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)))
@@ -208,7 +208,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = own.join(F.broadcast(picked), "id").select("id", "text", F.col("label").cast("long").alias("label"))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=None)
+        if not (got := list(batches)):
+            return
+        table = pa.Table.from_batches(got, schema=None)
         order = np.argsort(table.column("id").to_numpy(), kind="stable")
         table = table.take(order).combine_chunks()
         chain = fit(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()), table.column("label").to_numpy() > 0, **how)
@@ -219,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_pydict({"slot": slot.astype(np.int64), "value": value})
 
     flat = np.zeros(3 * SIZE + 8)
-    got = sample.coalesce(1).mapInArrow(one, "slot long, value double").toPandas()
+    got = sample.repartition(1).mapInArrow(one, "slot long, value double").toPandas()
     if not len(got):
         return fit(pa.array([], pa.string()), np.zeros(0, bool))
     flat[got["slot"].to_numpy()] = got["value"].to_numpy()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,12 +99,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of the surrogates; who runs this on real data sets a secret one.
-SURROGATE_KEY = b"quern surrogates"
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret in spark.quern.surrogateKey; a random one for this run alone where that is unset."""
+    own = spark.conf.get("spark.quern.surrogateKey", None)
+    return own.encode() if own else secrets.token_bytes(32)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogate_documents(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return pii.surrogate_documents(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,13 +271,19 @@ def test_links_of_crowded_cells_lose_no_class():
 # 7
 
 
-def test_surrogates_keep_type_format_and_identity(spark):
+KEYS = [b"key", b"a", b"zz", b"another key", b"\x00\x01"]
+
+
+@pytest.mark.parametrize("key", KEYS[:3])
+def test_surrogates_keep_type_format_and_identity(spark, key):
     values = ["joe.doe@mail.example.com", "Joe.Doe@mail.example.com", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111112", "10.1.2.3", "8.8.8.8", "+1 (202) 555-0143", "123-45-6789", "DE89 3704 0044 0532 0130 00"]
     texts = [(i, f"Der Text mit {v} darin, é und {v}.") for i, v in enumerate(values)] + [(20, "Mrs. Mary Smith met Mr John Smith."), (21, None), (22, ""), (None, "call 5 times 2020-01-02 and 3.14"), (23, "x" * 100_000 + " a@b.co")]
+    texts += [(30, "+44 20 1234 5678"), (31, "+442012345678"), (32, "10.0.0.1"), (33, "010.0.0.1"), (34, "Frau Anna Kovač kam. Anna Kovač, Kovač und Kovače gingen."), (35, "call +4915112345678"), (30, "+44 (0)20 1234 5678")]
     docs = made(spark, texts)
-    rows = {r["doc_id"]: r for r in pii.surrogate_documents(docs, b"key").collect()}
-    again = {r["doc_id"]: r["text"] for r in pii.surrogate_documents(docs, b"key").collect()}
-    assert {k: r["text"] for k, r in rows.items()} == again
+    rows = {(r["doc_id"], len(r["text"] or "")): r for r in pii.surrogate_documents(docs, key).collect()}
+    again = {(r["doc_id"], len(r["text"] or "")): r["text"] for r in pii.surrogate_documents(docs, key).collect()}
+    assert len(rows) == len(texts) and {k: r["text"] for k, r in rows.items()} == again
+    rows = {k: r for (k, _), r in sorted(rows.items(), key=lambda x: -x[0][1])}
     assert rows[21]["text"] is None and rows[22]["text"] == "" and rows[None]["text"] == "call 5 times 2020-01-02 and 3.14" and rows[23]["n_entities"] == 1
     new = {}
     for i, v in enumerate(values):
@@ -291,18 +297,45 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert pii.luhn(digits[:-1]) == int(digits[-1]) and pii.luhn(new[values[4]][:-1]) != int(new[values[4]][-1])
     assert new["10.1.2.3"].startswith("10.") and pii.entities(new[values[9]])[0][2] == "iban"
     m, j = re.match(r"Mrs\. (\S+) (\S+) met Mr (\S+) (\S+)\.", rows[20]["text"]).groups()[0::2], re.match(r"Mrs\. (\S+) (\S+) met Mr (\S+) (\S+)\.", rows[20]["text"]).groups()[1::2]
-    assert m[0] in pii.FEMALE and m[1] in pii.MALE and j[0] == j[1] != "Smith"
-
-
-def test_surrogates_are_permutations():
-    s = pii.Surrogates(b"k")
-    assert len({s.of("ssn", f"123-45-{i:04d}") for i in range(3000)}) == 3000
-    assert sorted(s._permuted("x", [a, b], [7, 5]) for a in range(7) for b in range(5)) == [[a, b] for a in range(7) for b in range(5)]
+    assert m[0] in pii.FEMALE and m[0] != "Mary" and m[1] in pii.MALE and m[1] != "John" and j[0] == j[1] != "Smith"
+    assert rows[30]["text"].replace(" ", "").replace("(0)", "") == rows[31]["text"] != "+442012345678"
+    assert rows[33]["text"] == "0" + rows[32]["text"] != "010.0.0.1"
+    first, last = re.match(r"Frau (\S+) (\S+) kam", rows[34]["text"]).groups()
+    assert rows[34]["text"] == f"Frau {first} {last} kam. {first} {last}, {last} und Kovače gingen." and first in pii.FEMALE and first != "Anna" and last != "Kovač"
+    assert rows[35]["entities"][0]["kind"] == "phone"
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_surrogates_are_injective_and_keep_nothing(key):
+    s, r = pii.Surrogates(key), random.Random(7)
+    made_up = {
+        "phone": [f"+{c} {n}" for c in ("1", "49", "351") for n in (r.randrange(10**7, 10**9) for _ in range(300))] + [f"(0{n % 100}) {n}" for n in (r.randrange(10**6, 10**7) for _ in range(300))],
+        "ip": [".".join(str(r.randrange(256)) for _ in range(4)) for _ in range(600)] + [f"10.0.0.{i}" for i in range(256)] + [f"172.{a}.0.{b}" for a in range(14, 34) for b in range(20)],
+        "name": [*pii.FEMALE, *pii.MALE, *(f"{a}{b}{c}" for a in "BKTŠ" for b in "aeiöé" for c in ("n", "rn", "t", "ša"))],
+        "email": [f"{a}{b}@x.org" for a in "abc1" for b in "xyz.2"],
+        "ssn": [f"123-45-{i:04d}" for i in range(2000)],
+        "card": [f"4{n:014d}{d}" for n in range(100) for d in range(10)],
+    }
+    for kind, values in made_up.items():
+        by_normal = {pii.normal(kind, v): pii.normal(kind, s.of(kind, v)) for v in values}
+        assert len(set(by_normal.values())) == len(by_normal), kind
+        assert all(a != b for a, b in by_normal.items()), kind
+    assert {x for n in pii.FEMALE for x in [s.part(n)]} == set(pii.FEMALE)
+    assert {pii.ip_class([*map(int, s.of("ip", f"{a}.{b}.1.1").split("."))]) for a, b in ((10, 0), (127, 0), (192, 168), (172, 16), (0, 1), (8, 8))} == set(range(6))
+
+
+def test_moves_are_permutations_without_fixed_points():
+    for key in KEYS:
+        s = pii.Surrogates(key)
+        for radices in ([7, 5], [30], [2, 3, 4], [70, 80]):
+            every = [list(x) for x in np.ndindex(*radices)]
+            moved = [s.moved("x", v, radices) for v in every]
+            assert sorted(moved) == every and all(a != b for a, b in zip(moved, every))
 
 
 def test_collisions_are_found(spark):
-    found = spark.createDataFrame([("a", "1", "x"), ("a", "2", "x"), ("b", "3", "y"), ("b", "3", "z")], "kind string, entity string, surrogate string")
-    assert sorted(r["what"] for r in pii.collisions(found).collect()) == ["merged", "split"]
+    found = spark.createDataFrame([("a", "1", "x"), ("a", "2", "x"), ("b", "3", "y"), ("b", "3", "z"), ("c", "4", "4")], "kind string, entity string, surrogate string")
+    assert sorted(r["what"] for r in pii.collisions(found).collect()) == ["kept", "merged", "split"]
 
 
 # 8

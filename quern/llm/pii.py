@@ -76,7 +76,7 @@ FORMATS = (
     ("name", re.compile(rf"(?:\b(?:{'|'.join(HONORIFICS)})\.? {_NAME}(?: {_NAME})?|\b(?:{_GIVEN}) {_NAME}){_EDGE}")),
 )
 _WORD = re.compile(rf"(?<![{_UPPER}{_LOWER}0-9_]){_NAME}{_EDGE}")
-_MARKS = tuple(h.encode() for h in (*HONORIFICS, *FEMALE, *MALE))
+_MARKS = re.compile(b"(?:" + b"|".join(h.encode() for h in (*HONORIFICS, *FEMALE, *MALE)) + b")[ .]")
 #: Values of at most so many kinds are moved along a keyed circle, others by a Feistel network.
 SMALL = 4096
 
@@ -326,12 +326,8 @@ def _worth_reading(column: pa.Array) -> np.ndarray:
     signs = np.concatenate([[0], np.cumsum(data == 64)])
     worth = (digits[at[1:]] - digits[at[:-1]] >= 4) | (signs[at[1:]] > signs[at[:-1]])
     raw = data.tobytes()
-    for mark in _MARKS:
-        i = raw.find(mark)
-        while i >= 0:
-            if raw[i + len(mark) : i + len(mark) + 1] in (b" ", b"."):
-                worth[min(n - 1, int(np.searchsorted(at, i, "right")) - 1)] = True
-            i = raw.find(mark, i + len(mark))
+    if len(hits := [m.start() for m in _MARKS.finditer(raw)]):
+        worth[np.minimum(n - 1, np.searchsorted(at, hits, "right") - 1)] = True
     return worth
 
 

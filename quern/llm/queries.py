@@ -73,13 +73,12 @@ worded AS (
   FROM parts),
 marks AS (SELECT doc_id AS number, min(quality) = 0 AS bad FROM labels GROUP BY 1 HAVING min(quality) IS NOT NULL),
 baskets AS (SELECT row_number() OVER () AS b, words, bad FROM worded JOIN marks USING (number)),
-least AS (SELECT greatest(20, ceil(0.002 * count(*))) AS least FROM baskets),
-items AS (SELECT b, bad, unnest(words) AS w FROM baskets),
-counts AS (
-  SELECT [w] AS needed, sum(bad::INT) AS bad, count(*) AS n FROM items GROUP BY 1
-  UNION ALL SELECT [x.w, y.w], sum(x.bad::INT), count(*) FROM items x JOIN items y ON x.b = y.b AND x.w < y.w GROUP BY 1
-  UNION ALL SELECT [x.w, y.w, z.w], sum(x.bad::INT), count(*) FROM items x JOIN items y ON x.b = y.b AND x.w < y.w JOIN items z ON x.b = z.b AND y.w < z.w GROUP BY 1),
-mined AS (SELECT needed FROM counts, least WHERE bad >= least AND bad >= 0.5 * n),
+whole AS (SELECT count(*) AS n_all, count(*) FILTER (bad) AS bad_all, greatest(3, ceil(0.02 * count(*) FILTER (bad))) AS least FROM baskets),
+masks AS (SELECT b, list_sort(words) AS w, unnest(generate_series(1, (2 ** len(words))::BIGINT - 1)) AS mask FROM baskets WHERE bad),
+subsets AS (SELECT list_filter(w, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS needed FROM masks),
+often AS (SELECT needed, count(*) AS hits FROM subsets GROUP BY 1 HAVING count(*) >= (SELECT least FROM whole)),
+counted AS (SELECT needed, hits, count(*) AS n FROM often JOIN baskets ON list_has_all(words, needed) GROUP BY 1, 2),
+mined AS (SELECT needed FROM counted, whole WHERE hits * n_all >= 1.5 * n * bad_all),
 given(rule, verdict, rhost, rpath) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
 best AS (
   SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict

@@ -1,8 +1,8 @@
 """URL filters: given rules by host and path, and rules mined from labels by FP-growth.
 
 Token combinations of labelled urls are mined together with the label.  Those
-that mean a bad page with enough support and confidence become rules; an inverted
-index from token to rules finds, for each url, the rules of which it holds all
+that mean a bad page with enough support, and more often than pages are bad at
+all, become rules; an inverted index from token to rules finds, for each url, the rules of which it holds all
 tokens.  The main path is built-in functions only.
 
 Defined results: a null url, or one without "://", has an empty host and path and
@@ -53,37 +53,46 @@ def given_rule(host_: Column, path_: Column, rules: list[tuple[str, str]]) -> tu
     return name, verdict
 
 
-def mine(urls: DataFrame, url_col: str, bad_col: str, support: float = 0.002, least: int = 20, confidence: float = 0.5, longest: int = 3) -> list[tuple[list[str], float]]:
-    """(tokens, confidence) of the rules that mean a bad page.
+def mine(urls: DataFrame, url_col: str, bad_col: str, support: float = 0.02, least: int = 3, lift: float = 1.5) -> list[tuple[list[str], int, int]]:
+    """(tokens, bad urls, urls) of the rules that mean a bad page.
 
-    A rule holds in at least max(least, support * urls) bad pages, so their number
-    is bounded by the tokens of a url over the support, not by the urls.
+    A rule holds in at least max(least, support * bad urls) bad urls, and its share
+    of bad ones, the confidence, is at least `lift` times the share among all.
+    Rules may have any number of tokens; those that a smaller rule implies are
+    left out, since they change no verdict.  The support is relative, so the
+    rules' number doesn't grow with the urls.
     """
-    baskets = urls.select(F.concat(tokens(F.col(url_col)), F.when(F.col(bad_col), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).persist()
-    n = baskets.count()
+    baskets = urls.select(F.concat(tokens(F.col(url_col)), F.when(F.col(bad_col), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"), F.col(bad_col).alias("bad")).persist()
     try:
-        if not n:
+        n, bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
+        count = max(least, math.ceil(support * bad))
+        if bad < count:
             return []
-        count = max(least, math.ceil(support * n))
-        if count > n:
-            return []
-        model = FPGrowth(itemsCol="items", minSupport=(count - 0.5) / n, minConfidence=confidence).fit(baskets)
-        rules = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.size("antecedent") <= longest))
-        return sorted((sorted(r["antecedent"]), r["confidence"]) for r in rules.select("antecedent", "confidence").collect())
+        model = FPGrowth(itemsCol="items", minSupport=(count - 0.5) / n, minConfidence=max(0.0, lift * bad / n - 1e-6)).fit(baskets.select("items"))
+        rules = model.associationRules.where(F.col("consequent")[0] == BAD).select("antecedent", "confidence", "support").collect()
     finally:
         baskets.unpersist()
-
-
-def holds_a_rule(words: Column, rules: list[tuple[list[str], float]]) -> Column:
+    found = [(sorted(r["antecedent"]), round(r["support"] * n), round(round(r["support"] * n) / r["confidence"])) for r in rules]
+    kept: list[tuple[list[str], int, int]] = []
+    sets: list[frozenset[str]] = []
+    for needed, hits, all_ in sorted(found, key=lambda r: (len(r[0]), r[0])):
+        own = frozenset(needed)
+        if hits >= count and hits * n >= lift * all_ * bad and not any(k < own for k in sets):
+            kept.append((needed, hits, all_))
+            sets.append(own)
+    return kept
+
+
+def holds_a_rule(words: Column, rules: list[tuple[list[str], int, int]]) -> Column:
     """Whether all tokens of a rule are among the words, by an index from token to rules."""
     if not rules:
         return F.lit(False)
     index: dict[str, list[int]] = {}
-    for k, (needed, _) in enumerate(rules):
+    for k, (needed, *_) in enumerate(rules):
         for word in needed:
             index.setdefault(word, []).append(k)
     lookup = F.map_from_arrays(F.array(*map(F.lit, index)), F.array(*[F.array(*map(F.lit, v)) for v in index.values()]))
-    sizes = F.array(*[F.lit(len(needed)) for needed, _ in rules])
+    sizes = F.array(*[F.lit(len(needed)) for needed, *_ in rules])
     found = F.flatten(F.transform(F.filter(words, lambda w: F.map_contains_key(lookup, w)), lambda w: lookup[w]))
     return F.exists(F.array_distinct(found), lambda r: F.size(F.filter(found, lambda x: x == r)) == F.get(sizes, r))
 

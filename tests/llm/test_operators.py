@@ -159,8 +159,27 @@ def test_url_parts_rules_and_mining(spark):
     ]
     assert urlfilter.judge(pages, labelled.limit(0), URL_RULES).where("verdict = 'block'").count() == 1
     assert urlfilter.judge(pages.limit(0), labelled, URL_RULES).count() == 0
-    mined = urlfilter.mine(labelled, "url", "bad")
-    assert mined and all("p:bad" in needed and confidence >= 0.5 for needed, confidence in mined)
+    assert urlfilter.mine(labelled, "url", "bad") == [(["p:bad"], 40, 40)]
+
+
+def test_mined_rules_equal_enumeration(spark):
+    """Rules of any length: only four tokens together mean a bad page."""
+    r = random.Random(1)
+    urls = []
+    for i in range(400):
+        picked = [w for w in "abcd" if r.random() < 0.7]
+        urls.append(("http://x.com/" + "/".join(picked), len(picked) == 4 and r.random() < 0.8))
+    sets = [({"h:x", "h:com", *(f"p:{c}" for c in u.split("/")[3:] if c)}, bad) for u, bad in urls]
+    words_ = sorted(set().union(*(s for s, _ in sets)))
+    n, bad = len(sets), sum(b for _, b in sets)
+    want: list[list[str]] = []
+    for mask in sorted(range(1, 1 << len(words_)), key=lambda m: bin(m).count("1")):
+        own = [w for i, w in enumerate(words_) if mask >> i & 1]
+        held = [b for s, b in sets if s.issuperset(own)]
+        if sum(held) >= max(3, -(-bad // 50)) and sum(held) * n >= 3.6 * len(held) * bad and not any(set(k) < set(own) for k in want):
+            want.append(own)
+    got = urlfilter.mine(spark.createDataFrame(urls, "url string, bad boolean"), "url", "bad", lift=3.6)
+    assert sorted(g[0] for g in got) == sorted(want) and max(map(len, want)) >= 4
 
 
 # 5

@@ -137,7 +137,7 @@ def test_cuts_are_the_cheapest(seed):
             n = e - before
             if n > 8:
                 return float("inf")
-            total += (0 if n in (8, 4) else 8 - n) + penalty[list(ends).index(e)]
+            total += (0 if n in (8, 4, 2, 1) else 8 - n) + penalty[list(ends).index(e)]
             before = e
         return total
 
@@ -145,6 +145,44 @@ def test_cuts_are_the_cheapest(seed):
     assert cost(packing.cuts(ends, penalty, 8)) == min(map(cost, every))
 
 
+def plain_cost(ends, penalties, length):
+    """Least cost by trying every window, and how the contract pads: not at a power of two."""
+    best = {0: 0.0}
+    for j, e in enumerate(ends):
+        best[e] = min(best[b] + (0 if (e - b) & (e - b - 1) == 0 else length - (e - b)) for b in best if 0 < e - b <= length) + penalties[j]
+    return best[ends[-1]]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cuts_in_blocks_are_the_cheapest_of_the_stream(seed):
+    """Blocks of any size give the least cost of the whole stream; inside cuts stand only in long sentences."""
+    encoder = packing.encoder_of(**tokenizer())
+    r = random.Random(seed)
+    sentence = lambda: " ".join(words(r.choice([2, 5, 9, 40]), r.random(), 90)) + r.choice([".", "!", ".\n", " 3.14 is it?"]) + " "
+    docs = [(i, np.append(encoder.ids("".join(sentence() for _ in range(r.choice([0, 1, 3, 8])))), np.uint32(0))) for i in range(60)]
+    length = 64
+    whole = np.concatenate([d for _, d in docs])
+    stop, at = encoder.sentence_ends(whole), np.cumsum([len(d) for _, d in docs])
+    stop[at - 1] = True
+    ends = np.flatnonzero(stop) + 1
+    kinds = np.isin(ends, at, invert=True).astype(np.int8)
+    ends, penalties, kinds = packing.with_hard_ends(ends, np.where(kinds == 0, 0.0, 4.0), kinds, length, 8, 12.0)
+    begin = np.concatenate([[0], np.flatnonzero(stop)[:-1] + 1])
+    assert all(any(b < h < e + 1 and e + 1 - b > length for b, e in zip(begin, np.flatnonzero(stop))) for h in ends[kinds == 2])
+    for block in (1, 7, 60):
+        stream = packing.Stream(encoder, length, 4.0, 12.0, 8, 10**9, 0)
+        out = []
+        for k in range(0, 60, block):
+            out += list(stream.take(docs[k : k + block], k + block >= 60))
+        sizes, cut = defaultdict(int), {}
+        for ids, start, n, crc, total, sequence, offset, what in out:
+            for q, size, w in zip(sequence.tolist(), n.tolist(), what.to_pylist()):
+                sizes[q] += size
+                cut[q] = w
+        cost = sum((0 if n & (n - 1) == 0 else length - n) + {"document": 0, "sentence": 4, "hard": 12}[cut[q]] for q, n in sizes.items())
+        assert cost == plain_cost(ends.tolist(), penalties.tolist(), length)
+
+
 # 4
 
 

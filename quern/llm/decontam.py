@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bytewords as bw
-from quern.llm.common import only, slices
-from quern.llm.toxicity import lowered
+from quern.llm.common import lowered, only, slices
 
 #: Benchmark text that goes to the tasks at once.
 BLOCK_BYTES = 16 << 20

@@ -487,6 +487,53 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(docs.limit(0), none).count() == 0
 
 
+def plain_marginals(score, first, t):
+    """Word after word, in extended range."""
+    p, log_z = [], 0.0
+    for a, b in zip(first[:-1], first[1:]):
+        if a == b:
+            continue
+        f = [np.array([0.0, score[a]])]
+        for i in range(a + 1, b):
+            f.append(np.array([np.logaddexp(f[-1][0] + t[0, k], f[-1][1] + t[1, k]) + (score[i] if k else 0) for k in (0, 1)]))
+        g = [np.zeros(2)]
+        for i in range(b - 1, a, -1):
+            g.append(np.array([np.logaddexp(t[j, 0] + g[-1][0], t[j, 1] + score[i] + g[-1][1]) for j in (0, 1)]))
+        z = np.logaddexp(*f[-1])
+        log_z += z
+        p += [np.exp(x[1] + y[1] - z) for x, y in zip(f, g[::-1])]
+    return np.array(p), log_z
+
+
+def test_long_chains_equal_word_after_word():
+    r = np.random.default_rng(8)
+    first = np.array([0, 700, 700, 701, 900, 964, 1093])
+    score, t = 4 * r.standard_normal(1093), 2 * r.standard_normal((2, 2))
+    p, pairs, log_z = toxicity.marginals(score, first, t)
+    want, want_z = plain_marginals(score, first, t)
+    assert np.allclose(p, want) and np.isclose(log_z, want_z) and np.isclose(pairs.sum(), 1093 - 5)
+
+
+def test_evidence_is_the_likeliest_tokens():
+    p = np.array([0.9, 0.1, 0.9, 0.5, 0.2, 0.2])
+    got = 1 / (1 + np.exp(-toxicity.evidence(p, np.array([0, 4, 4, 6]))))
+    assert np.allclose(got, [[0.9, 0.9, 0.5], [0, 0, 0], [0.2, 0.2, 0]], atol=1e-5)
+
+
+def test_gradient_equals_differences():
+    r = np.random.default_rng(9)
+    slots = r.integers(0, 30, (150, 3)).astype(np.int32)
+    f = toxicity.Likelihood(slots, np.array([0, 90, 90, 150]), r.random(150) < 0.3)
+    x = r.standard_normal(len(f.start()))
+    _, g = f(x)
+    for i in range(len(x)):
+        e = np.zeros(len(x))
+        e[i] = 1e-5
+        assert np.isclose((f(x + e)[0] - f(x - e)[0]) / 2e-5, g[i], atol=1e-4)
+    best = toxicity.climbed(f, f.start(), 500, 1e-6, flat=1e-12)
+    assert np.abs(f(best)[1]).max() < 1e-3 and f(best)[0] >= f(x)[0]
+
+
 def test_marginals_equal_enumeration():
     r = np.random.default_rng(6)
     score, t = r.standard_normal(9), r.standard_normal((2, 2))

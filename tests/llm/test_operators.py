@@ -460,9 +460,39 @@ def test_secret_spans_equal_plain_patterns(spark):
         assert [rows[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[1] == n for x in spans) for n in range(3)]
         assert base == "" or base in rows[i]["spans"]
     assert rows[7]["spans"] == f"markov:4:{4 + len(token)}"
+    assert all(x["n_markov"] == 0 for k, x in rows.items() if k != 7)
+    assert sum(x["n_base_found"] for k, x in rows.items() if k and k >= 100) >= 0.95 * sum(x["n_base_tokens"] for k, x in rows.items() if k and k >= 100) > 0
     assert secretscan.find_secrets(docs.limit(0)).count() == 0
 
 
+def plain_ratio(token, ratio):
+    code = [secretscan.ALPHABET.index(c) for c in token]
+    return max(sum(m[a, b] for a, b in zip(code, code[1:])) for m in ratio)
+
+
+def test_ratios_equal_sums_over_characters(spark):
+    ordinary = made(spark, [(i, " ".join(words(100, i, 900)) + " some_identifier configurationValue") for i in range(20)])
+    ratio = secretscan.train(ordinary)
+    tokens = ["a" * 16, "Zx9+/_=-Qw34", "ordinarywordshere", "0123456789abcdef0123"]
+    data = np.frombuffer(" ".join(tokens).encode(), np.uint8)
+    end = np.cumsum([len(x) + 1 for x in tokens]) - 1
+    got = secretscan.ratios(data, end - [len(x) for x in tokens], end, ratio)
+    assert np.allclose(got, [plain_ratio(x, ratio) for x in tokens])
+
+
+def test_very_many_secrets_in_one_text_take_linear_time(spark):
+    import time
+
+    def took(n):
+        docs = made(spark, [(0, " ".join(f"{i:016x}" for i in range(n)))])
+        began = time.time()
+        assert secretscan.scan(docs, np.zeros((1, secretscan.N, secretscan.N)), threshold=-1.0).select("n_base_found").first()[0] == n
+        return time.time() - began
+
+    took(10)
+    assert took(40_000) < 20
+
+
 # 10
 
 

@@ -22,7 +22,7 @@ NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BASES = [int(x) | 1 for x in _rng.integers(2**60, 2**63, 4, dtype=np.uint64)]
+_BASES = [int(x) | 1 for x in _rng.integers(2**60, 2**63, 12, dtype=np.uint64)]
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 _CHUNK = 1 << 21
 

@@ -224,27 +224,52 @@ def test_mined_rules_equal_enumeration(spark):
 
 
 def plain_repeats(texts, n=20):
+    """Documents in order of id (none last); rows that share one, or have none, by the text's hash, then place."""
     first, out = {}, []
-    order = sorted(range(len(texts)), key=lambda i: (texts[i][0] is None, texts[i][0] or 0))
-    split = [(t or "").encode().split() for _, t in texts]
+    split = [(x[1] or "").encode().split() for x in texts]
+    order = sorted(range(len(texts)), key=lambda i: (texts[i][0] is None, texts[i][0] or 0, texts[i][2] if len(texts[i]) > 2 else 0))
+    place = {i: k for k, i in enumerate(order)}
     for i in order:
-        key = texts[i][0] if texts[i][0] is not None else float("inf")
         for s in range(len(split[i]) - n + 1):
-            first.setdefault(b" ".join(split[i][s : s + n]), (key, s))
-    for i, (k, _) in enumerate(texts):
-        key, gone = k if k is not None else float("inf"), set()
+            first.setdefault(b" ".join(split[i][s : s + n]), (place[i], s))
+    for i, row in enumerate(texts):
+        gone = set()
         for s in range(len(split[i]) - n + 1):
-            if first[b" ".join(split[i][s : s + n])] != (key, s):
+            if first[b" ".join(split[i][s : s + n])] != (place[i], s):
                 gone.update(range(s, s + n))
         kept = b" ".join(w for j, w in enumerate(split[i]) if j not in gone)
-        out.append((k, len(split[i]), len(gone), hashlib.sha256(kept).hexdigest()))
+        out.append((row[0], len(split[i]), len(gone), hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=str)
 
 
+def told(spark, texts):
+    """With the hash that orders rows of one id."""
+    from pyspark.sql import functions as F
+
+    hashes = {r[0]: r[1] for r in made(spark, texts).select("text", F.xxhash64("text")).collect()}
+    return [(i, t, hashes[t]) for i, t in texts]
+
+
+@pytest.mark.parametrize("ids", [(1, 2, 2), (None, None, None), (1, None, None), (3, 3, 3)])
+def test_rows_that_share_an_id_are_documents_of_their_own(spark, ids):
+    w, v = " ".join(words(30, 20, 4000)), " ".join(words(30, 21, 4000))
+    texts = [(ids[0], w), (ids[1], w + " zz"), (ids[2], v), (ids[2], v)]
+    got = sorted((tuple(r) for r in repeats.remove_repeats(made(spark, texts).repartition(2)).collect()), key=str)
+    assert got == plain_repeats(told(spark, texts)) and sum(r[2] for r in got) == 60
+
+
+def test_equal_hashes_of_different_words_are_noticed(spark, monkeypatch):
+    """With hashes that can't tell words apart the comparison of words fails, and the run ends."""
+    texts = [(i, " ".join(words(40, i, 4000))) for i in range(4)]
+    monkeypatch.setattr(repeats, "_without_repeats", lambda docs, *a: (docs, spark.createDataFrame([(1, 2, 3, b"a"), (1, 2, 3, b"b")], "first long, first_start int, windows int, proof binary")))
+    with pytest.raises(ArithmeticError):
+        repeats.remove_repeats(made(spark, texts))
+
+
 def test_repeats_equal_brute_force(spark, mixed):
     docs, texts = mixed
     got = repeats.remove_repeats(docs.repartition(3)).collect()
-    assert sorted((tuple(r) for r in got), key=str) == plain_repeats(texts)
+    assert sorted((tuple(r) for r in got), key=str) == plain_repeats(told(spark, texts))
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -1,10 +1,10 @@
 """Exact top-k search on binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into four segments of 16; each segment has a table of
-its values.  Round s probes, for each segment, the table at all values that
-differ from the query's in exactly s bits.  After round s every code within
-distance 4 (s + 1) - 1 has been met in some segment, so a query with k rows
-verified within that distance is done; the others go on.  A code is verified
+A code is cut into m segments of 16 bits, four for each 64 components; each
+segment has a table of its values.  Round s probes, for each segment, the table at
+all values that differ from the query's in exactly s bits.  After round s every
+code within distance m (s + 1) - 1 has been met in some segment, so a query with
+k rows verified within that distance is done; the others go on.  A code is verified
 once: in the round and at the segment where its least segment distance shows.
 
 The codes are dealt to tasks, each of which searches its own tables; the k best
@@ -30,8 +30,7 @@ from pyspark.sql.window import Window
 
 from quern.llm.common import stored
 
-BITS, SEGMENTS = 64, 4
-WIDTH = BITS // SEGMENTS
+BITS, WIDTH = 64, 16
 U = np.uint64
 #: Values of a segment by their number of bits.
 MASKS = [np.flatnonzero(np.bitwise_count(np.arange(1 << WIDTH)) == s) for s in range(WIDTH + 1)]
@@ -40,19 +39,31 @@ QUERY_BLOCK, TABLE_CODES = 1_000_000, 250_000
 _TOGETHER = 32
 
 
-def sign_code(vector: str, dims: int = BITS) -> Column:
-    """Bit i is set where component i is above zero; missing components are not."""
-    bits = [F.when(F.get(F.col(vector), F.lit(i)) > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(dims)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+def sign_code(vector: str, dims: int) -> Column:
+    """As longs: bit i is set where component i is above zero; missing components are not."""
+
+    def long(first: int) -> Column:
+        bits = [F.when(F.get(F.col(vector), F.lit(first + i)) > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(min(BITS, dims - first))]
+        return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+    return F.array(*[long(i) for i in range(0, dims, BITS)])
 
 
 def codes(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, code) by the signs of all components, up to those of the longest vector."""
     own = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
-    return own.select(F.col(id_col).cast("long").alias("id"), sign_code(vector_col).alias("code")).groupBy("id").agg(F.min("code").alias("code"))
+    dims = max(own.agg(F.max(F.size(vector_col))).first()[0] or 0, 1)
+    return own.select(F.col(id_col).cast("long").alias("id"), sign_code(vector_col, dims).alias("code")).groupBy("id").agg(F.min("code").alias("code"))
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Codes of a column, a row each."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1)
 
 
 def _segments(x: np.ndarray) -> np.ndarray:
-    return np.stack([((x >> U(WIDTH * j)) & U((1 << WIDTH) - 1)).astype(np.int64) for j in range(SEGMENTS)])
+    return np.stack([((x[:, w] >> U(j)) & U((1 << WIDTH) - 1)).astype(np.int64) for w in range(x.shape[1]) for j in range(0, BITS, WIDTH)])
 
 
 class Tables:
@@ -79,7 +90,7 @@ class Tables:
             if i != j:
                 bits = np.bitwise_count(part)
                 new &= bits > s if i < j else bits >= s
-        return query[new], code[new], np.bitwise_count(apart[new]).astype(np.int64)
+        return query[new], code[new], np.bitwise_count(apart[new]).sum(axis=1, dtype=np.int64)
 
     def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, code, distance): the k + 1 nearest codes of each, smaller ids first among equals."""
@@ -88,7 +99,7 @@ class Tables:
         for s in range(WIDTH + 1):
             own = queries[active]
             parts = _segments(own)
-            met = [self.probed(own, parts, s, j) for j in range(SEGMENTS)]
+            met = [self.probed(own, parts, s, j) for j in range(len(parts))]
             query, code, distance = (np.concatenate([h, *m]) for h, m in zip(held, zip(*((active[q], c, d) for q, c, d in met))))
             order = np.lexsort((self.first_id[code], distance, query))
             query, code, distance = query[order], code[order], distance[order]
@@ -96,7 +107,7 @@ class Tables:
             place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
             keep = place <= k
             query, code, distance = query[keep], code[keep], distance[keep]
-            covered = distance <= SEGMENTS * (s + 1) - 1
+            covered = distance <= len(parts) * (s + 1) - 1
             rows = np.bincount(query[covered], self.n_ids[code[covered]], minlength=len(queries))
             done = rows[active] > k if s < WIDTH else np.ones(len(active), bool)
             ready = np.isin(query, active[done])
@@ -122,25 +133,25 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10, query_block: int =
         asked = own.select("id", "code").orderBy("id").toArrow()
         if not asked.num_rows:
             continue
-        shared = spark.sparkContext.broadcast((asked.column("id").to_numpy(), asked.column("code").to_numpy().view(np.uint64)))
+        shared = spark.sparkContext.broadcast((asked.column("id").to_numpy(), _numbers(asked.column("code"))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             got = [b for b in batches if b.num_rows]
             if not got:
                 return
-            code, first_id, n_ids = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(3))
-            tables = Tables(code.view(np.uint64), first_id, n_ids)
+            first_id, n_ids = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (1, 2))
+            tables = Tables(np.concatenate([_numbers(b.column(0)) for b in got]), first_id, n_ids)
             ids, wanted = shared.value
             for i in range(0, len(ids), _TOGETHER):
                 query, found, distance = tables.nearest(wanted[i : i + _TOGETHER], k)
-                yield pa.RecordBatch.from_pydict({"query_id": ids[i : i + _TOGETHER][query], "code": code[found], "first_id": first_id[found], "distance": distance})
+                yield pa.RecordBatch.from_pydict({"query_id": ids[i : i + _TOGETHER][query], "first_id": first_id[found], "distance": distance})
 
-        parts.append(dealt.mapInArrow(run, "query_id long, code long, first_id long, distance long"))
+        parts.append(dealt.mapInArrow(run, "query_id long, first_id long, distance long"))
     if not parts:
         return spark.createDataFrame([], "query_id long, neighbor_id long, distance long, rank long")
     nearest = Window.partitionBy("query_id").orderBy("distance", "first_id")
     best = reduce(DataFrame.unionByName, parts).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1)
-    rows = best.join(index, "code").select("query_id", F.explode("ids").alias("neighbor_id"), "distance").where("query_id <> neighbor_id")
+    rows = best.join(index.select(F.col("ids")[0].alias("first_id"), "ids"), "first_id").select("query_id", F.explode("ids").alias("neighbor_id"), "distance").where("query_id <> neighbor_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "neighbor_id", "distance", "rank")
 

@@ -2,10 +2,12 @@
 
 A fingerprint's 32 segments of two bits are mapped to their bit counts.  The
 Manhattan distance of two such vectors is at most the Hamming distance of the
-fingerprints, so it bounds it from below.  Within distance r, of r + 3 bands of
-segments at least three are equal: these bands are the coordinates of grid cells,
-and fingerprints meet in the cells of all choices of three bands.  In a cell the
-Manhattan bound is tested first and the Hamming distance verifies exactly.
+fingerprints, so it bounds it from below.  Within distance r, of r + t bands of
+segments at least t are equal: these bands are the coordinates of grid cells, and
+fingerprints meet in the cells of all choices of t bands.  t is three or more, so
+many that a cell holds few of the distinct fingerprints however many there are.
+In a cell the Manhattan bound is tested first and the Hamming distance verifies
+exactly.
 
 Copies are joined before: only distinct fingerprints enter the grid.  A cell
 emits a spanning forest of its links, never all pairs, since only classes are
@@ -72,10 +74,21 @@ def embedded(fps: np.ndarray) -> np.ndarray:
     return (low | high) | ((low & high) << U(1))
 
 
-def band_masks(radius: int) -> list[np.uint64]:
-    """Masks of three bands at a time, of radius + 3."""
-    bands = [U(sum(3 << (2 * k) for k in part.tolist())) for part in np.array_split(np.arange(32), radius + 3)]
-    return [a | b | c for a, b, c in combinations(bands, 3)]
+def bands_equal(distinct: int, radius: int, most: int = 8, crowd: float = 4.0) -> int:
+    """How many of radius + t bands must be equal: the fewest that leave cells of at most `crowd` on average.
+
+    The bit count of a segment holds 1.5 bits.
+    """
+    for t in range(3, most):
+        if distinct <= crowd * 2 ** (1.5 * 32 * t / (radius + t)):
+            return t
+    return most
+
+
+def band_masks(radius: int, t: int = 3) -> list[np.uint64]:
+    """Masks of t bands at a time, of radius + t."""
+    bands = [U(sum(3 << (2 * k) for k in part.tolist())) for part in np.array_split(np.arange(32), radius + t)]
+    return [U(sum(map(int, some))) for some in combinations(bands, t)]
 
 
 def links_in(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -130,8 +143,9 @@ def _links(cell: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
 def near_links(distinct: DataFrame, radius: int = 4, rows_a_task: int = 2_000_000) -> DataFrame:
     """(u, v) links that span the classes of the distinct fingerprints fp within the radius."""
     spark = distinct.sparkSession
-    masks = band_masks(radius)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * len(masks) // rows_a_task))
+    number = distinct.count()
+    masks = band_masks(radius, bands_equal(number, radius))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-number * len(masks) // rows_a_task))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,13 +165,20 @@ def near_links(distinct: DataFrame, radius: int = 4, rows_a_task: int = 2_000_00
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id of the class."""
+    """(id, fp, component_id): component_id is the smallest id of the class.
+
+    Links tie nodes that carry their smallest id, null last, so the smallest node
+    of a class tells its component_id, and nothing is gathered by class.
+    """
     prints = stored(fingerprints(docs, id_col, text_col, width), "prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    roots = components(near_links(distinct, radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stored(rooted.join(least, "root").select("fp", "component_id"), "classes")
+    node = F.struct(F.col("first").isNull().alias("last"), "first", "fp")
+    links = near_links(distinct, radius)
+    for end in "uv":
+        links = links.join(distinct.select(F.col("fp").alias(end), node.alias(f"{end}_node")), end)
+    roots = components(links.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))).select("node.fp", F.col("root.first").alias("component_id"), F.lit(True).alias("linked"))
+    own = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first"))
+    classes = stored(distinct.join(roots, "fp", "left").select("fp", own.alias("component_id")), "classes")
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

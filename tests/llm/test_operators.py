@@ -40,13 +40,14 @@ def mixed(spark):
 # 1
 
 
-def test_topk_equals_brute_force(spark):
+@pytest.mark.parametrize("dims", [64, 128, 70, 5])
+def test_topk_equals_brute_force(spark, dims):
     r = np.random.default_rng(1)
-    v = r.standard_normal((900, 64))
+    v = r.standard_normal((900, dims))
     v[100:400] = v[100]  # one very common vector
-    rows = [(i, [float(x) for x in v[i]]) for i in range(900)] + [(901, None), (None, [1.0])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=7, every=100).collect()
-    code = {i: sum(1 << b for b in range(64) if v[i][b] > 0) for i in range(900)}
+    rows = [(i, [float(x) for x in v[i]], i, [9]) for i in range(900)] + [(901, None, 1, [9]), (None, [1.0], 1, [9]), (5, [float(x) for x in v[5]], 1, [9])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, code array<long>"), k=7, every=100).collect()
+    code = {i: sum(1 << b for b in range(dims) if v[i][b] > 0) for i in range(900)}
     for q in range(0, 900, 100):
         want = sorted((bin(code[q] ^ code[i]).count("1"), i) for i in range(900) if i != q)[:7]
         assert [(r["distance"], r["neighbor_id"]) for r in sorted((x for x in got if x["query_id"] == q), key=lambda x: x["rank"])] == want
@@ -325,6 +326,21 @@ def test_near_duplicates_equal_brute_force(spark, mixed):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("t", [3, 4, 5])
+def test_fingerprints_within_the_radius_share_a_cell(t):
+    """Whatever bits differ, some choice of t bands has equal bit counts."""
+    r = random.Random(t)
+    masks = simhash.band_masks(4, t)
+    for _ in range(2000):
+        a = r.getrandbits(64)
+        b = a
+        for bit in r.sample(range(64), r.randint(0, 4)):
+            b ^= 1 << bit
+        x, y = simhash.embedded(np.array([a, b], np.uint64))
+        assert any(x & m == y & m for m in masks)
+    assert [simhash.bands_equal(n, 4) for n in (10, 10**6, 10**8, 10**9, 10**11)] == sorted(simhash.bands_equal(n, 4) for n in (10, 10**6, 10**8, 10**9, 10**11))
+
+
 def test_links_of_crowded_cells_lose_no_class():
     r = np.random.default_rng(5)
     centres = r.integers(0, 2**63, 4).astype(np.uint64)

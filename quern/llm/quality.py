@@ -120,10 +120,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x = statistics(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    own = picked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    rows = own.mapInArrow(measure, f"id {own.schema['id'].dataType.simpleString()}, x array<double>").join(picked(marks), "id").select("x", "y").persist()
+    # the picked labels, about max_rows at most, go to the documents, so that only labelled texts are measured
+    own = picked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).join(F.broadcast(picked(marks)), "id")
+    rows = own.select("y", "text").mapInArrow(measure, "y double, x array<double>").select("x", "y").persist()
     k, rng = len(STATISTICS), np.random.default_rng(seed)
     directions = rng.standard_normal((k, waves)) / (width * np.sqrt(k))
     phases = rng.uniform(0, 2 * np.pi, waves)

@@ -73,6 +73,34 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([r["predicted"] == int(r["doc_id"] < 300) for r in held]) > 0.97
 
 
+def test_quality_model_equals_plain_sums(spark):
+    """Standardised statistics, waves, ridge weights, pools and scores, all in one place."""
+    texts = [" ".join(words(20 + i % 50, i, 3000)) + "." * (i % 3) for i in range(150)] + [f"A{i}!! x " * (3 + i % 9) for i in range(60)] + ["", "é ß"]
+    docs = made(spark, [*enumerate(texts), (900, "not labelled")]).repartition(3)
+    y = np.array([float(i < 150) if i % 17 else float(i >= 150) for i in range(len(texts))])
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = quality.train(docs, labels, waves=32, bins=50)
+    import pyarrow as pa
+
+    x = np.stack([quality.statistics(pa.array([t]))[0] for t in texts])
+    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    assert np.allclose(model.mean, mean) and np.allclose(model.spread, spread)
+    z = np.array([[*(np.sqrt(2 / 32) * np.cos(np.clip((v - mean) / spread, -6, 6) @ model.directions + model.phases)), 1.0] for v in x])
+    want = np.linalg.solve(sum(np.outer(v, v) for v in z) + 1e-3 * len(y) / 32 * np.eye(33), sum(v * t for v, t in zip(z, y)))
+    assert np.allclose(model.weights, want, atol=1e-6)
+    ridge = np.clip(z @ want, -0.5, 1.5)
+    bins = defaultdict(list)
+    for r, t in sorted(zip(ridge, y)):
+        bins[int(np.floor(r * 50))].append((r, t))
+    pools = [[sum(r for r, _ in b), sum(t for _, t in b), len(b)] for _, b in sorted(bins.items())]
+    while any(a[1] / a[2] >= b[1] / b[2] for a, b in zip(pools, pools[1:])):
+        k = next(i for i, (a, b) in enumerate(zip(pools, pools[1:])) if a[1] / a[2] >= b[1] / b[2])
+        pools[k : k + 2] = [[p + q for p, q in zip(pools[k], pools[k + 1])]]
+    assert np.allclose(model.knots, [a / n for a, _, n in pools], atol=1e-6) and np.allclose(model.values, [b / n for _, b, n in pools])
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, model).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], np.clip(np.interp(z @ want, model.knots, model.values), 0, 1), atol=1e-6)
+
+
 def test_quality_without_labels(spark):
     docs = made(spark, [(0, "a"), (1, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -452,6 +480,13 @@ def test_reordered_passages_are_found(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_very_long_texts_are_tiled(spark):
+    item = words(30, 13, 5000)
+    docs = made(spark, [(0, " ".join(words(200_000, 14, 5000) + item + words(50_000, 15, 5000))), (1, "w1 " * 300_000)])
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "w1 " * 40)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()} >= {(0, 1), (1, 2)}
+
+
 def plain_tiles(d, q, least):
     used_d, used_q, out = set(), set(), []
     while True:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,6 +32,27 @@ def folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+@lru_cache(maxsize=1)
+def _changeable() -> str:
+    """A pattern of characters that NFKC may change or join to the one before them.
+
+    It is a few long ranges that are safe, negated: a pattern of many short ranges
+    is slow.  What is outside them goes to Python, changed or not.
+    """
+    joined = {int(p[1], 16) for c in range(0x80, 0x3100) if len(p := unicodedata.decomposition(chr(c)).split()) == 2 and p[0][0] != "<"}
+    safe = [c < 0x80 or not (c in joined or unicodedata.combining(chr(c))) and unicodedata.is_normalized("NFKC", chr(c)) for c in range(0x2100)]
+    edges = [i for i in range(1, len(safe)) if safe[i] != safe[i - 1]]
+    runs = [(a, b - 1) for a, b in zip([0, *edges], [*edges, len(safe)]) if safe[a] and (b - a >= 16 or b < 0x100)]
+    usual = [r for r in runs if r[0] < 0x530 or 0x2000 <= r[0]]
+    return "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in usual) + "]"
+
+
+def normal(text: Column | str) -> Column:
+    """NFKC and lower case; only texts with a character that NFKC could change go through Python."""
+    t = col(text)
+    return F.coalesce(normalized(F.when(t.rlike(_changeable()), t)), F.lower(t))
+
+
 def _suffixes(rules: tuple[tuple[str, int], ...]) -> tuple[str, str]:
     """A pattern whose alternatives are the rules in order, and what is left of the token."""
     groups: list[tuple[int, list[str]]] = []
@@ -51,21 +72,30 @@ def stem(token: Column | str, profile: Profile = MACEDONIAN) -> Column:
     return F.when(F.right(t, F.lit(1)).isin(last), cut).otherwise(t)  # most tokens end in no suffix's letter
 
 
-def words(text: Column | str) -> Column:
-    """Tokens of normal, lower-case text, function words included."""
-    return F.regexp_extract_all(F.coalesce(F.lower(col(text)), F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
+def words(text: Column | str, is_normal: bool = False) -> Column:
+    """Tokens of the normal, lower-case text, function words included.
+
+    A text that is in normal form already needs no Python, as in join conditions.
+    """
+    t = F.lower(col(text)) if is_normal else normal(text)
+    return F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def content_words(text: Column | str, profile: Profile = MACEDONIAN) -> Column:
+def content_words(text: Column | str, profile: Profile = MACEDONIAN, is_normal: bool = False) -> Column:
     """Tokens without function words, before stemming."""
-    return F.filter(words(text), lambda w: ~w.isin(list(profile.stopwords)))
+    return F.filter(words(text, is_normal), lambda w: ~w.isin(list(profile.stopwords)))
 
 
-def tokens(text: Column | str, profile: Profile = MACEDONIAN, do_stem: bool = True) -> Column:
-    own = content_words(text, profile)
+def tokens(text: Column | str, profile: Profile = MACEDONIAN, do_stem: bool = True, is_normal: bool = False) -> Column:
+    own = content_words(text, profile, is_normal)
     return F.transform(own, lambda w: stem(w, profile)) if do_stem else own
 
 
+def distinct_tokens(text: Column | str, profile: Profile = MACEDONIAN) -> Column:
+    """Each stem once; words are made distinct first, so that few are stemmed."""
+    return F.array_distinct(F.transform(F.array_distinct(content_words(text, profile)), lambda w: stem(w, profile)))
+
+
 def any_of(text: Column, needles: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles], F.lit(False))
 
@@ -77,7 +107,7 @@ def starts_word(text: Column, cues: tuple[str, ...]) -> Column:
 
 def intents(text: Column | str, profile: Profile = MACEDONIAN, top_only: bool = False) -> Column:
     """Section types asked about, in order of precedence."""
-    t = F.lower(col(text))
+    t = normal(text)
     found = F.filter(F.array(*[F.when(starts_word(t, cues), F.lit(kind)) for kind, cues in profile.intents.items()]), lambda x: x.isNotNull())
     return F.slice(found, 1, 1) if top_only else found
 
@@ -95,7 +125,7 @@ def is_followup(text: Column | str, profile: Profile = MACEDONIAN) -> Column:
         (F.size(w) <= 3)
         | F.get(w, F.lit(0)).isin(list(profile.openers))
         | F.arrays_overlap(w, F.array(*map(F.lit, profile.anaphors)))
-        | any_of(F.lower(col(text)), profile.continuations)
+        | any_of(normal(text), profile.continuations)
     )
 
 

@@ -46,8 +46,8 @@ def names_form(query: Column, names: Column, label: Column, profile: Profile = M
         plain = F.array_join(F.regexp_extract_all(low, F.lit("(?U)(\\w+)"), F.lit(1)), " ")
         return F.when(F.char_length(low) <= SHORT, F.contains(padded, F.concat(F.lit(" "), plain, F.lit(" ")))).otherwise(F.contains(q, low))
 
-    head = stem(F.get(content_words(label, profile), F.lit(0)), profile)
-    return F.exists(names, hit) | ((F.char_length(label) > SHORT) & (F.char_length(head) >= 4) & F.array_contains(tokens(q, profile), head))
+    head = stem(F.get(content_words(label, profile, is_normal=True), F.lit(0)), profile)
+    return F.exists(names, hit) | ((F.char_length(label) > SHORT) & (F.char_length(head) >= 4) & F.array_contains(tokens(q, profile, is_normal=True), head))
 
 
 def legal_forms(blocks: DataFrame, profile: Profile = MACEDONIAN) -> DataFrame:

@@ -1,13 +1,11 @@
-"""Payloads of services: the guard, tolerant reading, tables that describe themselves, and blocks."""
+"""Payloads of services: the guard, tolerant reading, and tables that describe themselves."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quern.functions.text import any_of, col
-from quern.profile import MACEDONIAN, Profile
 
 # They decide results and are stated as given.
 WAF_MARKERS = ("access denied", "signature id", "request rejected", "request unsuccessful", "blocked", "<html")
@@ -94,42 +92,3 @@ def row_text(cells: Column) -> Column:
     """title: value of the cells that aren't empty; a zero is shown."""
     shown = F.filter(cells, lambda c: c["value"].isNotNull() & (c["value"] != "") & ~c["title"].startswith("_"))
     return F.array_join(F.transform(shown, lambda c: F.concat_ws(": ", c["title"], c["value"])), " | ")
-
-
-def display_name(name: Column | str, variation: Column | str) -> Column:
-    """The service's name, with the variation's unless it is in it already."""
-    n, v = F.coalesce(col(name), F.lit("")), F.coalesce(col(variation), F.lit(""))
-    return F.when((v == "") | F.contains(F.lower(n), F.lower(v)), n).otherwise(F.concat_ws(" - ", n, v))
-
-
-def section_blocks(records: DataFrame, section: str, shared: bool = False, profile: Profile = MACEDONIAN) -> DataFrame:
-    """One block a row of a section; numbers count rows before empty ones are dropped.
-
-    records are (id_service, id_variation, service_name, variation_short_name, and
-    the section's table as JSON text).
-    """
-    label = profile.labels.get(section, section)
-    rows = records.select("id_service", "id_variation", "service_name", "variation_short_name", F.posexplode(decoded(section)).alias("i", "cells"))
-    prefix = F.concat(F.lit("srv_"), F.col("id_service").cast("string"), F.lit("_shared_") if shared else F.concat(F.lit("_v"), F.coalesce(F.col("id_variation"), F.lit(0)).cast("string"), F.lit("_")))
-    context = F.concat(F.lit("Услуга: "), display_name("service_name", F.lit("") if shared else "variation_short_name"), F.lit(f" | {label}"))
-    made = rows.select(F.concat(prefix, F.lit(f"{section}_"), (F.col("i") + 1).cast("string")).alias("chunk_id"), F.lit(section).alias("type"), (F.col("i") + 1).alias("row"), "id_service", F.lit(None).cast("long").alias("id_variation") if shared else F.col("id_variation"), "service_name", "variation_short_name", context.alias("context"), row_text(F.col("cells")).alias("content"))
-    return made.where("content <> ''").withColumn("embedding_text", F.concat_ws("\n", "context", "content"))
-
-
-def first_variations(records: DataFrame) -> DataFrame:
-    """Of files for one (service, variation), the first by path."""
-    order = Window.partitionBy("id_service", "id_variation").orderBy("path")
-    return records.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-
-
-def build_corpus(records: DataFrame, profile: Profile = MACEDONIAN) -> DataFrame:
-    """All blocks: shared sections once a service, from its base record, else from its first variation."""
-    first = first_variations(records)
-    order = Window.partitionBy("id_service").orderBy(F.coalesce(F.col("id_variation"), F.lit(0)) > 0, F.when(F.coalesce(F.col("id_variation"), F.lit(0)) == 0, F.col("path")).desc_nulls_last(), "path")
-    base = records.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-    held = [s for s in (*SHARED_SECTIONS, *VARIATION_SECTIONS) if s in records.columns]
-    parts = [section_blocks(base if s in SHARED_SECTIONS else first, s, s in SHARED_SECTIONS, profile) for s in held]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

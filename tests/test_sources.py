@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import answers, dialog, gold, maintenance, tools
-from quern.sources import corpus, crawl, directory, payloads
+from quern.sources import corpus, crawl, directory, payloads, services
 from quern.streaming import flows
 
 
@@ -28,12 +28,31 @@ def test_tables_describe_themselves(spark):
     assert text == ["Такса: 0", "Такса: free | c: y", "Такса: 12.5 | b: x"] and len(first) == 3
 
 
-def test_blocks_of_services(spark):
-    t = lambda *rows: json.dumps({"Columns": [{"Column": "k", "Title": "K", "Format": "String"}], "Data": [{"k": r} for r in rows]})
-    records = spark.createDataFrame([("p2", 1, 10, "Упис", "АД", t("a", "", "b"), t("базен")), ("p3", 1, 10, "Упис", "АД", t("later"), None), ("p1", 1, 11, "Упис на АД", "АД", t("c"), t("друг")), ("p0", 1, None, "Упис", None, None, t("основа"))], "path string, id_service int, id_variation int, service_name string, variation_short_name string, process string, terminology string")
-    got = {r["chunk_id"]: r for r in payloads.build_corpus(records).collect()}
-    assert set(got) == {"srv_1_v10_process_1", "srv_1_v10_process_3", "srv_1_v11_process_1", "srv_1_shared_terminology_1"}
-    assert got["srv_1_shared_terminology_1"]["content"] == "K: основа" and got["srv_1_v11_process_1"]["context"] == "Услуга: Упис на АД | Постапка"
+def test_corpus_of_payloads(spark):
+    """Names, access, order of questions, siblings, the standalone service, first and last files, and the skip report."""
+    t = lambda *v: {"Columns": [{"Column": "c", "Title": "K", "Format": "String"}], "Data": [{"c": x, "Order": i} for i, x in enumerate(v)]}
+    one = {"idService": 1, "name": "wrong", "serviceName": " Упис ", "isOnline": True}
+    files = [
+        ("b_1.json", {**one, "terminology": t("старо")}), ("b_2.json", {**one, "serviceDescription": "<p>За <b>упис</b></p>", "terminology": json.dumps(t("основа")), "faQs": [{"question": "Б?", "answer": "2", "orderQ": 5}, {"question": "А?", "answer": "<i>1</i>"}, {"question": ""}]}),
+        ("v_1.json", {**one, "idServiceVariation": 10, "variationShortName": "АД", "onlineURL": "https://x/", "paymentMethods": [{"name": " картичка "}, {"name": "каса"}], "process": t("a", "", 0)}), ("v_2.json", {**one, "idServiceVariation": 10, "process": t("later")}),
+        ("v_3.json", {"idService": 2, "idServiceVariation": 7, "serviceName": "Промена на АД", "variationShortName": "АД", "legalBasis": "Закон", "process": t("в")}), ("w.json", {"idService": 3, "serviceShortName": "Кратко", "process": t("x"), "legalBasis": "Член"}),
+    ]
+    rows = [(p, json.dumps(x)) for p, x in files] + [("waf.json", "<html>Request Rejected</html>"), ("none.json", " "), ("half.json", json.dumps({"idService": 4, "process": t("y")})[1:])]
+    blocks, skipped = services.build_corpus(spark.createDataFrame(rows, "path string, text string"))
+    got = {r["chunk_id"]: r for r in blocks.collect()}
+    assert {k: r["content"] for k, r in got.items()} == {
+        "srv_1_shared_description": "За упис", "srv_1_shared_terminology_1": "K: основа", "srv_1_shared_faq_1": "Прашање: А?\nОдговор: 1", "srv_1_shared_faq_2": "Прашање: Б?\nОдговор: 2",
+        "srv_1_v10_access": "Услугата е достапна онлајн: https://x/\nНачини на плаќање: картичка; каса", "srv_1_v10_process_1": "K: a", "srv_1_v10_process_3": "K: 0",
+        "srv_2_shared_legalBasis": "Закон", "srv_2_v7_process_1": "K: в", "srv_3_v0_process_1": "K: x", "srv_3_v0_legalBasis": "Член", "srv_4_v0_process_1": "K: y",
+    }
+    assert got["srv_1_v10_process_1"]["context"] == "Услуга: Упис — АД | Постапка" and got["srv_2_v7_process_1"]["context"] == "Услуга: Промена на АД | Постапка"
+    assert got["srv_3_v0_process_1"]["context"] == "Услуга: Кратко | Постапка" and got["srv_4_v0_process_1"]["context"] == "Услуга: услуга 4 | Постапка"
+    assert got["srv_1_shared_description"]["applies_to_variations"] == [10] and got["srv_1_v10_access"]["online_url"] == "https://x/"
+    assert {(r["path"], r["kind"]) for r in skipped.collect()} == {("waf.json", "waf"), ("none.json", "empty")}
+    told = {(r["measure"], r["key"]): r["n"] for r in services.summary(blocks, skipped).collect()}
+    assert told["blocks", ""] == 12 and told["variations", ""] == 2 and told["scope", "service"] == 5 and told["skipped", "waf"] == 1
+    lists = spark.createDataFrame([("a/doo_2024.csv",), ("a/doo_2025.csv",), ("b/ad_1.csv",), ("c/other.csv",)], "path string")
+    assert {(r["prefix"], r["path"]) for r in services.newest(lists, ("doo_", "ad_")).collect()} == {("doo_", "a/doo_2025.csv"), ("ad_", "b/ad_1.csv")}
 
 
 def test_directories(spark):

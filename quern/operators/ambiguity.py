@@ -7,12 +7,10 @@ variation_short_name, content); blocks the same without rank.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import collapse_dotted, content_words, intents, is_targeted, stem, tokens
+from quern.functions.text import any_of, collapse_dotted, content_words, intents, is_targeted, normal, stem, tokens
 from quern.operators.context import differing_sections, universal_rows
 from quern.operators.ranking import batch
 from quern.profile import MACEDONIAN, Profile
@@ -27,13 +25,60 @@ def labels_of(blocks: DataFrame) -> DataFrame:
     return named.groupBy("id_service", "id_variation").agg(F.min("variation_short_name").alias("label"))
 
 
-def with_synonyms(labels: DataFrame, profile: Profile = MACEDONIAN) -> DataFrame:
-    """labels with names: the label, its comma parts and what users type for it."""
+#: Fixed value: how the corpus defines an abbreviation.
+GLOSSARY = r"^Термин:\s*(.+?)\s*\(\s*([А-ШЀ-ӿA-Z][А-ШЀ-ӿA-Z0-9]{1,7})\s*\)\s*\|"
+
+
+def abbreviations(blocks: DataFrame) -> DataFrame:
+    """(abbreviation, term) that terminology blocks (pos, type, content) define; the first by pos wins."""
+    own = blocks.where("type = 'terminology'").select("pos", F.regexp_extract("content", GLOSSARY, 2).alias("abbreviation"), F.trim(F.regexp_replace(F.regexp_extract("content", GLOSSARY, 1), r"\s+", " ")).alias("term"))
+    return own.where("abbreviation <> ''").groupBy("abbreviation").agg(F.min_by("term", "pos").alias("term"))
+
+
+def synonyms(label: Column, term: Column, profile: Profile = MACEDONIAN) -> Column:
+    """What users type for a label: its written-out term, then the profile's words; each once by its normal form, not the label."""
     known = F.lit(None).cast("array<string>")
-    for label, words in profile.form_synonyms.items():
-        known = F.when(F.col("label") == label, F.array(*map(F.lit, words))).otherwise(known)
+    for name, words in profile.form_synonyms.items():
+        known = F.when(F.trim(label) == name, F.array(*map(F.lit, words))).otherwise(known)
+    none = F.array().cast("array<string>")
+    every = F.concat(F.when(term.isNotNull(), F.array(term)).otherwise(none), F.coalesce(known, none))
+    placed = F.transform(every, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x")))
+    return F.transform(F.filter(placed, lambda p: (p["k"] != F.lower(label)) & ~F.exists(F.slice(placed, F.lit(1), p["i"]), lambda q: q["k"] == p["k"])), lambda p: p["x"])
+
+
+def with_synonyms(labels: DataFrame, profile: Profile = MACEDONIAN, glossary: DataFrame | None = None) -> DataFrame:
+    """labels with names: the label, its comma parts and what users type for it, the glossary's terms included."""
+    if glossary is not None:
+        labels = labels.join(glossary.withColumnRenamed("abbreviation", "label"), "label", "left")
     parts = F.filter(F.transform(F.split("label", ","), lambda p: F.trim(p)), lambda p: F.char_length(p) > 1)
-    return labels.withColumn("names", F.array_distinct(F.concat(F.array("label"), parts, F.coalesce(known, F.array().cast("array<string>")))))
+    typed = synonyms(F.col("label"), F.col("term") if glossary is not None else F.lit(None).cast("string"), profile)
+    return labels.withColumn("names", F.array_distinct(F.concat(F.array("label"), parts, typed))).drop("term")
+
+
+def form_label(label: Column, typed: Column) -> Column:
+    """The label as a menu shows it: with up to three words that users know."""
+    return F.when(F.size(typed) > 0, F.concat(label, F.lit(" ("), F.array_join(F.slice(typed, 1, 3), " / "), F.lit(")"))).otherwise(label)
+
+
+def matched_variation(replies: DataFrame, offered: DataFrame, key: tuple[str, ...] = ("query_id",), by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, id, label, synonyms): the first offered variation (id, label, synonyms, pos) that a reply names.
+
+    Names of up to five characters and the comma parts of longer ones count as
+    whole words, longer names anywhere.  `by` are columns that tie a reply to what
+    it was offered; without any all were offered to all, in a batch of checked size.
+    """
+    asked = replies.withColumn("q", normal(collapse_dotted("reply")))
+    names = F.transform(F.concat(F.array("label"), "synonyms"), lambda x: F.lower(x))
+    known = offered.withColumn("names", names)
+
+    def hit(name: Column) -> Column:
+        whole = lambda x: F.regexp_like(F.col("q"), F.concat(F.lit(r"(?U)(?<!\w)\Q"), x, F.lit(r"\E(?!\w)")))
+        parts = F.filter(F.transform(F.split(name, ","), lambda p: F.trim(p)), lambda p: F.char_length(p) > 1)
+        return F.when(F.char_length(name) <= SHORT, whole(name)).otherwise(F.contains(F.col("q"), name) | F.exists(parts, whole))
+
+    met = asked.join(known, list(by)) if by else asked.crossJoin(batch(known))
+    met = met.where(F.exists("names", hit))
+    return met.groupBy(*key).agg(F.min_by(F.struct("id", "label", "synonyms"), "pos").alias("x")).select(*key, "x.*")
 
 
 def names_form(query: Column, names: Column, label: Column, profile: Profile = MACEDONIAN) -> Column:
@@ -110,7 +155,14 @@ def detect(queries: DataFrame, docs: DataFrame, blocks: DataFrame, profile: Prof
     return both.join(offered, "id_service").where(F.size("variations") >= 2).select("query_id", "id_service", "section_types", "variations", "source")
 
 
-def clarification(found: DataFrame, lead: str = "За која опција станува збор?") -> DataFrame:
-    """The question to the user: one line an option."""
-    lines = F.array_join(F.transform("variations", lambda v: F.concat(F.lit("- "), v["label"])), "\n")
-    return found.withColumn("text", F.concat(F.lit(re.sub(r"\s+", " ", lead) + "\n"), lines))
+# Words of labels that are ways of access, and the two questions.
+CHANNEL_WORDS = ("хартиено", "електронски", "шалтер", "web", "сервис", "пошта")
+CHANNEL_LEAD, FORM_LEAD = "На кој начин сакате да ја користите услугата?", "За каква правна форма станува збор?"
+
+
+def clarification(found: DataFrame, profile: Profile = MACEDONIAN) -> DataFrame:
+    """The question to the user, of access or of form, and one line an option."""
+    labels = F.transform("variations", lambda v: form_label(v["label"], synonyms(v["label"], F.lit(None).cast("string"), profile)))
+    channel = F.forall(labels, lambda x: any_of(F.lower(x), CHANNEL_WORDS))
+    lines = F.array_join(F.transform(labels, lambda x: F.concat(F.lit("- "), x)), "\n")
+    return found.withColumn("text", F.concat(F.when(channel, CHANNEL_LEAD).otherwise(FORM_LEAD), F.lit("\n\n"), lines))

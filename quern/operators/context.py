@@ -25,14 +25,19 @@ def unknown_hits(hits: DataFrame, rows: DataFrame, id_col: str = "chunk_id") ->
 def without_copies(docs: DataFrame, content: str = "content", owner: str = "id_service", by: str = "query_id") -> DataFrame:
     """Of equal contents the best rank; also_in lists the other owners in order of appearance.
 
-    injected stays true only if all copies were injected.
+    injected stays true only if all copies were injected.  Contents are told apart
+    by SHA-256 and counted by owner, so no copies are gathered and texts don't move
+    but for the join with the one row that stays.
     """
-    same = Window.partitionBy(by, content)
-    owners = F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col(owner).alias("o"))).over(same)), lambda x: x["o"])
-    marked = docs.withColumn("n", F.row_number().over(same.orderBy("rank", "id"))).withColumn("also_in", F.array_except(F.array_distinct(owners), F.array(owner)))
+    told = docs.withColumn("digest", F.sha2(F.col(content).cast("binary"), 256))
+    owned = told.groupBy(by, "digest", F.col(owner).alias("o")).agg(F.min(F.struct("rank", "id")).alias("at"), *([F.bool_and("injected").alias("injected")] if "injected" in docs.columns else []))
+    owners = F.transform(F.array_sort(F.collect_list(F.struct(F.col("at.rank").alias("rank"), F.col("o")))), lambda x: x["o"])
+    one = owned.groupBy(by, "digest").agg(F.min("at").alias("at"), owners.alias("owners"), *([F.bool_and("injected").alias("all_injected")] if "injected" in docs.columns else []))
+    one = one.select(F.col(by).alias("one_by"), F.col("at.rank").alias("one_rank"), F.col("at.id").alias("one_id"), "owners", *(["all_injected"] if "injected" in docs.columns else []))
+    kept = docs.join(one, (F.col(by) == F.col("one_by")) & (F.col("rank") == F.col("one_rank")) & (F.col("id") == F.col("one_id"))).withColumn("also_in", F.array_except("owners", F.array(owner)))
     if "injected" in docs.columns:
-        marked = marked.withColumn("injected", F.bool_and("injected").over(same))
-    return marked.where("n = 1").drop("n")
+        kept = kept.withColumn("injected", F.col("all_injected")).drop("all_injected")
+    return kept.drop("one_by", "one_rank", "one_id", "owners")
 
 
 def trimmed(docs: DataFrame, k: int, pinned: str = "pinned", by: str = "query_id") -> DataFrame:

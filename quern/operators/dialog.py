@@ -33,9 +33,17 @@ def topic(turns: DataFrame, subject: str, conv: str = "conv_id", turn: str = "tu
 
 
 def seen(turns: DataFrame, docs: str, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """turns with seen: distinct documents of all earlier turns, in order of appearance."""
+    """turns with seen: distinct documents of all earlier turns, in order of appearance.
+
+    Each document counts at its first turn only, so what a turn gathers is no more
+    than what is shown to it.
+    """
+    one = turns.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.posexplode(docs).alias("i", "d"))
+    first = one.groupBy("c", "d").agg(F.min(F.struct("t", "i")).alias("at")).select("c", F.col("at.t").alias("t"), "at.i", "d")
+    new = first.groupBy("c", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]).alias("new"))
+    marked = turns.join(new, (F.col(conv) == F.col("c")) & (F.col(turn) == F.col("t")), "left").drop("c", "t")
     frame = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    return turns.withColumn("seen", F.array_distinct(F.flatten(F.collect_list(docs).over(frame))))
+    return marked.withColumn("seen", F.flatten(F.collect_list("new").over(frame))).drop("new")
 
 
 def subjects(turns: DataFrame, frequency: DataFrame, n_blocks: int, text: str = "text", key: tuple[str, ...] = ("conv_id", "turn"), share: float = 0.10) -> DataFrame:
@@ -75,17 +83,25 @@ def planned(state: State, text: str, followup: bool, subject: bool, ambiguous: b
 
 
 def plan(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", subject: str | None = None, ambiguous: str | None = None) -> DataFrame:
-    """(conv, turn, query, how) of every turn.  A conversation's turns meet in one task; its state is two texts."""
+    """(conv, turn, query, how) of every turn of a named conversation.
+
+    Its turns pass one task in order, in batches; what is held is two texts.
+    """
     kind = turns.schema[conv].dataType.simpleString()
     own = turns.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(text), F.lit("")).alias("text"), is_followup(text).alias("followup"), (F.col(subject) if subject else F.size(anchor_terms(text)) > 0).alias("subject"), (F.col(ambiguous) if ambiguous else F.lit(False)).alias("ambiguous"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = State(), []
-        for r in rows.sort_values(["turn", "text"]).itertuples():
-            out.append((r.conv, r.turn, *planned(state, r.text, bool(r.followup), bool(r.subject), bool(r.ambiguous))))
-        return pd.DataFrame(out, columns=["conv", "turn", "query", "how"])
-
-    return own.groupBy("conv").applyInPandas(fold, f"conv {kind}, {PLAN}").withColumnRenamed("conv", conv)
+    def fold(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        at, state = None, State()
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                if r.conv != at:
+                    at, state = r.conv, State()
+                out.append((r.conv, r.turn, *planned(state, r.text, bool(r.followup), bool(r.subject), bool(r.ambiguous))))
+            yield pd.DataFrame(out, columns=["conv", "turn", "query", "how"])
+
+    sorted_ = own.where("conv IS NOT NULL").repartition("conv").sortWithinPartitions("conv", "turn", "text")
+    return sorted_.mapInPandas(fold, f"conv {kind}, {PLAN}").withColumnRenamed("conv", conv)
 
 
 def planned_stream(rows: Iterable[pd.DataFrame], state: State) -> Iterable[tuple]:

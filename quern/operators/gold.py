@@ -14,9 +14,9 @@ CAPS = {"faq": 80, "terminology": 60, "service_lookup": 112, "intent": 120, "var
 
 def round_robin(rows: DataFrame, key: str, item: str, cap: int | None = None, seed: int = 20260728) -> DataFrame:
     """rows with place: one item of each key a pass, keys and items in hash order."""
-    mixed = F.xxhash64(F.col(item), F.lit(seed))
-    turn = F.row_number().over(Window.partitionBy(key).orderBy(mixed, item))
-    placed = rows.withColumn("turn", turn).withColumn("key_hash", F.xxhash64(F.col(key), F.lit(seed)))
+    mixed = lambda c: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(c).cast("string")).cast("binary"))
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(mixed(item), item))
+    placed = rows.withColumn("turn", turn).withColumn("key_hash", mixed(key))
     return placed.orderBy("turn", "key_hash", key).limit(cap) if cap is not None else placed
 
 
@@ -36,16 +36,57 @@ def terminology(blocks: DataFrame) -> DataFrame:
     return _question_family(blocks, "terminology", r"(?s)^Термин:\s*(.+?)\s*\|", 3, 60, "terminology", "Што значи %s?")
 
 
+def _supported(cases: DataFrame, blocks: DataFrame) -> DataFrame:
+    """cases with gold: their ids are primary; shared rows and, of a target variation or without one, its others support."""
+    others = blocks.groupBy("id_service", "id_variation").agg(F.collect_set("chunk_id").alias("all"))
+    target = F.col("expect_variation")
+    met = cases.join(others, (F.col("expect_service") == F.col("id_service")) & (F.col("id_variation").isNull() | target.isNull() | (F.col("id_variation") == target)))
+    every = met.groupBy("case_id").agg(F.flatten(F.collect_list("all")).alias("all"))
+    grade = lambda ids, g: F.map_from_entries(F.transform(ids, lambda i: F.struct(i, F.lit(g))))
+    both = cases.join(every, "case_id")
+    return both.withColumn("gold", F.map_concat(grade(F.col("ids"), 2), grade(F.array_except("all", "ids"), 1))).select("case_id", "query", "family", "gold", "expect_service", "expect_variation")
+
+
+def service_lookup(blocks: DataFrame) -> DataFrame:
+    """The service's name asks for its description; its other rows support."""
+    names = blocks.where("service_name <> ''").groupBy("id_service").agg(F.min_by("service_name", "pos").alias("query"))
+    own = blocks.where("type = 'description'").groupBy("id_service").agg(F.collect_set("chunk_id").alias("ids")).join(names, "id_service")
+    cases = own.select(F.concat(F.lit("svc_"), F.col("id_service").cast("string")).alias("case_id"), "query", F.lit("service_lookup").alias("family"), "ids", F.col("id_service").alias("expect_service"), F.lit(None).cast("long").alias("expect_variation"))
+    return _supported(cases, blocks)
+
+
+def intent(blocks: DataFrame, templates: dict[str, tuple[str, ...]], most: int = 90, seed: int = 20260728) -> DataFrame:
+    """Each section of a service with at most one variation and a short name, asked for in one of the section's templates."""
+    names = blocks.where("service_name <> ''").groupBy("id_service").agg(F.min_by("service_name", "pos").alias("name"), F.count_distinct("id_variation").alias("n")).where((F.col("n") <= 1) & (F.char_length("name") <= most))
+    own = blocks.where(F.col("type").isin(list(templates))).groupBy("id_service", "type").agg(F.collect_set("chunk_id").alias("ids")).join(names, "id_service")
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id_service").cast("string"), "type").cast("binary")), 1, 8), 16, 10).cast("long")
+    query = F.lit(None).cast("string")
+    for kind, asked in templates.items():
+        one = F.element_at(F.array(*[F.format_string(t, "name") for t in asked]), (draw % len(asked) + 1).cast("int"))
+        query = F.when(F.col("type") == kind, one).otherwise(query)
+    key = F.concat_ws("_", F.lit("intent"), F.col("id_service").cast("string"), "type")
+    cases = own.select(key.alias("case_id"), query.alias("query"), F.concat(F.lit("intent_"), "type").alias("family"), "ids", F.col("id_service").alias("expect_service"), F.lit(None).cast("long").alias("expect_variation"))
+    return _supported(cases, blocks)
+
+
 def variation(blocks: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """One case a (service, variation, section): its rows are primary, shared rows support, siblings are none."""
+    """One case a (service, variation, section): its rows are primary, shared rows and its other rows support, siblings are none."""
     own = blocks.where("id_variation IS NOT NULL AND variation_short_name IS NOT NULL").where(F.col("type").isin(list(templates)))
     rows = own.groupBy("id_service", "id_variation", "type").agg(F.min("service_name").alias("service_name"), F.min("variation_short_name").alias("label"), F.collect_set("chunk_id").alias("ids"))
-    shared = blocks.where("id_variation IS NULL").groupBy("id_service").agg(F.collect_set("chunk_id").alias("support"))
-    graded = rows.join(shared, "id_service", "left").withColumn("support", F.array_except(F.coalesce("support", F.array().cast("array<string>")), "ids"))
-    gold = F.map_concat(F.map_from_entries(F.transform("ids", lambda i: F.struct(i, F.lit(2)))), F.map_from_entries(F.transform("support", lambda i: F.struct(i, F.lit(1)))))
     text = reduce(lambda c, kv: F.when(F.col("type") == kv[0], F.format_string(kv[1], "service_name", "label")).otherwise(c), templates.items(), F.lit(None).cast("string"))
     key = F.concat_ws("_", F.lit("variation"), "id_service", "id_variation", "type")
-    return graded.select(key.alias("case_id"), text.alias("query"), F.lit("variation").alias("family"), gold.alias("gold"), F.col("id_service").alias("expect_service"), F.col("id_variation").alias("expect_variation"))
+    return _supported(rows.select(key.alias("case_id"), text.alias("query"), F.lit("variation").alias("family"), "ids", F.col("id_service").alias("expect_service"), F.col("id_variation").alias("expect_variation")), blocks)
+
+
+def selected(cases: DataFrame, families: tuple[str, ...] = (), leaky: tuple[str, ...] = (), limit: int | None = None, keep_ungraded: bool = False) -> DataFrame:
+    """Cases of the wanted families, without leaky ones and those without a primary row; the first by id up to a limit."""
+    if families:
+        cases = cases.where(F.col("family").isin(*families))
+    if leaky:
+        cases = cases.where(~F.col("family").isin(*leaky))
+    if not keep_ungraded:
+        cases = cases.where(F.exists(F.map_values("gold"), lambda g: g >= 2))
+    return cases.orderBy("case_id").limit(limit) if limit is not None else cases
 
 
 def generate(families: list[DataFrame], caps: dict[str, int] = CAPS) -> DataFrame:

@@ -95,3 +95,9 @@ def estimate(rows: DataFrame, text_col: str, characters_a_token: float = 2.0, pr
     """(rows, characters, tokens, cost): what embedding all rows would take; price is for a million tokens."""
     size = F.sum(F.char_length(F.coalesce(F.col(text_col), F.lit("")))).alias("characters")
     return rows.agg(F.count("*").alias("rows"), size).withColumn("tokens", F.col("characters") / characters_a_token).withColumn("cost", F.col("tokens") * price / 1e6)
+
+
+def statistics(done: DataFrame) -> DataFrame:
+    """(added, updated, unchanged, pruned, total) of a difference's actions, in one row; total is what the index holds then."""
+    kinds = ("added", "updated", "unchanged", "pruned")
+    return done.agg(*[F.count_if(F.col("action") == k).alias(k) for k in kinds], F.count_if(F.col("action") != "pruned").alias("total"))

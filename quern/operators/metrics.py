@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -93,11 +93,14 @@ def sliced(metrics: DataFrame, cases: DataFrame, slices: tuple[str, ...]) -> Dat
 def p95(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """The value at place min(n - 1, int(0.95 n)) from 0, which isn't an interpolated percentile.
 
-    Numbered in the window, so no group is gathered into one list.
+    Rows are counted by value before anything is shuffled, and running counts of
+    the distinct values tell the place.
     """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("m"))
     window = Window.partitionBy(*by)
-    placed = rows.where(F.col(value).isNotNull()).withColumn("place", F.row_number().over(window.orderBy(value)) - 1).withColumn("n", F.count("*").over(window))
-    return placed.where(F.col("place") == F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).select(*by, F.col(value).alias("p95"))
+    placed = counted.withColumn("end", F.sum("m").over(window.orderBy(value))).withColumn("n", F.sum("m").over(window))
+    wanted = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
+    return placed.where((F.col("end") - F.col("m") <= wanted) & (wanted < F.col("end"))).select(*by, F.col(value).alias("p95"))
 
 
 def compare(baseline: DataFrame, candidate: DataFrame, metric: str = "ndcg@10", tolerance: float = 0.01, least: int = 10) -> DataFrame:
@@ -123,3 +126,26 @@ def drops(baseline: DataFrame, candidate: DataFrame, metric: str, n: int = 20) -
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def answer_totals(answers: DataFrame, prices: dict[str, tuple[float, float]], by: str = "model") -> DataFrame:
+    """(model, n, prompt_tokens, completion_tokens, cost_usd); prices are of a million prompt and completion tokens.
+
+    A model without a price costs nothing.
+    """
+    price = lambda k: reduce(lambda c, kv: F.when(F.col(by) == kv[0], F.lit(float(kv[1][k]))).otherwise(c), prices.items(), F.lit(0.0))
+    sums = answers.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("prompt_tokens").cast("long")).alias("prompt_tokens"), F.sum(F.col("completion_tokens").cast("long")).alias("completion_tokens"))
+    return sums.withColumn("cost_usd", (F.col("prompt_tokens") * price(0) + F.col("completion_tokens") * price(1)) / 1e6)
+
+
+def behaviour_counts(seen: DataFrame, by: list[str], kinds: tuple[str, ...] = ("answer", "abstain", "clarify", "error")) -> DataFrame:
+    return seen.groupBy(*by).agg(*[F.count_if(F.col("behaviour") == k).alias(k) for k in kinds])
+
+
+def save_report(report: DataFrame, path: str) -> None:
+    report.write.mode("overwrite").json(path)
+
+
+def load_report(spark: SparkSession, path: str) -> DataFrame:
+    """A saved report (slice, key, metric, n, mean)."""
+    return spark.read.schema("slice string, key string, metric string, n long, mean double").json(path)

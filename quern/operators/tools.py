@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.dates import printed_date
-from quern.functions.text import col, norm_text, same_number
+from quern.functions.dates import date_ticks, printed_date
+from quern.functions.html import infobox_value
+from quern.functions.text import col, digits, norm_text, same_number
 from quern.operators.ranking import batch
 
 
@@ -65,3 +66,71 @@ def citable(columns: dict[str, Column | str], key: Column) -> Column:
     """A tool's result as a document: id under tool:, labelled lines; empty values are left out."""
     lines = [F.when(F.coalesce(col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{label}: "), col(c).cast("string"))) for label, c in columns.items()]
     return F.struct(F.concat(F.lit("tool:"), key).alias("chunk_id"), F.concat_ws("\n", *lines).alias("content"))
+
+
+def decision_index(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decisions that open by their own number and pass the checks, the others with why).
+
+    decisions are (number, printed, id, date): the number they are filed under, and
+    what was read from them.
+    """
+    told = [
+        F.when(digits("printed") != F.col("number"), F.lit("another number")),
+        F.when(~F.coalesce(F.col("id").rlike(r"^\p{Nd}{7,8}$"), F.lit(False)), F.lit("identifier")),
+        F.when(~F.coalesce(F.col("date").rlike(r"^\d{2}\.\d{2}\.\d{4}$") & F.to_date(F.try_to_timestamp("date", F.lit("dd.MM.yyyy"))).isNotNull(), F.lit(False)), F.lit("date")),
+    ]
+    first = F.when(told[0].isNotNull(), told[0]).otherwise(F.concat_ws("; ", *told[1:]))
+    marked = decisions.withColumn("why", F.nullif(first, F.lit("")))
+    return marked.where("why IS NULL").drop("why"), marked.where("why IS NOT NULL")
+
+
+def looked_up(asked: DataFrame, rows: DataFrame, key: str, id_col: str, labels: dict[str, str]) -> DataFrame:
+    """asked with available and doc, a citable document: what is not there is a row too, and says so."""
+    own = rows.select(F.col(id_col).alias("quern_key"), F.struct(*[F.col(c) for c in labels.values()]).alias("quern_row"))
+    met = asked.join(own, F.col(key) == F.col("quern_key"), "left")
+    found = F.col("quern_key").isNotNull()
+    there = citable({label: F.col("quern_row")[c] for label, c in labels.items()}, F.col(key))
+    missing = F.struct(F.concat(F.lit("tool:"), F.col(key)).alias("chunk_id"), F.lit("unavailable").alias("content"))
+    return met.withColumn("available", found).withColumn("doc", F.when(found, there).otherwise(missing)).drop("quern_key", "quern_row")
+
+
+# Codes of the registry's search form, and the size classes it prints.
+DOC_TYPE_CODES = {100: "основање", 130: "промена", 160: "бришење", 200: "стечај", 201: "ликвидација"}
+KNOWN_SIZES = ("среден", "микро", "голем", "мал")
+
+
+def search_payload(number: str, name: str, doc_type: str, day: str) -> Column:
+    """The body of a registry search: empty criteria are null, and so is the code of an unknown type."""
+    told = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    code = F.lit(None).cast("int")
+    for n, label in DOC_TYPE_CODES.items():
+        code = F.when(norm_text(doc_type) == label, n).otherwise(code)
+    ticks = F.when(told(day).isNotNull(), date_ticks(printed_date(day)))
+    return F.struct(told(number).cast("long").alias("LEID"), told(name).alias("partOfName"), code.alias("docTypeID"), ticks.alias("announcementDateTicks"), F.lit(False).alias("ut"))
+
+
+#: Other spellings of the fields of a saved status.
+SPELLINGS = {"entity_title": "title", "publication_date": "publishDate", "document_description": "documentDescription"}
+
+
+def saved_status(saved: Column, labels: dict[str, str]) -> Column:
+    """Fields of a saved status: JSON with either spelling, else a page whose infobox has the labels."""
+    t = F.trim(F.regexp_replace(saved, r"^\s+|\s+$", ""))
+    names = [*labels, *SPELLINGS.values()]
+    data = F.from_json(F.when(t.startswith("{"), t), ", ".join(f"{n} string" for n in names))
+    told = lambda n: F.nullif(data[n], F.lit("")) if n else F.lit(None).cast("string")
+    return F.struct(*[F.when(t.startswith("{"), F.coalesce(told(n), told(SPELLINGS.get(n)), F.lit(""))).otherwise(infobox_value(t, label)).alias(n) for n, label in labels.items()])
+
+
+def entity_size(page: Column, span_id: str) -> Column:
+    """(read, size, message) of a result page: the class is one that the message states as a word, else null, never guessed.
+
+    A page without the result's span was not read, which is not the same as not found.
+    """
+    pattern = rf'(?is)<span[^>]*\bid="{span_id}"[^>]*>(.*?)</span>'
+    message = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(page, pattern, 1), r"<[^>]*>", " "), r"(?U)\s+", " "))
+    size = F.lit(None).cast("string")
+    for name in reversed(KNOWN_SIZES):
+        size = F.when(F.lower(message).rlike(rf"(?U)(?<!\w){name}(?!\w)"), name).otherwise(size)
+    read = page.rlike(pattern)
+    return F.struct(read.alias("read"), F.when(read, size).alias("size"), F.when(read, message).alias("message"))

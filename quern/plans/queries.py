@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import dates, html, text
-from quern.operators import answers, bm25, context, dense, dialog, gold, maintenance, metrics, ranking, structured, tools
+from quern.operators import answers, bm25, context, dense, dialog, maintenance, metrics, ranking, structured, tools
 from quern.profile import MACEDONIAN
 from quern.sources import corpus, crawl, directory, payloads
 from quern.streaming import flows
@@ -269,11 +269,6 @@ def oracle_ceiling(spark, d):
     return metrics.case_metrics(ranking.oracle_ceiling(_gold(spark, d), 20), _gold(spark, d), (10,)).select("case_id", "metric", _six("value"))
 
 
-def round_robin(spark, d):
-    """Orders dealt one a customer and pass; hash order has no counterpart in SQL."""
-    return gold.round_robin(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", F.col("turn").cast("long").alias("turn"))
-
-
 def answer_behaviour(spark, d):
     c = table(spark, d, "conversations")
     none = F.array().cast("array<string>")
@@ -421,7 +416,7 @@ QUERIES = {f.__name__: f for f in (
     tokens_per_doc, doc_freq, rare_terms, numbers_in, citations, intent_detect, followups, printed_dates, row_signatures,
     bm25_topk, dense_topk, dense_topk_by_label, hybrid_rrf, alias_rrf, entity_rows, structured_rrf, filtered_hits, normalized_hits, attribution_votes, vote_top_per_group,
     dedup_content, identical_content, trim_pinned, reading_order, section_coverage, differing_sections, universal_rows, context_render,
-    ranking_metrics, eval_slices, p95, regression_gate, oracle_ceiling, round_robin, answer_behaviour, answer_groundedness,
+    ranking_metrics, eval_slices, p95, regression_gate, oracle_ceiling, answer_behaviour, answer_groundedness,
     history_window, topic_carry, seen_docs, turn_plan, incremental_diff, embedding_estimate, payload_guard, decode_tabular,
     page_links, page_plain_text, html_to_text, directory_blocks, menu_paths, crawl_frontier, crawl_latest, corpus_gate, entity_search, entity_index, stream_windows,
 )}

@@ -6,11 +6,16 @@ frontier is consumed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quern.tables import stored
+
 LEAF_TEMPLATE, LEAF_PATH = 3, "/uslugi/"
 
 
@@ -55,17 +60,61 @@ def service_variations(services: DataFrame) -> DataFrame:
     return one.where(F.coalesce("id_variation", F.lit(0)) != 0)
 
 
-def url_menus(base: str, language: int) -> Column:
-    return F.lit(f"{base}/menus?language={language}")
+@dataclass(frozen=True)
+class Portal:
+    """Addresses of a portal's three calls.  Parameters' names and order are fixed values: archives are keyed by address."""
+
+    base: str
+    menus_path: str
+    category_path: str
+    service_path: str  # with %s for the service
+    language: int = 1
+
+    def _at(self, path: str) -> str:
+        return self.base.rstrip("/") + path
+
+    def menus(self) -> Column:
+        return F.lit(f"{self._at(self.menus_path)}?ln={self.language}")
 
+    def category(self, category: Column) -> Column:
+        return F.concat(F.lit(f"{self._at(self.category_path)}?idC="), category.cast("string"), F.lit(f"&idL={self.language}"))
 
-def url_category(base: str, category: Column, language: int) -> Column:
-    return F.format_string(f"{base}/category?id=%s&language={language}", category.cast("string"))
+    def service(self, service: Column, category: Column, variation: Column) -> Column:
+        """No variation, or zero, is left empty."""
+        v = F.when(F.coalesce(variation.cast("string"), F.lit("")).isin("", "0"), "").otherwise(variation.cast("string"))
+        path = F.format_string(self._at(self.service_path), service.cast("string"))
+        return F.concat(path, F.lit("?idSC="), category.cast("string"), F.lit("&idV="), v, F.lit(f"&idL={self.language}&idr="))
 
 
-def url_service(base: str, service: Column, variation: Column, language: int) -> Column:
-    v = F.when(F.coalesce(variation, F.lit(0)) == 0, "").otherwise(variation.cast("string"))
-    return F.format_string(f"{base}/service?id=%s&variation=%s&language={language}", service.cast("string"), v)
+NODE = "title string, children array<string>, menuItems array<string>, fullUrl string, idTmpl int, idSiteMap long"
+
+
+def menu_categories(menus: DataFrame, column: str, most: int = 100) -> DataFrame:
+    """(id_category, full_url, title, path) of a nested menu's service leaves, each id once, at its first place.
+
+    One level of nodes is opened at a time, in all menus and branches together.
+    """
+    root = F.coalesce(F.from_json(column, "menus array<string>")["menus"], F.from_json(F.when(F.col(column).startswith("["), F.col(column)), "array<string>"), F.array(column))
+    level = menus.select(F.posexplode(root).alias("i", "node")).select(F.array("i").alias("at"), F.lit(None).cast("string").alias("path"), "node")
+    leaves = []
+    for _ in range(most):
+        n = level.select("at", "path", F.from_json("node", NODE).alias("n"))
+        here = F.concat_ws(" > ", "path", F.nullif(F.col("n.title"), F.lit("")))
+        kids = F.when(F.size("n.children") > 0, F.col("n.children")).when(F.size("n.menuItems") > 0, F.col("n.menuItems"))
+        read = stored(n.select("at", here.alias("path"), "n.title", "n.fullUrl", "n.idTmpl", "n.idSiteMap", kids.alias("kids")), "menu")
+        leaves.append(read.where("kids IS NULL").drop("kids"))
+        level = read.where("kids IS NOT NULL").select("at", "path", F.posexplode("kids").alias("i", "node")).select(F.concat("at", F.array("i")).alias("at"), "path", "node")
+        if level.isEmpty():
+            break
+    kept = reduce(DataFrame.unionByName, leaves).where((F.col("idTmpl") == LEAF_TEMPLATE) & F.contains("fullUrl", F.lit(LEAF_PATH)) & F.col("idSiteMap").isNotNull())
+    first = kept.groupBy(F.col("idSiteMap").alias("id_category")).agg(F.min_by(F.struct("fullUrl", "title", "path"), "at").alias("x"))
+    return first.select("id_category", F.col("x.fullUrl").alias("full_url"), "x.title", "x.path")
+
+
+def first_services(listed: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id_service, id_category, pos) of the lists (id_category, id_service, pos): each service in its first category; at most `limit` first ones."""
+    first = listed.groupBy("id_service").agg(F.min(F.struct("pos", "id_category")).alias("x")).select("id_service", "x.id_category", "x.pos")
+    return first.orderBy("pos", "id_service").limit(limit) if limit is not None else first
 
 
 MANIFEST = T.StructType([T.StructField(n, t) for n, t in (("kind", T.StringType()), ("key", T.StringType()), ("status", T.StringType()), ("http_status", T.IntegerType()), ("bytes", T.LongType()), ("sha256", T.StringType()), ("fetched_at", T.StringType()), ("error", T.StringType()))])

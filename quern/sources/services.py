@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 
 from quern.functions.html import fix_links, html_to_text
 from quern.profile import MACEDONIAN, Profile
-from quern.sources.payloads import SHARED_SECTIONS, VARIATION_SECTIONS, classified, cleaned, decoded, row_text
+from quern.sources.payloads import SHARED_SECTIONS, TABLE, VARIATION_SECTIONS, classified, cleaned, decoded, row_text
+from quern.tables import stored
 
 NAMED = "array<struct<name:string,shortName:string,selected:boolean>>"
 #: Sections are read as text: a table may come as JSON or as a string that holds JSON.
@@ -65,7 +66,7 @@ def parse_service(files: DataFrame) -> DataFrame:
         _names(F.col("paymentMethods")).alias("payment_methods"), _names(F.col("otherOffices")).alias("other_offices"),
         F.transform(F.coalesce("connected", F.array().cast(NAMED)), lambda c: F.coalesce(F.nullif(c["shortName"], F.lit("")), c["name"])).alias("connected_services"), _names(F.col("registries")).alias("registries"),
         F.transform(F.filter(F.coalesce("institutions", F.array().cast(NAMED)), lambda i: F.coalesce(i["selected"], F.lit(False))), lambda i: _told(i["name"])).alias("institutions"),
-        text(TEXT_SECTION).alias(TEXT_SECTION), *[s for s in (*SHARED_SECTIONS, *VARIATION_SECTIONS) if s != TEXT_SECTION], F.array_sort(placed).alias("faqs"),
+        text(TEXT_SECTION).alias(TEXT_SECTION), *[F.from_json(s, TABLE).alias(s) for s in (*SHARED_SECTIONS, *VARIATION_SECTIONS) if s != TEXT_SECTION], F.array_sort(placed).alias("faqs"),
         F.transform(F.filter(F.coalesce("variations", F.array().cast("array<struct<idServiceVariation:long,shortName:string>>")), lambda v: F.coalesce(v["idServiceVariation"], F.lit(0)) != 0), lambda v: F.struct(v["idServiceVariation"].alias("id_variation"), _told(v["shortName"]).alias("short_name"))).alias("variations"),
     )
 
@@ -95,7 +96,7 @@ def _parts(sections: tuple[str, ...], profile: Profile, access: bool, told: bool
 
     def rows(section: str) -> Column:
         one = lambda cells, i: part(F.concat(F.lit(f"{section}_"), (i + 1).cast("string")), section, profile.labels.get(section, section), i + 1, row_text(cells))
-        return F.coalesce(F.transform(decoded(section), one), empty)
+        return F.coalesce(F.transform(decoded(F.col(section)), one), empty)
 
     none = F.lit(None).cast("int")
     found = []
@@ -135,7 +136,7 @@ def _texts_read(records: DataFrame) -> DataFrame:
 def build_corpus(files: DataFrame, profile: Profile = MACEDONIAN) -> tuple[DataFrame, DataFrame]:
     """(blocks, the skip report)."""
     good, skipped = accepted(files)
-    records = _texts_read(parse_service(good))
+    records = stored(_texts_read(stored(parse_service(good), "records")), "records")
     of_variation = Window.partitionBy("id_service", "id_variation").orderBy("path")
     variations = records.where("is_variation").withColumn("n", F.row_number().over(of_variation)).where("n = 1").drop("n")
     last = Window.partitionBy("id_service").orderBy(F.desc("path"))

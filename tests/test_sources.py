@@ -74,7 +74,8 @@ def test_crawl_plans(spark):
     assert {r["path"] for r in crawl.tree_paths(edges, spark.createDataFrame([("r", "R")], "node string, title string")).collect()} == {"R", "R > A", "R > A > B"}
     services = spark.createDataFrame([(1, [(5, "", " Long "), (6, "Short", "Long")])], "id_category int, services array<struct<idService:int,shortName:string,name:string>>")
     assert [r["name"] for r in crawl.category_services(services).collect()] == ["Long", "Short"]
-    assert spark.range(1).select(crawl.url_service("b", F.lit(3), F.lit(0), 1)).first()[0] == "b/service?id=3&variation=&language=1"
+    portal = crawl.Portal("b/", "/m", "/c", "/s/%s", 2)
+    assert list(spark.range(1).select(portal.menus(), portal.category(F.lit(4)), portal.service(F.lit(3), F.lit(4), F.lit(0)), portal.service(F.lit(3), F.lit(4), F.lit(5))).first()) == ["b/m?ln=2", "b/c?idC=4&idL=2", "b/s/3?idSC=4&idV=&idL=2&idr=", "b/s/3?idSC=4&idV=5&idL=2&idr="]
 
 
 def test_gate_and_files(spark, tmp_path):

@@ -318,7 +318,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {int(r["label"]): r["count"] for r in sizes}
     part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000))
     picked = reduce(lambda c, kn: F.when(F.col("label") == kn[0], part < int(1_000_000 * min(1.0, max_docs / kn[1]))).otherwise(c), counts.items(), F.lit(False))
-    sample = own.join(marks.where(picked), "id").select("id", "text", "label")
+    # the picked labels, 2 * max_docs at most, go to the documents; texts don't move but for the sample
+    sample = own.join(F.broadcast(marks.where(picked)), "id").select("id", "text", "label")
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (got := list(batches)):

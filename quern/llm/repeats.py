@@ -218,6 +218,7 @@ def _windows(joined: DataFrame, window: int, ranges: int, seed: int) -> DataFram
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 16
         for batch in slices(batches, "text"):
             whole = np.array([bool(d) and hashlib.sha256(t or b"").hexdigest() in d for d, t in zip(batch.column(3).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())])
             places = [b"".join(p or []) if not w else b"" for p, w in zip(batch.column(2).to_pylist(), whole)]
@@ -236,8 +237,9 @@ def _windows(joined: DataFrame, window: int, ranges: int, seed: int) -> DataFram
             first, part = first[order], part[order]
             starts, sizes = _runs(part)
             rows = [(int(part[c.start]), *_packed(ids[first[c]], place[first[c]]), a[first[c]].tobytes(), b[first[c]].tobytes(), b"") for c in _cut(sizes)]
-            if len(later):
-                rows.append((int(a[0] % U(ranges)), b"", b"", b"", b"", b"", later.tobytes()))
+            if len(later):  # any range will do; each slice takes another
+                number += 1
+                rows.append(((number * 0x9E3779B1 >> 8) % ranges, b"", b"", b"", b"", b"", later.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 6])], [x.split()[0] for x in WINDOWS.split(", ")])
 
     return joined.mapInArrow(run, WINDOWS)

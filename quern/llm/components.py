@@ -8,22 +8,33 @@ from pyspark.sql import functions as F
 from quern.llm.common import stored
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+#: Links that a part of one node's links holds.
+PART = 1_000_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, parts: int) -> DataFrame:
+    """edges (u, v) with m, the least of u and all its v.
+
+    A node's links are met in parts, so that one that a third of all links share
+    doesn't land in one task.
+    """
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)))
+    by_part = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = by_part.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return dealt.join(by_part.select("u", "part").join(least, "u"), ["u", "part"]).select("u", "v", "m")
+
+
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _with_least(both, parts).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
-    tied = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    down = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), parts)
+    tied = down.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return tied.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,9 +45,9 @@ def components(links: DataFrame) -> DataFrame:
     sums show it.
     """
     edges = stored(links.select("u", "v").where("u <> v").distinct(), "links")
-    before = None
+    before, parts = None, max(16, -(-edges.count() // PART))
     while True:
-        edges = stored(_small_star(_large_star(edges)), "links")
+        edges = stored(_small_star(_large_star(edges, parts), parts), "links")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -21,13 +21,16 @@ def unit(v: Column | str) -> Column:
 
 
 def hash_embedding(text: Column | str, dims: int = 256, seed: int = 11) -> Column:
-    """Sum of signed hash directions of the text's tokens, of length one; no tokens give zeros."""
+    """Sum of signed hash directions of the text's tokens, of length one; no tokens give zeros.
+
+    The text should be in normal form: this runs inside lambdas, where Python can't.
+    """
     zeros = F.array_repeat(F.lit(0.0), dims)
 
     def direction(t: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.pmod(F.xxhash64(t, i, F.lit(seed)), F.lit(2001)).cast("double") / 1000 - 1)
 
-    return unit(F.aggregate(tokens(text), zeros, lambda s, t: F.zip_with(s, direction(t), lambda a, b: a + b)))
+    return unit(F.aggregate(tokens(text, is_normal=True), zeros, lambda s, t: F.zip_with(s, direction(t), lambda a, b: a + b)))
 
 
 def embedding_key(model: str, dims: int, text: Column | str) -> Column:

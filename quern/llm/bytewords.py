@@ -24,7 +24,8 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BASES = [int(x) | 1 for x in _rng.integers(2**60, 2**63, 12, dtype=np.uint64)]
 _powers: dict[tuple[int, bool], np.ndarray] = {}
-_CHUNK = 1 << 21
+#: Bytes that are hashed at once.  Tables of powers are kept for so many, eight bytes each, as long as a worker lives.
+_CHUNK = 1 << 18
 
 
 def _power(base: int, n: int, inverse: bool = False) -> np.ndarray:

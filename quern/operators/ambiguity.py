@@ -60,6 +60,17 @@ def form_label(label: Column, typed: Column) -> Column:
     return F.when(F.size(typed) > 0, F.concat(label, F.lit(" ("), F.array_join(F.slice(typed, 1, 3), " / "), F.lit(")"))).otherwise(label)
 
 
+def names_one(q: Column, names: Column) -> Column:
+    """Whether a reply in normal form holds one of the lower-case names, short ones and comma parts as whole words."""
+    whole = lambda x: F.regexp_like(q, F.concat(F.lit(r"(?U)(?<!\w)\Q"), x, F.lit(r"\E(?!\w)")))
+
+    def hit(name: Column) -> Column:
+        parts = F.filter(F.transform(F.split(name, ","), lambda p: F.trim(p)), lambda p: F.char_length(p) > 1)
+        return F.when(F.char_length(name) <= SHORT, whole(name)).otherwise(F.contains(q, name) | F.exists(parts, whole))
+
+    return F.exists(names, hit)
+
+
 def matched_variation(replies: DataFrame, offered: DataFrame, key: tuple[str, ...] = ("query_id",), by: tuple[str, ...] = ()) -> DataFrame:
     """(key, id, label, synonyms): the first offered variation (id, label, synonyms, pos) that a reply names.
 
@@ -71,13 +82,8 @@ def matched_variation(replies: DataFrame, offered: DataFrame, key: tuple[str, ..
     names = F.transform(F.concat(F.array("label"), "synonyms"), lambda x: F.lower(x))
     known = offered.withColumn("names", names)
 
-    def hit(name: Column) -> Column:
-        whole = lambda x: F.regexp_like(F.col("q"), F.concat(F.lit(r"(?U)(?<!\w)\Q"), x, F.lit(r"\E(?!\w)")))
-        parts = F.filter(F.transform(F.split(name, ","), lambda p: F.trim(p)), lambda p: F.char_length(p) > 1)
-        return F.when(F.char_length(name) <= SHORT, whole(name)).otherwise(F.contains(F.col("q"), name) | F.exists(parts, whole))
-
     met = asked.join(known, list(by)) if by else asked.crossJoin(batch(known))
-    met = met.where(F.exists("names", hit))
+    met = met.where(names_one(F.col("q"), F.col("names")))
     return met.groupBy(*key).agg(F.min_by(F.struct("id", "label", "synonyms"), "pos").alias("x")).select(*key, "x.*")
 
 

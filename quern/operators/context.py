@@ -64,6 +64,57 @@ def section_coverage(docs: DataFrame, rows: DataFrame, key: list[str], by: str =
     return present.join(total, key)
 
 
+def answer_coverage(docs: DataFrame, blocks: DataFrame, by: str = "query_id", profile: Profile = MACEDONIAN) -> DataFrame:
+    """(query, type, variant, present, total) of the list-shaped sections in a context.
+
+    Both tables have (id_service, id_variation, type, variation_short_name).  The
+    shared rows of a service, those without a variation, are a section of their own.
+    """
+    key = ["id_service", "id_variation", "type"]
+    listed = F.col("type").isin(list(profile.list_sections))
+    present = docs.where(listed).groupBy(by, *key).agg(F.max("variation_short_name").alias("variant"), F.count("*").alias("present"))
+    total = blocks.where(listed).groupBy(*key).agg(F.count("*").alias("total")).where("total > 1").select(*[F.col(c).alias(f"{c}_") for c in key], "total")
+    same = (F.col("id_service") == F.col("id_service_")) & (F.col("type") == F.col("type_")) & F.col("id_variation").eqNullSafe(F.col("id_variation_"))
+    return present.join(total, same).select(by, "type", "variant", "present", "total")
+
+
+COMPLETE_NOTE = "COMPLETE: all rows of the section are here; give them as the full list."
+PARTIAL_NOTE = "PARTIAL: rows are missing; never give these as the full list."
+COUNTS_NOTE = "The counts are for you alone; don't repeat them to the user."
+
+
+def rendered_coverage(covered: DataFrame, asked: DataFrame, by: str = "query_id", notes: tuple[str, str, str] = (COMPLETE_NOTE, PARTIAL_NOTE, COUNTS_NOTE)) -> DataFrame:
+    """(query, coverage): a line for each section asked about, (query, intents); for all where no intent is known."""
+    met = covered.join(asked.select(by, "intents"), by, "left").where("intents IS NULL OR size(intents) = 0 OR array_contains(intents, type)")
+    full = F.col("present") >= F.col("total")
+    where = F.when(F.coalesce(F.col("variant"), F.lit("")) != "", F.concat(F.lit(" ("), xml_text("variant"), F.lit(")"))).otherwise("")
+    state = F.when(full, F.lit("COMPLETE")).otherwise(F.format_string("PARTIAL -- %d row(s) of this section are not here", F.col("total") - F.col("present")))
+    line = F.concat(F.lit("  "), "type", where, F.format_string(": %d of %d rows -- ", "present", "total"), state)
+    every = met.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("type", "variant", "present", "total", line.alias("line")))).alias("ls"), F.bool_or(full).alias("some"), F.bool_or(~full).alias("part"))
+    said = F.concat(F.transform("ls", lambda x: x["line"]), F.filter(F.array(F.when(F.col("some"), F.lit(notes[0])), F.when(F.col("part"), F.lit(notes[1])), F.lit(notes[2])), lambda n: n.isNotNull()))
+    return every.select(by, F.concat(F.lit("<coverage>\n"), F.array_join(said, "\n"), F.lit("\n</coverage>")).alias("coverage"))
+
+
+OPEN_NOTE = "The question leaves the variant open: ask which one is meant, and answer for none of them."
+
+
+def rendered_ambiguity(found: DataFrame, by: str = "query_id", note: str = OPEN_NOTE) -> DataFrame:
+    """(query, ambiguity): the variants (label, id_variation) of (service_name, section_types, variations, source) to choose from.
+
+    Found by structure alone, their rows may be missing from the documents, which the block says.
+    """
+    options = F.array_join(F.transform("variations", lambda v: F.format_string("  - %s (id_variation=%s)", xml_text(v["label"]), v["id_variation"].cast("string"))), "\n")
+    seen = F.when(F.col("source") == "structure", F.lit("The documents may hold none or only one of them.\n")).otherwise("")
+    lead = F.format_string('"%s" has %d variants with different %s:', xml_text("service_name"), F.size("variations"), F.array_join("section_types", ", "))
+    return found.select(by, F.concat(F.lit("<ambiguity>\n"), lead, F.lit("\n"), options, F.lit("\n"), seen, F.lit(note), F.lit("\n</ambiguity>")).alias("ambiguity"))
+
+
+def full_context(documents: DataFrame, coverage: DataFrame, ambiguity: DataFrame, by: str = "query_id") -> DataFrame:
+    """(query, context): the documents, then what is known of their coverage and of open choices."""
+    both = documents.join(coverage, by, "left").join(ambiguity, by, "left")
+    return both.select(by, F.concat_ws("\n", "context", "coverage", "ambiguity").alias("context"))
+
+
 def differing_sections(rows: DataFrame, service: str, variation: str, kind: str, content: str) -> DataFrame:
     """(service, type) whose variations hold different multisets of row signatures."""
     signed = rows.where(F.col(variation).isNotNull()).withColumn("signature", row_signature(kind, content))

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions.text import anchor_terms, is_followup
+from quern.functions.text import anchor_terms, collapse_dotted, is_followup, normal
+from quern.operators.ambiguity import names_one
 
 HISTORY_TURNS = 4
 
@@ -65,19 +66,21 @@ PLAN = "turn long, query string, how string"
 def planned(state: State, text: str, followup: bool, subject: bool, ambiguous: bool) -> tuple[str, str]:
     """The query to run for a message, and why; state moves on.
 
-    A reply to a pending question joins it.  A follow-up, or a message without a
-    subject, joins the topic.  The topic changes only on answered turns.
+    A reply to a pending question joins it; a reply that leaves it open is asked
+    again.  A follow-up, or a message without a subject, joins the topic.  The
+    topic changes only on answered turns, to the first message or one with a subject.
     """
     if state.pending is not None:
-        query, how = f"{state.pending} {text}", "reply"
-        state.pending = None
-    elif state.topic is not None and (followup or not subject):
-        query, how = f"{state.topic} {text}", "topic"
+        query, how = f"{state.pending} {text}".strip(), "reply"
+    elif state.topic and (followup or not subject):
+        query, how = f"{state.topic} {text}".strip(), "topic"
     else:
         query, how = text, "plain"
-    if ambiguous and how != "reply":
-        state.pending = query
-    elif how != "reply" and (state.topic is None or subject):
+    if ambiguous:
+        state.pending = text if state.pending is None else state.pending
+        return query, how
+    state.pending = None
+    if state.topic is None or subject:
         state.topic = text
     return query, how
 
@@ -104,6 +107,30 @@ def plan(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str
     return sorted_.mapInPandas(fold, f"conv {kind}, {PLAN}").withColumnRenamed("conv", conv)
 
 
+def scopes(plans: DataFrame, turns: DataFrame, named: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """plans with service_scope, variation_scope and form_scope: what the search of each turn is narrowed to.
+
+    turns also have the service that each is about, null where there is none, and
+    its variations (id, names), in the order in which they are offered; named is
+    (conv, turn, forms).  A reply or a follow-up that names a variation of the last
+    service is narrowed to it, a reply to that service too; a plain message to the
+    legal forms that it names.
+    """
+    before = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("service").isNotNull(), F.struct("service", "variations")), ignorenulls=True).over(before)
+    own = turns.select(conv, turn, normal(collapse_dotted(F.coalesce(text, F.lit("")))).alias("q"), last.alias("last"))
+    met = F.filter("last.variations", lambda v: names_one(F.col("q"), F.transform(v["names"], lambda n: F.lower(n))))
+    own = own.select(conv, turn, F.col("last.service").alias("service"), F.get(met, F.lit(0))["id"].alias("variation"))
+    both = plans.join(own, [conv, turn], "left").join(named, [conv, turn], "left")
+    narrowed = F.col("variation").isNotNull()
+    return both.select(
+        plans["*"],
+        F.when((F.col("how") == "reply") & narrowed, F.col("service")).alias("service_scope"),
+        F.when(F.col("how") != "plain", F.col("variation")).alias("variation_scope"),
+        F.when((F.col("how") == "plain") & (F.size("forms") > 0), F.col("forms")).alias("form_scope"),
+    )
+
+
 def planned_stream(rows: Iterable[pd.DataFrame], state: State) -> Iterable[tuple]:
     for part in rows:
         for r in part.sort_values(["turn", "text"]).itertuples():

@@ -103,16 +103,45 @@ def graded(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", F.explode("gold").alias("id", "grade"))
 
 
-def expanded_rules(specs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(case_id, id, grade) of rules (case_id, id_service, id_variation, types, ids): rows that they name are primary.
-
-    Shared rows of the named service support.  A rule that names nothing raises.
+# Sections whose equal texts are the same fact, wherever they stand.
+COPY_TOLERANT = ("terminology", "faq", "legalBasis")
+
+
+def _resolved(wanted: DataFrame, found: DataFrame, key: list[str], what: str) -> DataFrame:
+    """found, which must have a row for each key of wanted."""
+    lost = [r.asDict() for r in wanted.select(*key).join(found.select(*key), key, "left_anti").limit(5).collect()]
+    if lost:
+        raise ValueError(f"rules whose {what} name no rows: {lost}")
+    return found.select("case_id", "chunk_id")
+
+
+def curated(specs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(case_id, id, grade) of hand-written rules; 2 is primary, 1 supports.
+
+    specs are (case_id, id_service, id_variation, targets, ids, places, pinned,
+    also_services): targets (id_service, id_variation, types) name sections, ids
+    rows, places (municipality, list_key) parts of a directory, of any list where
+    that is null.  Unless a rule is pinned, equal texts in sections that tolerate
+    copies are primary too.  Rows of the rule's service that are shared or of its
+    variation support, and all rows of also_services.  A part of a rule that names
+    no rows raises, and so does a rule without parts: leave out cases that expect
+    no answer.  blocks are (chunk_id, id_service, id_variation, type, content,
+    municipality, list_key).
     """
-    typed = specs.select("case_id", "id_service", "id_variation", F.explode("types").alias("type")).join(blocks.select("chunk_id", "id_service", F.col("id_variation").alias("v"), "type"), ["id_service", "type"])
-    typed = typed.where("id_variation IS NULL OR v IS NULL OR v = id_variation").select("case_id", F.col("chunk_id").alias("id"), F.when(F.col("v").isNull() & F.col("id_variation").isNotNull(), 1).otherwise(2).alias("grade"))
-    named = specs.select("case_id", F.explode("ids").alias("id")).join(blocks.select(F.col("chunk_id").alias("id")), "id", "left_semi").select("case_id", "id", F.lit(2).alias("grade"))
-    gold = typed.unionByName(named).groupBy("case_id", "id").agg(F.max("grade").alias("grade"))
-    empty = [r[0] for r in specs.select("case_id").join(gold, "case_id", "left_anti").limit(5).collect()]
-    if empty:
-        raise ValueError(f"rules without rows: {empty}")
-    return gold
+    rows = blocks.select("chunk_id", F.col("id_service").alias("s"), F.col("id_variation").alias("v"), F.col("type").alias("t"), F.col("municipality").alias("m"), F.col("list_key").alias("l"), F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+    typed = specs.select("case_id", F.posexplode("targets").alias("n", "x")).select("case_id", "n", "x.id_service", "x.id_variation", F.explode("x.types").alias("type"))
+    by_type = typed.join(rows, (F.col("id_service") == F.col("s")) & (F.col("type") == F.col("t")) & (F.col("id_variation").isNull() | (F.col("id_variation") == F.col("v"))))
+    named = specs.select("case_id", F.explode("ids").alias("chunk_id"))
+    placed = specs.select("case_id", F.posexplode("places").alias("n", "x")).select("case_id", "n", "x.municipality", "x.list_key")
+    by_place = placed.join(rows, (F.col("municipality") == F.col("m")) & (F.col("list_key").isNull() | (F.col("list_key") == F.col("l"))))
+    first = _resolved(typed, by_type, ["case_id", "n", "type"], "sections")
+    first = first.unionByName(_resolved(named, named.join(rows, "chunk_id", "left_semi"), ["case_id", "chunk_id"], "ids"))
+    first = first.unionByName(_resolved(placed, by_place, ["case_id", "n"], "places")).distinct()
+    _resolved(specs, first, ["case_id"], "parts")
+    free = specs.where("NOT coalesce(pinned, false)").select("case_id")
+    wanted = first.join(free, "case_id", "left_semi").join(rows.where(F.col("t").isin(*COPY_TOLERANT)).select("chunk_id", "digest"), "chunk_id").select("case_id", "digest").distinct()
+    primary = first.unionByName(wanted.join(rows, "digest").select("case_id", "chunk_id"))
+    near = specs.join(rows, (F.col("id_service") == F.col("s")) & (F.col("v").isNull() | F.col("id_variation").isNull() | (F.col("id_variation") == F.col("v")))).select("case_id", "chunk_id")
+    also = specs.select("case_id", F.explode("also_services").alias("s")).join(rows, "s").select("case_id", "chunk_id")
+    every = primary.withColumn("grade", F.lit(2)).unionByName(near.unionByName(also).withColumn("grade", F.lit(1)))
+    return every.groupBy("case_id", F.col("chunk_id").alias("id")).agg(F.max("grade").alias("grade"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text, vectors
-from quern.operators import ambiguity, gold, maintenance, metrics, tools
+from quern.operators import ambiguity, context, dialog, gold, maintenance, metrics, tools
 from quern.plans.oracle import words
 from quern.plans.queries import table
 from quern.profile import MACEDONIAN
@@ -363,3 +363,77 @@ def entity_sizes(spark, d):
     page = F.when(F.col("c_custkey") % 4 == 3, "<html>error</html>").otherwise(F.concat(F.lit('<p><span class="x" id="lblResult">'), said, F.lit("</span></p>")))
     s = tools.entity_size(page, "lblResult")
     return table(spark, d, "customer").select("c_custkey", s["size"].alias("size"), s["read"].alias("read"))
+
+
+# what a context says of itself, scopes of turns, curated rules
+
+_SECTION = "CASE l_returnflag WHEN 'A' THEN 'documents' WHEN 'N' THEN 'tariffs' ELSE 'faq' END"
+_NOTES = " || chr(10) || ".join(["CASE WHEN bool_or(present >= total) THEN '{}' || chr(10) ELSE '' END || CASE WHEN bool_or(present < total) THEN '{}' || chr(10) ELSE '' END || '{}'"]).format(*(n.replace("'", "''") for n in (context.COMPLETE_NOTE, context.PARTIAL_NOTE, context.COUNTS_NOTE)))
+
+
+@_with(f"""
+WITH b AS (SELECT l_suppkey AS s, nullif(l_linenumber % 3, 0) AS v, {_SECTION} AS t, l_quantity >= 10 AS held FROM lineitem),
+c AS (SELECT s, t, v, count(*) FILTER (held) AS present, count(*) AS total FROM b WHERE t <> 'faq' GROUP BY ALL HAVING count(*) > 1 AND count(*) FILTER (held) > 0),
+k AS (SELECT * FROM c WHERE s % 2 = 0 OR t = 'tariffs'),
+o AS (SELECT s, t, v, present, total, '  ' || t || coalesce(' (v' || v || ')', '') || ': ' || present || ' of ' || total || ' rows -- ' || CASE WHEN present = total THEN 'COMPLETE' ELSE 'PARTIAL -- ' || (total - present) || ' row(s) of this section are not here' END AS line FROM k),
+g AS (SELECT s, '<coverage>' || chr(10) || string_agg(line, chr(10) ORDER BY t, v NULLS FIRST) || chr(10) || {_NOTES} || chr(10) || '</coverage>' AS coverage FROM o GROUP BY 1),
+a AS (SELECT s, '<ambiguity>' || chr(10) || '"Service ' || s || '" has ' || count(DISTINCT v) || ' variants with different tariffs:' || chr(10) || string_agg(DISTINCT '  - v' || v || ' (id_variation=' || v || ')', chr(10) ORDER BY '  - v' || v || ' (id_variation=' || v || ')') || chr(10)
+  || CASE WHEN s % 2 = 1 THEN 'The documents may hold none or only one of them.' || chr(10) ELSE '' END || '{context.OPEN_NOTE}' || chr(10) || '</ambiguity>' AS ambiguity FROM b WHERE s % 3 = 0 AND v IS NOT NULL GROUP BY 1)
+SELECT s_suppkey AS query_id, concat_ws(chr(10), '<documents/>', coverage, ambiguity) AS context FROM supplier LEFT JOIN g ON g.s = s_suppkey LEFT JOIN a ON a.s = s_suppkey""")
+def context_blocks(spark, d):
+    """Coverage of the asked sections and open choices behind the documents of a context."""
+    li = table(spark, d, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "A", "documents").when(F.col("l_returnflag") == "N", "tariffs").otherwise("faq")
+    v = F.when(F.col("l_linenumber") % 3 != 0, (F.col("l_linenumber") % 3).cast("long"))
+    blocks = li.select(F.col("l_suppkey").alias("id_service"), v.alias("id_variation"), kind.alias("type"), F.concat(F.lit("v"), v.cast("string")).alias("variation_short_name"), "l_quantity")
+    docs = blocks.where("l_quantity >= 10").withColumn("query_id", F.col("id_service"))
+    none = F.array().cast("array<string>")
+    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.when(F.col("s_suppkey") % 2 == 0, none).otherwise(F.array(F.lit("tariffs"))).alias("intents"))
+    coverage = context.rendered_coverage(context.answer_coverage(docs, blocks), asked)
+    offered = blocks.where("id_service % 3 = 0 AND id_variation IS NOT NULL").groupBy(F.col("id_service").alias("query_id")).agg(F.array_sort(F.collect_set(F.struct(F.col("variation_short_name").alias("label"), "id_variation"))).alias("variations"))
+    found = offered.select("query_id", F.format_string("Service %d", "query_id").alias("service_name"), F.array(F.lit("tariffs")).alias("section_types"), "variations", F.when(F.col("query_id") % 2 == 1, "structure").otherwise("evidence").alias("source"))
+    return context.full_context(asked.select("query_id", F.lit("<documents/>").alias("context")), coverage, context.rendered_ambiguity(found))
+
+
+_TURNS = "SELECT conv_id, turn, text || CASE WHEN turn % 3 = 1 THEN ' Alpha' ELSE '' END AS text, turn % 4 = 0 AS ambiguous, length(text) % 2 = 0 AS subject, CASE WHEN turn % 2 = 0 THEN conv_id % 7 END AS service FROM conversations"
+
+
+@_with(rf"""
+WITH t AS (SELECT * FROM ({_TURNS})),
+w AS (SELECT *, coalesce(lag(ambiguous) OVER o, false) AS reply, last_value(service IGNORE NULLS) OVER p AS last FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn), p AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, CASE WHEN last IS NOT NULL AND regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])alpha([^\p{{L}}\p{{N}}_]|$)') THEN last * 10 + 1 END AS variation FROM w)
+SELECT conv_id, turn, reply, CASE WHEN reply AND variation IS NOT NULL THEN last END AS service_scope, CASE WHEN reply THEN variation END AS variation_scope FROM m""")
+def turn_scopes(spark, d):
+    """Replies to an open question and the service and variation that they settle."""
+    c = table(spark, d, "conversations")
+    said = F.concat("text", F.when(F.col("turn") % 3 == 1, " Alpha").otherwise(""))
+    service = F.when(F.col("turn") % 2 == 0, F.col("conv_id") % 7).cast("long")
+    offered = F.array(F.struct((service * 10 + 1).alias("id"), F.array(F.lit("Alpha"), F.lit("First kind")).alias("names")))
+    turns = c.select("conv_id", "turn", said.alias("text"), (F.col("turn") % 4 == 0).alias("ambiguous"), (F.char_length("text") % 2 == 0).alias("subject"), service.alias("service"), offered.alias("variations"))
+    named = spark.createDataFrame([], "conv_id long, turn long, forms array<string>")
+    got = dialog.scopes(dialog.plan(turns, subject="subject", ambiguous="ambiguous"), turns, named)
+    reply = F.col("how") == "reply"
+    return got.select("conv_id", F.col("turn").cast("long").alias("turn"), reply.alias("reply"), "service_scope", F.when(reply, F.col("variation_scope")).alias("variation_scope"))
+
+
+@_with("""
+WITH b AS (SELECT c_custkey AS id, c_nationkey AS s, nullif(c_custkey % 3, 0) AS v, CASE WHEN c_custkey % 2 = 0 THEN 'faq' ELSE 'process' END AS t, 'x' || (c_custkey % 200) AS content, 'm' || (c_custkey % 97) AS m, 'l' || (c_custkey % 2) AS l FROM customer),
+c AS (SELECT s || t AS case_id, s, max(v) AS v, t, min(id) AS id, min(m) AS m, s % 4 = 0 AS pinned, (s + 1) % 25 AS other FROM b GROUP BY s, t),
+p AS (SELECT case_id, b.id FROM c JOIN b ON b.s = c.s AND b.t = c.t AND (c.v IS NULL OR b.v = c.v) UNION SELECT case_id, id FROM c UNION SELECT case_id, b.id FROM c JOIN b ON b.m = c.m),
+i AS (SELECT p.case_id, e.id FROM p JOIN c ON c.case_id = p.case_id AND NOT pinned JOIN b ON b.id = p.id AND b.t = 'faq' JOIN b e ON e.content = b.content),
+g AS (SELECT case_id, id, 2 AS grade FROM p UNION ALL SELECT case_id, id, 2 FROM i UNION ALL SELECT case_id, b.id, 1 FROM c JOIN b ON b.s = c.s AND (b.v IS NULL OR c.v IS NULL OR b.v = c.v) UNION ALL SELECT case_id, b.id, 1 FROM c JOIN b ON b.s = other)
+SELECT case_id, id::VARCHAR AS id, max(grade) AS grade FROM g GROUP BY ALL""")
+def curated_rules(spark, d):
+    """Rules by section, id and place with copies, supporting rows and a neighbouring service."""
+    k = F.col("c_custkey")
+    blocks = table(spark, d, "customer").select(
+        k.cast("string").alias("chunk_id"), k.alias("number"), F.col("c_nationkey").cast("long").alias("id_service"), F.when(k % 3 != 0, k % 3).cast("long").alias("id_variation"), F.when(k % 2 == 0, "faq").otherwise("process").alias("type"),
+        F.format_string("x%d", k % 200).alias("content"), F.format_string("m%d", k % 97).alias("municipality"), F.format_string("l%d", k % 2).alias("list_key"),
+    )
+    own = blocks.groupBy("id_service", "type").agg(F.max("id_variation").alias("id_variation"), F.min("number").cast("string").alias("id"), F.min("municipality").alias("m"))
+    target = F.struct("id_service", "id_variation", F.array("type").alias("types"))
+    specs = own.select(
+        F.concat(F.col("id_service").cast("string"), "type").alias("case_id"), "id_service", "id_variation", F.array(target).alias("targets"), F.array("id").alias("ids"),
+        F.array(F.struct(F.col("m").alias("municipality"), F.lit(None).cast("string").alias("list_key"))).alias("places"), (F.col("id_service") % 4 == 0).alias("pinned"), F.array((F.col("id_service") + 1) % 25).alias("also_services"),
+    )
+    return gold.curated(specs, blocks)

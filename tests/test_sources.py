@@ -133,10 +133,11 @@ def test_gold_families(spark):
     blocks = spark.createDataFrame([("f1", 0, "faq", 1, None, None, "s", "Прашање: Што е ова прашање?\nОдговор: да"), ("f2", 1, "faq", 2, None, None, "t", "Прашање: Што е ова прашање?\nОдговор: не"), ("t1", 2, "terminology", 1, None, None, "s", "Термин: Залог (ЗЛГ) | Објаснување: x"), ("p1", 3, "process", 1, 5, "АД", "s", "c"), ("p2", 4, "process", 1, 6, "ТП", "s", "c")], "chunk_id string, pos long, type string, id_service int, id_variation int, variation_short_name string, service_name string, content string")
     cases = gold.generate([gold.faq(blocks), gold.terminology(blocks), gold.variation(blocks, {"process": "Како %s за %s?"})]).collect()
     assert sorted((c["family"], tuple(sorted(c["gold"].items()))) for c in cases) == [("faq", (("f1", 2), ("f2", 2))), ("terminology", (("t1", 2),)), ("variation", (("f1", 1), ("p1", 2), ("t1", 1))), ("variation", (("f1", 1), ("p2", 2), ("t1", 1)))]
-    specs = spark.createDataFrame([("x", 1, 5, ["process"], ["t1"])], "case_id string, id_service int, id_variation int, types array<string>, ids array<string>")
-    assert {(r["id"], r["grade"]) for r in gold.expanded_rules(specs, blocks).collect()} == {("p1", 2), ("t1", 2)}
-    with pytest.raises(ValueError, match="without rows"):
-        gold.expanded_rules(specs.withColumn("types", F.array(F.lit("none"))).withColumn("ids", F.array(F.lit("none"))), blocks)
+    placed = blocks.selectExpr("*", "CAST(NULL AS STRING) AS municipality", "CAST(NULL AS STRING) AS list_key")
+    specs = spark.createDataFrame([("x", 1, 5, [(1, 5, ["process"])], ["t1"])], "case_id string, id_service int, id_variation int, targets array<struct<id_service int, id_variation int, types array<string>>>, ids array<string>").selectExpr("*", "CAST(array() AS array<struct<municipality string, list_key string>>) AS places", "false AS pinned", "CAST(array() AS array<int>) AS also_services")
+    assert {(r["id"], r["grade"]) for r in gold.curated(specs, placed).collect()} == {("p1", 2), ("t1", 2), ("f1", 1)}
+    with pytest.raises(ValueError, match="name no rows"):
+        gold.curated(specs.withColumn("targets", F.slice("targets", 1, 0)).withColumn("ids", F.slice("ids", 1, 0)), placed)
 
 
 def test_lookup_tools(spark):
@@ -161,7 +162,28 @@ def test_turns_are_planned_in_order(spark):
     got = {(r["conv_id"], r["turn"]): (r["query"], r["how"]) for r in dialog.plan(turns).collect()}
     assert got[1, 1] == ("Како се запишува залог а рокот?", "topic") and got[1, 2][1] == "plain" and got[2, 1][0].startswith("ок ") or got[2, 1][1] == "plain"
     state = dialog.State()
-    assert dialog.planned(state, "чини?", False, True, True) == ("чини?", "plain") and dialog.planned(state, "АД", False, False, False) == ("чини? АД", "reply") and state.topic is None
+    assert dialog.planned(state, "чини?", False, True, True) == ("чини?", "plain") and dialog.planned(state, "АД", False, False, False) == ("чини? АД", "reply") and state.topic == "АД"
+    state = dialog.State()
+    assert [dialog.planned(state, t, False, True, a) for t, a in (("чини?", True), ("не знам", True), ("АД", False))] == [("чини?", "plain"), ("чини? не знам", "reply"), ("чини? АД", "reply")]
+
+
+def test_scopes_follow_the_last_service(spark):
+    kinds = [(7, ["АД", "акционерско друштво"]), (8, ["ДОО", "друштво со ограничена одговорност"])]
+    rows = [(1, 0, "Колку чини упис", True, 5, kinds), (1, 1, "акционерско друштво", False, 5, kinds), (1, 2, "а за доо?", False, None, None), (2, 0, "Упис на ДОО во регистар", False, None, None), (3, 0, "а за доо?", False, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, text string, ambiguous boolean, service long, variations array<struct<id long, names array<string>>>")
+    named = spark.createDataFrame([(2, 0, ["ДОО"]), (1, 1, ["АД"])], "conv_id long, turn long, forms array<string>")
+    got = {(r["conv_id"], r["turn"]): tuple(r)[3:] for r in dialog.scopes(dialog.plan(turns, ambiguous="ambiguous"), turns, named).collect()}
+    assert got == {(1, 0): ("plain", None, None, None), (1, 1): ("reply", 5, 7, None), (1, 2): ("topic", None, 8, None), (2, 0): ("plain", None, None, ["ДОО"]), (3, 0): ("plain", None, None, None)}
+
+
+def test_curated_rules_that_name_nothing_raise(spark):
+    blocks = spark.createDataFrame([("a", 1, None, "faq", "x", None, None), ("b", 2, 3, "faq", "x", "m", "l"), ("c", 1, 4, "process", "y", None, None)], "chunk_id string, id_service long, id_variation long, type string, content string, municipality string, list_key string")
+    kind = "case_id string, id_service long, id_variation long, targets array<struct<id_service long, id_variation long, types array<string>>>, ids array<string>, places array<struct<municipality string, list_key string>>, pinned boolean, also_services array<long>"
+    rule = ("k", 1, None, [(1, None, ["faq"])], [], [], None, [])
+    assert {tuple(r) for r in gold.curated(spark.createDataFrame([rule], kind), blocks).collect()} == {("k", "a", 2), ("k", "b", 2), ("k", "c", 1)}
+    for n, wrong in ((3, [(1, None, ["faq", "forms"])]), (4, ["z"]), (5, [("m", "other")])):
+        with pytest.raises(ValueError):
+            gold.curated(spark.createDataFrame([(*rule[:n], wrong, *rule[n + 1 :])], kind), blocks)
 
 
 def test_streams(spark, tmp_path):

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from quern.plans.queries import LATIN
+from quern.profile import MACEDONIAN
 
 _STOP = ", ".join(f"'{w}'" for w in LATIN.stopwords)
 
 
+def _listed(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
 def words(column: str) -> str:
     return f"list_filter(regexp_extract_all(lower({column}), '[0-9A-Za-zЀ-ӿ]+'), lambda w: w NOT IN ({_STOP}))"
 
@@ -209,6 +214,13 @@ SELECT conv_id, turn, CASE WHEN len(stated) > 0 THEN round(len(list_filter(state
     "seen_docs": f"""
 SELECT conv_id, turn, array_to_string(list_sort(list_distinct(flatten(coalesce(h, [])))), ',') AS seen
 FROM (SELECT conv_id, turn, list({words('text')}[1:3]) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM conversations)""",
+    "turn_plan": f"""
+WITH t AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[0-9A-Za-zЀ-ӿ]+') AS w FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL),
+f AS (SELECT *, len(w) > 0 AND (len(w) <= 3 OR w[1] IN ({_listed(MACEDONIAN.openers)}) OR list_has_any(w, [{_listed(MACEDONIAN.anaphors)}]) OR {' OR '.join(f"contains(lower(text), '{x}')" for x in MACEDONIAN.continuations)}) AS followup,
+  len(list_filter(w, lambda x: length(x) >= 4 AND x NOT IN ({_listed((*MACEDONIAN.stopwords, *MACEDONIAN.generic_words))}))) > 0 AS subject FROM t),
+p AS (SELECT *, coalesce(last_value(CASE WHEN subject THEN text END IGNORE NULLS) OVER o, first_value(text) OVER o) AS topic FROM f WINDOW o AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, CASE WHEN topic <> '' AND (followup OR NOT subject) THEN 'topic' ELSE 'plain' END AS how FROM p)
+SELECT conv_id, turn, CASE how WHEN 'topic' THEN trim(topic || ' ' || text) ELSE text END AS query, how FROM h""",
     "incremental_diff": """
 WITH o AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS sha FROM documents WHERE doc_id % 5 <> 0), n AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 11 <> 0)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.sha IS NULL THEN 'added' WHEN n.sha IS NULL THEN 'pruned' WHEN o.sha = n.sha THEN 'unchanged' ELSE 'updated' END AS action FROM o FULL JOIN n ON o.doc_id = n.doc_id""",

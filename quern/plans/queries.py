@@ -301,7 +301,7 @@ def seen_docs(spark, d):
 
 
 def turn_plan(spark, d):
-    """The fold over each conversation's turns; SQL can't carry its state."""
+    """The fold over each conversation's turns; without open questions its topic is a window in SQL."""
     return dialog.plan(table(spark, d, "conversations").where("role = 'user'"))
 
 

@@ -416,6 +416,16 @@ def turn_scopes(spark, d):
     return got.select("conv_id", F.col("turn").cast("long").alias("turn"), reply.alias("reply"), "service_scope", F.when(reply, F.col("variation_scope")).alias("variation_scope"))
 
 
+@_with("""
+WITH f AS (SELECT conv_id, turn, text, length(text) % 2 = 0 AS subject, len(regexp_extract_all(text, '[0-9A-Za-zЀ-ӿ]+')) BETWEEN 1 AND 3 AS followup FROM conversations),
+p AS (SELECT *, coalesce(last_value(CASE WHEN subject THEN text END IGNORE NULLS) OVER o, first_value(text) OVER o) AS topic FROM f WINDOW o AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, coalesce(topic <> '' AND (followup OR NOT subject), false) AS carried, CASE WHEN topic <> '' AND (followup OR NOT subject) THEN topic || ' ' || text ELSE text END AS query FROM p""")
+def carried_topics(spark, d):
+    """Plans of all turns where texts of even length count as having a subject."""
+    turns = table(spark, d, "conversations").withColumn("subject", F.char_length("text") % 2 == 0)
+    return dialog.plan(turns, subject="subject").select("conv_id", "turn", (F.col("how") == "topic").alias("carried"), "query")
+
+
 @_with("""
 WITH b AS (SELECT c_custkey AS id, c_nationkey AS s, nullif(c_custkey % 3, 0) AS v, CASE WHEN c_custkey % 2 = 0 THEN 'faq' ELSE 'process' END AS t, 'x' || (c_custkey % 200) AS content, 'm' || (c_custkey % 97) AS m, 'l' || (c_custkey % 2) AS l FROM customer),
 c AS (SELECT s || t AS case_id, s, max(v) AS v, t, min(id) AS id, min(m) AS m, s % 4 = 0 AS pinned, (s + 1) % 25 AS other FROM b GROUP BY s, t),

@@ -12,8 +12,9 @@ those on the right that a gram over the edit may swallow.  The largest number ov
 all places bounds what an edit can cost, so two words one edit apart share, at
 places that correspond, at least (number of grams - bound) grams of either.  If
 both list their grams in one order, rarest first, they share one of the first
-bound + 1.  Only these are listed and met, by gram, place and length; every pair
-that meets is verified.
+bound + 1.  Only these are listed and met, by gram, place and length.  Of the pairs
+that meet those go whose sets of letters differ in more than an edit can change; the
+others are verified.
 
 The padding leaves at least one gram out of reach of every edit of a word of at
 least long - short + 2 characters, so no pair is lost and no word needs another way.
@@ -154,6 +155,14 @@ class Grams:
         return [(g, b) for _, g, b in order[: self.bound(text, grams) + 1]]
 
 
+def letters(word: str) -> int:
+    """Which characters a word has, by their numbers modulo 63: an edit changes two bits at most."""
+    out = 0
+    for c in set(word):
+        out |= 1 << ord(c) % 63
+    return out
+
+
 def dictionary(words: DataFrame, short: int, long: int, frequent: int, share: float) -> Grams:
     """Counts of all grams of the words that make up at least `share` of those of their length."""
     pad = long - 1
@@ -169,7 +178,7 @@ def dictionary(words: DataFrame, short: int, long: int, frequent: int, share: fl
     return Grams({r["gram"]: r["n"] for r in found.collect()}, short, long, frequent)  # at most 1 / share of each length
 
 
-def near_pairs(words: DataFrame, short: int = 2, long: int = 4, frequent: int = 32, share: float = 1 / 16384, least: int = 5) -> DataFrame:
+def near_pairs(words: DataFrame, short: int = 2, long: int = 4, frequent: int = 32, share: float = 1 / 65536, least: int = 5) -> DataFrame:
     """(word, n, other, other_n): each pair of words one edit apart once, word the longer, or the later of two as long."""
     if not 1 <= short <= long or least < long - short + 2:
         raise ValueError("words must have at least long - short + 2 characters")
@@ -178,18 +187,18 @@ def near_pairs(words: DataFrame, short: int = 2, long: int = 4, frequent: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(g, b, len(w), w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for g, b in sent.value.listed(w)]
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["gram", "place", "size", "word", "n"])
+            rows = [(g, b, len(w), w, n, letters(w)) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for g, b in sent.value.listed(w)]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["gram", "place", "size", "word", "n", "letters"])
 
-    lists = stored(words.select("word", "n").mapInArrow(run, "gram string, place int, size int, word string, n long"), "grams")
+    lists = stored(words.select("word", "n").mapInArrow(run, "gram string, place int, size int, word string, n long, letters long"), "grams")
     sent.unpersist()
     # a gram before the edit is as far from the front in both words, one after it as far from the end
-    other = lists.select("gram", "place", "size", F.col("word").alias("other"), F.col("n").alias("other_n"))
+    other = lists.select("gram", "place", "size", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("letters").alias("other_letters"))
     asked = lists.select(
-        "gram", "word", "n", F.inline(F.array(*[F.struct((F.col("place") - back).alias("place"), (F.col("size") - less).alias("size"), F.lit(less == 0).alias("level")) for back, less in ((0, 0), (0, 1), (1, 1))])),
+        "gram", "word", "n", "letters", F.inline(F.array(*[F.struct((F.col("place") - back).alias("place"), (F.col("size") - less).alias("size"), F.lit(less == 0).alias("level")) for back, less in ((0, 0), (0, 1), (1, 1))])),
     )
-    one_edit = F.levenshtein("word", "other", 1) == 1
+    one_edit = (F.bit_count(F.col("letters").bitwiseXOR(F.col("other_letters"))) <= 2) & (F.levenshtein("word", "other", 1) == 1)
     return asked.join(other, ["gram", "place", "size"]).where((~F.col("level") | (F.col("word") > F.col("other"))) & one_edit).select("word", "n", "other", "other_n").distinct()
 
 

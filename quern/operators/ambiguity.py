@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import any_of, collapse_dotted, content_words, intents, is_targeted, normal, stem, tokens
+from quern.functions.text import anchor_terms, any_of, collapse_dotted, content_words, intents, is_targeted, normal, stem, tokens
+from quern.operators import phrases
 from quern.operators.context import differing_sections, universal_rows
-from quern.operators.ranking import batch
 from quern.profile import MACEDONIAN, Profile
 from quern.tables import stored
 
@@ -76,14 +76,20 @@ def matched_variation(replies: DataFrame, offered: DataFrame, key: tuple[str, ..
 
     Names of up to five characters and the comma parts of longer ones count as
     whole words, longer names anywhere.  `by` are columns that tie a reply to what
-    it was offered; without any all were offered to all, in a batch of checked size.
+    it was offered; without any all were offered to all.
     """
     asked = replies.withColumn("q", normal(collapse_dotted("reply")))
     names = F.transform(F.concat(F.array("label"), "synonyms"), lambda x: F.lower(x))
     known = offered.withColumn("names", names)
-
-    met = asked.join(known, list(by)) if by else asked.crossJoin(batch(known))
-    met = met.where(names_one(F.col("q"), F.col("names")))
+    if by:
+        met = asked.join(known, list(by)).where(names_one(F.col("q"), F.col("names")))
+    else:
+        named = known.select(F.explode("names").alias("name"))
+        parts = named.where(F.char_length("name") > SHORT).select(F.explode(F.split("name", ",")).alias("name")).select(F.trim("name").alias("name")).where(F.char_length("name") > 1)
+        whole = named.where(F.char_length("name") <= SHORT).unionByName(parts)
+        hits = phrases.find(asked, whole, "q", "name", key, "whole").unionByName(phrases.find(asked, named.where(F.char_length("name") > SHORT), "q", "name", key, "anywhere"))
+        spelled = known.select("*", F.explode(F.array_distinct(F.concat("names", F.flatten(F.transform(F.filter("names", lambda n: F.char_length(n) > SHORT), lambda n: F.transform(F.split(n, ","), lambda p: F.trim(p))))))).alias("name"))
+        met = hits.select(*key, "name").distinct().join(spelled, "name")
     return met.groupBy(*key).agg(F.min_by(F.struct("id", "label", "synonyms"), "pos").alias("x")).select(*key, "x.*")
 
 
@@ -114,10 +120,24 @@ def known_form_names(blocks: DataFrame, profile: Profile = MACEDONIAN) -> DataFr
     return forms.unionByName(short).distinct()
 
 
+def named_labels(queries: DataFrame, forms: DataFrame, profile: Profile = MACEDONIAN) -> DataFrame:
+    """(query_id, label) of forms (label, names) that queries name, by the rules of names_form, each rule a lookup of its own."""
+    low = F.lower(collapse_dotted("query"))
+    asked = queries.select("query_id", low.alias("q")).withColumn("padded", F.concat(F.lit(" "), F.array_join(F.regexp_extract_all("q", F.lit("(?U)(\\w+)"), F.lit(1)), " "), F.lit(" ")))
+    names = forms.select("label", F.explode("names").alias("name")).withColumn("name", F.lower("name"))
+    plain = F.array_join(F.regexp_extract_all("name", F.lit("(?U)(\\w+)"), F.lit(1)), " ")
+    short = stored(names.where(F.char_length("name") <= SHORT).select("label", F.concat(F.lit(" "), plain, F.lit(" ")).alias("name")).distinct(), "short")
+    long = stored(names.where(F.char_length("name") > SHORT).distinct(), "long")
+    met = phrases.find(asked, short, "padded", "name", ("query_id",), "anywhere").join(short, "name").select("query_id", "label")
+    met = met.unionByName(phrases.find(asked, long, "q", "name", ("query_id",), "anywhere").join(long, "name").select("query_id", "label"))
+    heads = forms.where(F.char_length("label") > SHORT).select("label", stem(F.get(content_words("label", profile, is_normal=True), F.lit(0)), profile).alias("term")).where(F.char_length("term") >= 4)
+    terms = asked.select("query_id", F.explode(F.array_distinct(tokens("q", profile, is_normal=True))).alias("term"))
+    return met.unionByName(terms.join(heads, "term").select("query_id", "label")).distinct()
+
+
 def named_forms(queries: DataFrame, blocks: DataFrame, profile: Profile = MACEDONIAN) -> DataFrame:
     """(query_id, forms): labels of legal forms that a query names, sorted."""
-    forms = batch(with_synonyms(legal_forms(blocks, profile), profile))
-    met = queries.join(forms, names_form(F.col("query"), F.col("names"), F.col("label"), profile))
+    met = named_labels(queries, with_synonyms(legal_forms(blocks, profile), profile), profile)
     return met.groupBy("query_id").agg(F.sort_array(F.collect_set("label")).alias("forms"))
 
 
@@ -125,11 +145,25 @@ def _naming(queries: DataFrame, services: DataFrame, blocks: DataFrame, profile:
     """Of (query_id, id_service): whether the query names one of its forms, or a form that it lacks."""
     own = services.join(with_synonyms(labels_of(blocks), profile), "id_service").join(queries.select("query_id", "query"), "query_id")
     said = own.groupBy("query_id", "id_service").agg(F.max(names_form(F.col("query"), F.col("names"), F.col("label"), profile)).alias("own"))
-    known = batch(with_synonyms(known_form_names(blocks, profile), profile))
-    absent = queries.join(known, names_form(F.col("query"), F.col("names"), F.col("label"), profile)).select("query_id").distinct().withColumn("known", F.lit(True))
+    absent = named_labels(queries, with_synonyms(known_form_names(blocks, profile), profile), profile).select("query_id").distinct().withColumn("known", F.lit(True))
     return said.join(absent, "query_id", "left").where("own OR known").select("query_id", "id_service")
 
 
+def anchored_docs(queries: DataFrame, docs: DataFrame, blocks: DataFrame, profile: Profile = MACEDONIAN) -> DataFrame:
+    """(query_id, id_service) of rows whose content or service's name shares a stem with the query's own anchor terms."""
+    asked = queries.select("query_id", F.explode(anchor_terms("query", profile)).alias("term"))
+    names = blocks.where("id_service IS NOT NULL").groupBy("id_service").agg(F.min("service_name").alias("named")) if "service_name" in blocks.columns else blocks.select("id_service", F.lit("").alias("named")).distinct()
+    own = docs.where("id_service IS NOT NULL").select("query_id", "id_service", "content").join(names, "id_service", "left")
+    held = own.select("query_id", "id_service", F.explode(F.array_distinct(tokens(F.concat_ws(" ", "named", "content"), profile))).alias("term"))
+    return held.join(asked, ["query_id", "term"], "left_semi").select("query_id", "id_service").distinct()
+
+
+def anchored_votes(docs: DataFrame, anchored: DataFrame) -> DataFrame:
+    """(query_id, id_service) of each query's best row; where the query anchors services, only rows of these count."""
+    held = docs.join(anchored.withColumn("held", F.lit(True)), ["query_id", "id_service"], "left").join(anchored.select("query_id").distinct().withColumn("any", F.lit(True)), "query_id", "left")
+    return held.where("any IS NULL OR held").groupBy("query_id").agg(F.min_by("id_service", F.struct("rank", "id_service")).alias("id_service"))
+
+
 def detect(queries: DataFrame, docs: DataFrame, blocks: DataFrame, profile: Profile = MACEDONIAN) -> DataFrame:
     """(query_id, id_service, section_types, variations, source) where the user must be asked.
 
@@ -148,7 +182,7 @@ def detect(queries: DataFrame, docs: DataFrame, blocks: DataFrame, profile: Prof
     evidence = evidence.join(clash, ["query_id", "id_service"]).groupBy("query_id", "id_service").agg(F.sort_array(F.collect_set("type")).alias("section_types")).withColumn("source", F.lit("evidence"))
     evidence = stored(evidence, "evidence")
 
-    votes = docs.where("id_variation IS NOT NULL").groupBy("query_id").agg(F.min_by("id_service", "rank").alias("id_service"))
+    votes = anchored_votes(docs.where("id_variation IS NOT NULL"), stored(anchored_docs(queries, docs, blocks, profile), "anchored"))
     top = votes.join(asked.select("query_id", "query", F.get("intents", F.lit(0)).alias("type")), "query_id").where("type IS NOT NULL").join(differs, ["id_service", "type"], "left_semi")
     seen = docs.where("NOT injected").join(universal, ["id_service", "type", "content"], "left").groupBy("query_id", "id_service", "type").agg(F.count("*").alias("n"), F.count("universal").alias("n_universal"))
     top = top.join(seen, ["query_id", "id_service", "type"], "left").na.fill(0, ["n", "n_universal"])

@@ -1,25 +1,14 @@
-"""BM25 over tokenised rows; queries come in batches."""
+"""BM25 over rows of text, and statistics of their terms; queries come in batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import content_words, distinct_tokens, stem, tokens
-from quern.operators.ranking import top
+from quern.functions.text import content_words, distinct_tokens, stem
+from quern.operators import postings
 from quern.profile import MACEDONIAN, Profile
-from quern.tables import stored
-
-#: Queries that go to every task at once.
-BLOCK = 256
-#: Numbers of a matrix of rows by terms that a task fills at once.
-_CELLS = 1 << 22
+from quern.tables import spread
 
 
 def terms(rows: DataFrame, id_col: str, text_col: str, profile: Profile = MACEDONIAN, do_stem: bool = True) -> DataFrame:
@@ -35,7 +24,8 @@ def document_lengths(rows: DataFrame, id_col: str, text_col: str, profile: Profi
 
 def distinct_terms(rows: DataFrame, id_col: str, text_col: str, profile: Profile = MACEDONIAN) -> DataFrame:
     """(id, term), once for each row and term: repeats go before anything is shuffled."""
-    return rows.select(F.col(id_col).alias("id"), F.explode(distinct_tokens(text_col, profile)).alias("term"))
+    own = spread(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return own.select("id", F.explode(distinct_tokens("text", profile)).alias("term"))
 
 
 def document_frequency(rows: DataFrame, id_col: str, text_col: str, profile: Profile = MACEDONIAN) -> DataFrame:
@@ -53,86 +43,9 @@ def rare_terms(rows: DataFrame, id_col: str, text_col: str, most: int = 8, lette
     return seen.join(rare, "term").groupBy("term").agg(F.max("df").alias("df"), F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def build_index(rows: DataFrame, id_col: str, text_col: str, profile: Profile = MACEDONIAN, do_stem: bool = True) -> DataFrame:
-    """(term, id, length, tf): write it bucketed by term to keep searches free of shuffles."""
-    return terms(rows, id_col, text_col, profile, do_stem).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-
-
-def _numbered(batch: pa.RecordBatch, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, number among the wanted, and count of each term of each row; and the rows' lengths."""
-    lists = batch.column(1)
-    at = lists.offsets.to_numpy().astype(np.int64)
-    length = np.diff(at)
-    number = pc.index_in(lists.values.slice(at[0], at[-1] - at[0]), value_set=wanted).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(batch.num_rows), length)
-    cell, count = np.unique((row * len(wanted) + number)[number >= 0], return_counts=True)
-    return cell // len(wanted), cell % len(wanted), count, length
-
-
-def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, profile: Profile = MACEDONIAN, do_stem: bool = True, digits: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(query_id, id, score, rank) for a batch (query_id, query).
+def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, profile: Profile = MACEDONIAN, do_stem: bool = True, digits: int | None = None, at_once: int = postings.QUERIES) -> DataFrame:
+    """(query_id, id, score, rank) for a batch (query_id, query): builds the index of the rows and searches it.
 
-    A term that a query repeats counts as often; rows without any are absent.
-    Rows are tokenised once and stored.  Queries go to all tasks in blocks; a task
-    multiplies its rows' weights with a block's terms and keeps the k best of each
-    of its batches (and those equal to the last), so no pairs are shuffled that
-    can't be in the result.
+    Keep the index (postings.build) where one table is searched again.
     """
-    spark = rows.sparkSession
-    key = rows.schema[id_col].dataType.simpleString()
-    own = stored(rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(text_col, profile, do_stem).alias("terms")), "tokens")
-    whole = own.agg(F.count("*"), F.avg(F.size("terms"))).first()
-    asked = queries.select("query_id", tokens("query", profile, do_stem).alias("terms")).where(F.size("terms") > 0)
-    blocks = -(-asked.count() // block)
-    query_kind = queries.schema["query_id"].dataType.simpleString()
-    parts = []
-    for n in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else asked
-        table = part.orderBy("query_id").toArrow()  # at most about `block` queries
-        if table.num_rows:
-            parts.append(_block(own, table, whole[0], whole[1], k, k1, b, digits, f"query_id {query_kind}, id {key}, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id {query_kind}, id {key}, score double, rank int")
-    return top(reduce(DataFrame.unionByName, parts), k, digits=digits)
-
-
-def _block(own: DataFrame, table: pa.Table, n: int, mean: float, k: int, k1: float, b: float, digits: int | None, schema: str) -> DataFrame:
-    spark = own.sparkSession
-    ids, lists = table.column("query_id").combine_chunks(), table.column("terms").combine_chunks()
-    wanted = pc.unique(lists.flatten())
-    times = np.zeros((len(wanted), len(ids)))
-    np.add.at(times, (pc.index_in(lists.flatten(), value_set=wanted).to_numpy(), np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))), 1)
-    shared = spark.sparkContext.broadcast((ids, wanted, times))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value[1]
-        df = np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                df += np.bincount(_numbered(batch, wanted)[1], minlength=len(wanted))
-        held = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"number": held, "df": df[held]})
-
-    df = np.zeros(len(wanted))
-    for r in own.mapInArrow(count, "number long, df long").groupBy("number").agg(F.sum("df").alias("df")).collect():
-        df[r["number"]] = r["df"]
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    weighed = spark.sparkContext.broadcast(idf)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ids, wanted, times), idf = shared.value, weighed.value
-        size = max(1, _CELLS // max(len(wanted), len(ids)))
-        for batch in (whole.slice(i, size) for whole in batches for i in range(0, whole.num_rows, size)):
-            row, number, tf, length = _numbered(batch, wanted)
-            weight = np.zeros((batch.num_rows, len(wanted)))
-            weight[row, number] = idf[number] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
-            found = weight @ times
-            if digits is not None:
-                found = np.round(found, digits)
-            if batch.num_rows > k:
-                least = np.partition(found, batch.num_rows - k, axis=0)[batch.num_rows - k]
-                found[found < least] = 0
-            r, q = np.nonzero(found)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(r)), pa.array(found[r, q])], ["query_id", "id", "score"])
-
-    return own.mapInArrow(score, schema)
+    return postings.search(postings.build(rows, id_col, text_col, profile, do_stem), queries, k, k1, b, digits, at_once)

@@ -11,12 +11,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions.text import anchor_terms, collapse_dotted, is_followup, normal
+from quern.functions.text import anchor_terms, collapse_dotted, is_followup, normal, stem
 from quern.operators.ambiguity import names_one
+from quern.profile import MACEDONIAN, Profile
 
 HISTORY_TURNS = 4
 
@@ -47,11 +48,33 @@ def seen(turns: DataFrame, docs: str, conv: str = "conv_id", turn: str = "turn")
     return marked.withColumn("seen", F.flatten(F.collect_list("new").over(frame))).drop("new")
 
 
-def subjects(turns: DataFrame, frequency: DataFrame, n_blocks: int, text: str = "text", key: tuple[str, ...] = ("conv_id", "turn"), share: float = 0.10) -> DataFrame:
-    """Turns whose anchor terms include one that some, but at most a tenth, of the blocks hold."""
-    asked = turns.select(*key, F.explode(anchor_terms(text)).alias("term"))
+def cue_stems(profile: Profile = MACEDONIAN) -> Column:
+    """Stems of the words that ask for a section: they say what is wanted, not about what."""
+    cues = sorted({c for cues in profile.intents.values() for c in cues if " " not in c})
+    return F.array(*[stem(F.lit(c), profile) for c in cues])
+
+
+def subject_terms(turns: DataFrame, frequency: DataFrame, n_blocks: int, text: str = "text", key: tuple[str, ...] = ("conv_id", "turn"), share: float = 0.10, profile: Profile = MACEDONIAN) -> DataFrame:
+    """(key, term): anchor terms that can name a subject.
+
+    A term goes that begins like a cue's stem, or that a cue's stem begins with;
+    some blocks must hold it, but at most a tenth of them.
+    """
+    terms = F.transform(anchor_terms(text, profile), lambda t: F.struct(t.alias("t"), F.exists(cue_stems(profile), lambda c: F.startswith(t, c) | F.startswith(c, t)).alias("cue")))
+    asked = turns.select(*key, F.explode(F.transform(F.filter(terms, lambda x: ~x["cue"]), lambda x: x["t"])).alias("term"))
     held = frequency.where((F.col("df") > 0) & (F.col("df") <= share * n_blocks)).select("term")
-    return asked.join(held, "term", "left_semi").select(*key).distinct()
+    return asked.join(held, "term", "left_semi").select(*key, "term")
+
+
+def subjects(turns: DataFrame, frequency: DataFrame, n_blocks: int, text: str = "text", key: tuple[str, ...] = ("conv_id", "turn"), share: float = 0.10, profile: Profile = MACEDONIAN) -> DataFrame:
+    """(key) of turns with a subject."""
+    return subject_terms(turns, frequency, n_blocks, text, key, share, profile).select(*key).distinct()
+
+
+def with_subject(turns: DataFrame, frequency: DataFrame, n_blocks: int, conv: str = "conv_id", turn: str = "turn", text: str = "text", profile: Profile = MACEDONIAN) -> DataFrame:
+    """turns with subject: what plan() takes as the turns that may become a topic."""
+    found = subjects(turns, frequency, n_blocks, text, (conv, turn), profile=profile).withColumn("subject", F.lit(True))
+    return turns.drop("subject").join(found, [conv, turn], "left").withColumn("subject", F.coalesce("subject", F.lit(False)))
 
 
 @dataclass

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.text import anchor_terms, content_words, intents, starts_word, stem, tokens
+from quern.operators import phrases
 from quern.operators.ranking import RRF_K, batch, rrf
 from quern.profile import MACEDONIAN, Profile
 
@@ -111,9 +112,8 @@ def entity_rows(queries: DataFrame, blocks: DataFrame, text_col: str = "embeddin
 def named_places(queries: DataFrame, places: DataFrame, profile: Profile = MACEDONIAN) -> DataFrame:
     """(query_id, municipality): names at a word's left boundary; a group's name stands for its members."""
     known = places.select("municipality").where("municipality IS NOT NULL").distinct()
+    out = phrases.find(queries, known, "query", "municipality", ("query_id",)).select("query_id", F.col("name").alias("municipality"))
     q = queries.select("query_id", F.lower("query").alias("q"))
-    bounded = F.expr(r"q RLIKE concat('(?U)(?<!\\w)\\Q', lower(municipality), '\\E')")
-    out = q.join(batch(known), bounded).select("query_id", "municipality")
     for group, members in profile.municipality_groups.items():
         hit = q.where(starts_word(F.col("q"), (group.lower(),)))
         out = out.unionByName(hit.select("query_id", F.explode(F.array(*map(F.lit, members))).alias("municipality")).join(known, "municipality", "left_semi").select("query_id", "municipality"))

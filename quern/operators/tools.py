@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions.dates import date_ticks, printed_date
 from quern.functions.html import infobox_value
 from quern.functions.text import col, digits, norm_text, same_number
-from quern.operators.ranking import batch
+from quern.operators import phrases
+from quern.tables import stored
 
 
 def entity_index(profiles: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -19,28 +20,44 @@ def entity_index(profiles: DataFrame, decisions: DataFrame) -> DataFrame:
     return both.groupBy("number").agg(F.max_by("id", F.struct("p", "id")).alias("id"), F.max_by("name", F.struct("p", "name")).alias("name"), (F.max("p") == 1).alias("has_profile"), F.sum("d").alias("n_decisions"))
 
 
+def _told(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit("")) != ""
+
+
+def _met(rows: DataFrame, asked: DataFrame, name_col: str, id_col: str) -> DataFrame:
+    """Rows joined with the criteria (by_id, by_name) they fit; each query is met by its identifier, else by its name."""
+    named = rows.withColumn("_row", F.monotonically_increasing_id())
+    named = stored(named.withColumns({"_low": norm_text(name_col), "_number": same_number(id_col)}), "rows")
+    by_number = named.join(asked.where(_told("by_id")).withColumn("_number", same_number("by_id")), "_number").where(~_told("by_name") | F.contains("_low", F.col("by_name")))
+    rest = asked.where(~_told("by_id") & _told("by_name"))
+    hits = phrases.find(named, rest, "_low", "by_name", ("_row",), "anywhere").select("_row", F.col("name").alias("by_name")).distinct()
+    by_name = named.join(hits.join(rest, "by_name"), "_row")
+    return by_number.unionByName(by_name.select(by_number.columns)).drop("_row", "_low", "_number")
+
+
 def entity_search(entities: DataFrame, queries: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
     """(query_id, entity's columns): criteria (by_id, by_name) are joined by and; empty ones don't count.
 
     At least one must be given.
     """
-    told = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    asked = batch(queries.select("query_id", F.col("by_id"), norm_text("by_name").alias("by_name")).where(told("by_id") | told("by_name")))
-    fits = (~told("by_id") | (same_number("by_id") == same_number(id_col))) & (~told("by_name") | F.contains(norm_text(name_col), F.col("by_name")))
-    return entities.join(asked, fits).drop("by_id", "by_name")
+    asked = stored(queries.select("query_id", F.col("by_id"), norm_text("by_name").alias("by_name")), "asked")
+    return _met(entities, asked, name_col, id_col).drop("by_id", "by_name")
 
 
 def announcement_search(decisions: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, decision's columns): by id, name, type and one of the printed dates, joined by and."""
-    told = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    asked = batch(queries.select("query_id", "by_id", norm_text("by_name").alias("by_name"), norm_text("by_type").alias("by_type"), "by_date"))
-    fits = (
-        (~told("by_id") | (same_number("by_id") == same_number("id")))
-        & (~told("by_name") | F.contains(norm_text("name"), F.col("by_name")))
-        & (~told("by_type") | (norm_text("doc_type") == F.col("by_type")))
-        & (~told("by_date") | F.array_contains(F.transform("dates", lambda d: printed_date(d)), printed_date("by_date")))
-    )
-    return decisions.join(asked, fits).drop("by_id", "by_name", "by_type", "by_date")
+    """(query_id, decision's columns): by id, name, type and one of the printed dates, joined by and.
+
+    At least one must be given.  The first of identifier, name, date and type that a
+    query has is what it is looked up by.
+    """
+    days = F.transform("dates", lambda d: printed_date(d))
+    asked = stored(queries.select("query_id", "by_id", norm_text("by_name").alias("by_name"), norm_text("by_type").alias("by_type"), printed_date("by_date").alias("by_date"), _told("by_date").alias("dated")), "asked")
+    met = _met(decisions, asked, "name", "id")
+    rest = asked.where(~_told("by_id") & ~_told("by_name"))
+    dated = decisions.withColumn("by_date", F.explode(F.array_distinct(days))).join(rest.where("dated"), "by_date").select(met.columns)
+    typed = decisions.withColumn("by_type", norm_text("doc_type")).join(rest.where(~F.col("dated") & _told("by_type")), "by_type").select(met.columns)
+    fits = (~F.col("dated") | F.array_contains(days, F.col("by_date"))) & (~_told("by_type") | (norm_text("doc_type") == F.col("by_type")))
+    return met.unionByName(dated).unionByName(typed).where(fits).drop("by_id", "by_name", "by_type", "by_date", "dated")
 
 
 def argument_problems(number: Column | str | None = None, case_number: Column | str | None = None, day: Column | str | None = None) -> Column:

@@ -2,12 +2,14 @@
 
 Windows serve where a rule looks at all earlier turns alike; the turn planner,
 whose state depends on its own earlier decisions, is a fold over the turns of one
-conversation, in Spark's grouped map in batch and as state in streams.
+conversation, over sorted rows in batch and as state in streams.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.text import anchor_terms, collapse_dotted, is_followup, normal, stem
-from quern.operators.ambiguity import names_one
+from quern.operators.ambiguity import SHORT, names_one
 from quern.profile import MACEDONIAN, Profile
 
 HISTORY_TURNS = 4
@@ -154,7 +156,74 @@ def scopes(plans: DataFrame, turns: DataFrame, named: DataFrame, conv: str = "co
     )
 
 
-def planned_stream(rows: Iterable[pd.DataFrame], state: State) -> Iterable[tuple]:
-    for part in rows:
-        for r in part.sort_values(["turn", "text"]).itertuples():
-            yield (r.conv, r.turn, *planned(state, r.text, bool(r.followup), bool(r.subject), bool(r.ambiguous)))
+@dataclass
+class Session(State):
+    """What a conversation's turns leave for the next: besides topic and question the last service, what it offers, and when the last turn was."""
+
+    service: int | None = None
+    offered: str | None = None
+    at: int | None = None
+    turn: int | None = None
+
+
+TURN = "turn long, query string, how string, service_scope long, variation_scope long, form_scope array<string>"
+
+
+def says(q: str, names: list[str]) -> bool:
+    """names_one() for one reply in normal form."""
+    whole = lambda x: re.search(rf"(?<!\w){re.escape(x)}(?!\w)", q) is not None
+    for name in map(str.lower, names):
+        if whole(name) if len(name) <= SHORT else name in q or any(whole(p) for p in map(str.strip, name.split(",")) if len(p) > 1):
+            return True
+    return False
+
+
+def turn_rows(session: Session, rows: Iterable, idle_ms: int) -> Iterator[tuple]:
+    """The columns of TURN for turns of one conversation in order; a row `expired` where a gap ends a session."""
+    for r in rows:
+        if session.at is not None and r.ms - session.at > idle_ms:
+            yield session.turn, None, "expired", None, None, None
+            session.__init__()
+        query, how = planned(session, r.text, bool(r.followup), bool(r.subject), bool(r.ambiguous))
+        met = next((v["id"] for v in json.loads(session.offered) if says(r.q, v["names"])), None) if session.service is not None and how != "plain" else None
+        forms = [str(f) for f in r.forms] if how == "plain" and r.forms is not None and len(r.forms) else None
+        yield int(r.turn), query, how, session.service if how == "reply" and met is not None else None, met, forms
+        if r.service is not None and r.service == r.service:
+            session.service, session.offered = int(r.service), r.offered or "[]"
+        session.at, session.turn = int(r.ms), int(r.turn)
+
+
+def turn_columns(turns: DataFrame) -> DataFrame:
+    """What turn_rows() reads, from (conv_id, turn, ts, text, subject, ambiguous, service, variations, forms); ts stays for watermarks."""
+    t = F.coalesce("text", F.lit(""))
+    return turns.select(
+        F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), "ts", F.unix_millis("ts").alias("ms"), t.alias("text"), is_followup("text").alias("followup"), "subject", "ambiguous",
+        normal(collapse_dotted(t)).alias("q"), F.col("service").cast("long").alias("service"), F.to_json("variations").alias("offered"), "forms",
+    )
+
+
+def plan_sessions(turns: DataFrame, idle_ms: int) -> DataFrame:
+    """Plans and scopes of all turns, where a gap of more than idle_ms begins anew.
+
+    turns are those of turn_columns(); a conversation's pass one task in order, in
+    batches; the last session of a conversation has no row that says it expired.
+    """
+    kind = turns.schema["conv_id"].dataType.simpleString()
+
+    def fold(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        at, session = None, Session()
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                if r.conv != at:
+                    at, session = r.conv, Session()
+                out += [(r.conv, *x) for x in turn_rows(session, [r], idle_ms)]
+            yield turn_frame(out)
+
+    ordered = turn_columns(turns).where("conv IS NOT NULL").repartition("conv").sortWithinPartitions("conv", "turn", "text")
+    return ordered.mapInPandas(fold, f"conv_id {kind}, {TURN}")
+
+
+def turn_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["conv_id", *(f.split()[0] for f in TURN.split(", "))])
+    return frame.astype({"turn": "Int64", "service_scope": "Int64", "variation_scope": "Int64"})

@@ -5,15 +5,19 @@ Each reads its whole tables; its SQL stands beside it.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text, vectors
-from quern.operators import ambiguity, context, dialog, gold, maintenance, metrics, tools
+from quern.operators import ambiguity, bm25, context, dialog, gold, maintenance, metrics, phrases, tools
 from quern.plans.oracle import words
-from quern.plans.queries import table
+from quern.plans.queries import LATIN, table
 from quern.profile import MACEDONIAN
 from quern.sources import crawl, services
+from quern.streaming import flows
+from quern.tables import new_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -447,3 +451,71 @@ def curated_rules(spark, d):
         F.array(F.struct(F.col("m").alias("municipality"), F.lit(None).cast("string").alias("list_key"))).alias("places"), (F.col("id_service") % 4 == 0).alias("pinned"), F.array((F.col("id_service") + 1) % 25).alias("also_services"),
     )
     return gold.curated(specs, blocks)
+
+
+_SESSIONS = """SELECT conv_id, turn, text || CASE WHEN turn % 3 = 1 THEN ' Alpha' ELSE '' END AS text, turn % 4 = 0 AS ambiguous, length(text) % 2 = 0 AS subject,
+  CASE WHEN turn % 2 = 0 THEN conv_id % 7 END AS service, 3600 * (turn + 6 * (turn // 5)) AS s, CASE WHEN turn % 6 = 5 THEN 'form' || (conv_id % 3) END AS form FROM conversations"""
+
+
+@_with(rf"""
+WITH t AS (SELECT *, coalesce(s - lag(s) OVER (PARTITION BY conv_id ORDER BY turn) > 10800, false)::INT AS fresh FROM ({_SESSIONS})),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS part, len(regexp_extract_all(text, '[0-9A-Za-zЀ-ӿ]+')) BETWEEN 1 AND 3 AS followup FROM t),
+w AS (SELECT *, coalesce(lag(ambiguous) OVER o, false) AS reply, lag(text) OVER o AS asked, last_value(service IGNORE NULLS) OVER p AS last,
+        coalesce(last_value(CASE WHEN subject AND NOT ambiguous THEN text END IGNORE NULLS) OVER p, first_value(CASE WHEN NOT ambiguous THEN text END IGNORE NULLS) OVER p, '') AS topic
+      FROM n WINDOW o AS (PARTITION BY conv_id, part ORDER BY turn), p AS (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, CASE WHEN reply THEN 'reply' WHEN topic <> '' AND (followup OR NOT subject) THEN 'topic' ELSE 'plain' END AS how,
+        CASE WHEN last IS NOT NULL AND regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])alpha([^\p{{L}}\p{{N}}_]|$)') THEN last * 10 + 1 END AS variation FROM w)
+SELECT conv_id, turn, how, CASE how WHEN 'reply' THEN trim(asked || ' ' || text) WHEN 'topic' THEN trim(topic || ' ' || text) ELSE text END AS query,
+       CASE WHEN how = 'reply' AND variation IS NOT NULL THEN last END AS service_scope, CASE WHEN how <> 'plain' THEN variation END AS variation_scope, CASE WHEN how = 'plain' THEN form END AS form_scope FROM h
+UNION ALL
+SELECT conv_id, max(turn), 'expired', NULL, NULL, NULL, NULL FROM n GROUP BY conv_id, part
+HAVING max(part) < (SELECT max(part) FROM n m WHERE m.conv_id = n.conv_id) OR max(s) + 10800 < (SELECT max(s) - 600 FROM n)""")
+def session_stream(spark, d):
+    """Conversations as a stream in four parts, an hour a turn and a longer break after five; sessions end after three hours."""
+    turns = _session_turns(spark, d)
+    at = new_path(spark, "turns")
+    for part in range(4):  # the order of the files is that of the turns
+        turns.where(F.least(F.col("turn") / 4, F.lit(3)).cast("int") == part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        time.sleep(0.02)
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    with flows.rocksdb(spark):
+        plans = flows.plan_stream(stream, idle="3 hours", late="10 minutes")
+        plans.writeStream.format("parquet").option("checkpointLocation", f"{at}/log").outputMode("append").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.schema(plans.schema).parquet(f"{at}/out").withColumn("form_scope", F.get("form_scope", F.lit(0)))
+
+
+def _session_turns(spark, d):
+    c = table(spark, d, "conversations")
+    hours = F.col("turn") + 6 * F.floor(F.col("turn") / 5)
+    service = F.when(F.col("turn") % 2 == 0, F.col("conv_id") % 7).cast("long")
+    return c.select(
+        "conv_id", "turn", F.timestamp_seconds(1_704_067_200 + hours * 3600).alias("ts"), F.concat("text", F.when(F.col("turn") % 3 == 1, " Alpha").otherwise("")).alias("text"), (F.char_length("text") % 2 == 0).alias("subject"), (F.col("turn") % 4 == 0).alias("ambiguous"),
+        service.alias("service"), F.array(F.struct((service * 10 + 1).alias("id"), F.array(F.lit("Alpha"), F.lit("First kind")).alias("names"))).alias("variations"),
+        F.when(F.col("turn") % 6 == 5, F.array(F.concat(F.lit("form"), (F.col("conv_id") % 3).cast("string")))).alias("forms"),
+    )
+
+
+@_with(rf"""
+WITH t AS (SELECT doc_id, unnest(list_distinct({words("text")})) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM t GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
+a AS (SELECT conv_id, turn, unnest(list_distinct({words("text")})) AS term FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, a.term FROM a JOIN df ON a.term = df.term, n WHERE length(a.term) >= 4 AND df <= 0.10 * n
+  AND NOT EXISTS (SELECT 1 FROM (VALUES ('then'), ('onth'), ('erst'), ('lich'), ('ment'), ('ción'), ('the'), ('que')) c(cue) WHERE starts_with(a.term, cue) OR starts_with(cue, a.term))""")
+def turn_subjects(spark, d):
+    """Terms of each user's turn that can name a subject: words like a section's cue are none, nor are frequent or unknown ones."""
+    docs = table(spark, d, "documents")
+    frequency = bm25.document_frequency(docs, "doc_id", "text", LATIN)
+    return dialog.subject_terms(table(spark, d, "conversations").where("role = 'user'"), frequency, docs.count(), profile=LATIN)
+
+
+@_with(r"""
+WITH names AS (SELECT word AS name FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[^ ]+')) AS word FROM part) GROUP BY 1 UNION SELECT lower(p_name) FROM part UNION SELECT lower(c_mktsegment) FROM customer),
+texts AS (SELECT p_partkey, lower(p_name || '; ' || p_type || '. ' || p_brand) AS t FROM part),
+hits AS (SELECT p_partkey, name, unnest(range(1, length(t) + 1)) AS i, t FROM texts JOIN names ON contains(t, name)),
+found AS (SELECT p_partkey, name, i - 1 AS b, i - 1 + length(name) AS e FROM hits WHERE substr(t, i, length(name)) = name AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '[\p{L}\p{N}_]')))
+SELECT p_partkey, name, b::INT AS "begin", e::INT AS "end" FROM found""")
+def names_in_parts(spark, d):
+    """Every name of a part, each of its words, and every segment, where words of any part's description begin: one automaton."""
+    p = table(spark, d, "part")
+    names = p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).union(p.select(F.lower("p_name"))).union(table(spark, d, "customer").select(F.lower("c_mktsegment")))
+    texts = p.select("p_partkey", F.concat("p_name", F.lit("; "), "p_type", F.lit(". "), "p_brand").alias("text"))
+    return phrases.find(texts, names, "text", "name", ("p_partkey",))

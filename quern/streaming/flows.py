@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quern.functions.text import anchor_terms, is_followup
-from quern.operators.dialog import PLAN, State, planned_stream
+from quern.operators import dialog
 from quern.operators.maintenance import difference
 from quern.sources.crawl import MANIFEST
 
@@ -32,17 +32,63 @@ def resume(wanted: DataFrame, done_path: str, out_path: str, checkpoint: str) ->
     return wanted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
 
-def plan_stream(turns: DataFrame) -> DataFrame:
-    """The turn planner over a stream of (conv_id, turn, text): its state is the topic and the open question."""
-    own = turns.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), is_followup("text").alias("followup"), (F.size(anchor_terms("text")) > 0).alias("subject"), F.lit(False).alias("ambiguous"))
+class Planner(StatefulProcessor):
+    """The turn planner as state: topic, open question, last service and its options.
 
-    def step(key: tuple, rows: Iterable[pd.DataFrame], held: GroupState) -> Iterable[pd.DataFrame]:
-        state = State(*held.get) if held.exists else State()
-        out = list(planned_stream(rows, state))
-        held.update((state.topic, state.pending))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "query", "how"])
+    A session ends `idle_ms` after its last turn, by event time: a turn that comes
+    later begins anew, and a timer drops the state of conversations that stay away,
+    so state does not grow with all conversations ever seen.  Each end is a row.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("session", "topic string, pending string, service long, offered string, at long, turn long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        session = dialog.Session(*self.held.get()) if self.held.exists() else dialog.Session()
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        parts = pd.concat(list(rows)).sort_values(["turn", "text"])
+        out = [(*key, *x) for x in dialog.turn_rows(session, parts.itertuples(), self.idle_ms)]
+        self.held.update((session.topic, session.pending, session.service, session.offered, session.at, session.turn))
+        self.handle.registerTimer(session.at + self.idle_ms)
+        yield dialog.turn_frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        if self.held.exists():
+            turn = self.held.get()[5]
+            self.held.clear()
+            yield dialog.turn_frame([(*key, turn, None, "expired", None, None, None)])
 
-    return own.groupBy("conv").applyInPandasWithState(step, f"conv_id long, {PLAN}", "topic string, pending string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def plan_stream(turns: DataFrame, idle: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """The turn planner over a stream of the turns that dialog.turn_columns() takes.
+
+    Start it within rocksdb(): such state needs that store.
+    """
+    spark = turns.sparkSession
+    idle_ms = int(spark.range(1).select(F.expr(f"unix_millis(timestamp'1970-01-01T00:00:00Z' + INTERVAL {idle})")).first()[0])
+    own = dialog.turn_columns(turns).where("conv IS NOT NULL").withWatermark("ts", late)
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    return own.groupBy("conv").transformWithStateInPandas(Planner(idle_ms), f"conv_id {kind}, {dialog.TURN}", "append", "EventTime")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state in RocksDB; the session's own setting is restored."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def upkeep(rows: DataFrame, index_path: str, id_col: str, text_col: str, checkpoint: str) -> StreamingQuery:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text, vectors
-from quern.operators import ambiguity, bm25, context, dialog, gold, maintenance, metrics, phrases, tools
+from quern.operators import ambiguity, bm25, context, dialog, generations, gold, injection, maintenance, metrics, phrases, probing, tools
 from quern.plans.oracle import words
 from quern.plans.queries import LATIN, table
 from quern.profile import MACEDONIAN
@@ -519,3 +519,62 @@ def names_in_parts(spark, d):
     names = p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).union(p.select(F.lower("p_name"))).union(table(spark, d, "customer").select(F.lower("c_mktsegment")))
     texts = p.select("p_partkey", F.concat("p_name", F.lit("; "), "p_type", F.lit(". "), "p_brand").alias("text"))
     return phrases.find(texts, names, "text", "name", ("p_partkey",))
+
+
+def _planted(place: int) -> str:
+    return "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v[place]}'" for k, v in injection.PAYLOADS.items()) + " END"
+
+
+@_with(f"""
+WITH d AS (SELECT doc_id, source, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, unnest({list(injection.PAYLOADS)}) AS kind FROM documents)
+SELECT doc_id, kind, 2::BIGINT AS n, doc_id::VARCHAR AS id, source || {_planted(1)} AS source, sha256(substr(text, 1, length(text) // 2) || {_planted(0)} || substr(text, length(text) // 2 + 1)) AS text_sha, 'witness' AS next_id FROM d""")
+def injection_suite(spark, d):
+    """Every document poisoned in six ways, rendered with one that follows it, and read back by an XML reader."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    key = F.concat_ws("|", F.col("doc_id").cast("string"), "kind")
+    bad = injection.poisoned(docs, "text", "source").select(key.alias("query_id"), F.col("doc_id").cast("string").alias("id"), "source", F.col("text").alias("content"), F.lit(1).alias("position"))
+    witness = bad.select("query_id", F.lit("witness").alias("id"), F.lit("w").alias("source"), F.lit("a clean text").alias("content"), F.lit(2).alias("position"))
+    read = injection.parsed(context.rendered(bad.unionByName(witness), attributes=("source",)), attributes=("source",))
+    first, second = F.get("documents", F.lit(0)), F.get("documents", F.lit(1))
+    asked = F.split("query_id", r"\|")
+    return read.select(asked[0].cast("long").alias("doc_id"), asked[1].alias("kind"), F.size("documents").cast("long").alias("n"), first["id"].alias("id"), first["source"].alias("source"), F.sha2(first["content"], 256).alias("text_sha"), second["id"].alias("next_id"))
+
+
+@_with("""
+WITH c AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS s FROM customer),
+r AS (SELECT k, s, CASE k % 3 WHEN 0 THEN lpad(s, 8, '0') WHEN 1 THEN s ELSE lpad(s, 9, '0') END AS number, CASE k % 4 WHEN 0 THEN s WHEN 1 THEN lpad(s, 8, '0') WHEN 2 THEN lpad(s, 7, '0') END AS saved FROM c),
+f AS (SELECT *, [number, s, lpad(s, 8, '0'), lpad(s, 7, '0')] AS l FROM r),
+p AS (SELECT *, list_position(list_filter(l, lambda x, i: list_position(l, x) = i), saved) AS place FROM f)
+SELECT k AS c_custkey, CASE WHEN saved IS NULL THEN NULL ELSE saved END AS key, CASE WHEN saved IS NOT NULL THEN place::BIGINT END AS place,
+       CASE WHEN saved IS NULL OR k % 20 = 0 THEN NULL WHEN k % 10 = 0 THEN 2 ELSE 1 END::BIGINT AS reading, CASE WHEN saved IS NULL THEN 'missing' WHEN k % 20 = 0 THEN 'mismatch' ELSE 'found' END AS outcome
+FROM p""")
+def probed_records(spark, d):
+    """Requests for every customer, padded in three ways, against records saved in three ways; each tenth is misread once, each twentieth twice."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("s"))
+    k = F.col("c_custkey")
+    zeros = lambda n: F.when(F.char_length("s") < n, F.lpad("s", n, "0")).otherwise(F.col("s"))
+    requests = c.select("c_custkey", F.when(k % 3 == 0, zeros(8)).when(k % 3 == 1, F.col("s")).otherwise(zeros(9)).alias("number"))
+    wrong = (k + 1).cast("string")
+    records = c.where(k % 4 < 3).select(F.when(k % 4 == 0, F.col("s")).when(k % 4 == 1, zeros(8)).otherwise(zeros(7)).alias("key"), F.when(k % 10 == 0, wrong).otherwise(F.col("s")).alias("read"), F.when(k % 20 == 0, wrong).otherwise(F.col("s")).alias("again"))
+    return probing.probe(requests, records).select("c_custkey", "key", F.col("place").cast("long").alias("place"), F.col("reading").cast("long").alias("reading"), "outcome")
+
+
+@_with("""
+SELECT doc_id::VARCHAR AS id, sha256('m|0|' || text) AS sha, lang, source, 1::BIGINT AS generations, true AS replayed, (SELECT count(*) FROM documents WHERE doc_id % 11 = 0 AND doc_id % 5 <> 0 OR doc_id % 11 <> 0) AS before_pruning
+FROM documents WHERE doc_id % 13 <> 0""")
+def index_generations(spark, d):
+    """An index built, changed, its batch run again, a bad batch taken back, ids pruned, compacted and purged."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("n"), F.col("doc_id").cast("string").alias("id"), "text", "lang", "source")
+    own = docs.drop("n")
+    index = generations.Generations(spark, new_path(spark, "index"), own.schema, model="m")
+    index.apply(docs.where("n % 5 <> 0").withColumn("text", F.when(F.col("n") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).drop("n"), 0)
+    changed = docs.where("n % 11 <> 0").drop("n")
+    good = index.apply(changed, 1)
+    replayed = index.apply(changed, 1).version == good.version
+    index.apply(own.withColumn("text", F.lit("broken")), 2)
+    index.rollback(good.version)
+    before = index.current().count()
+    index.apply(docs.where("n % 13 <> 0").drop("n"), 2, whole=True)
+    last = index.compact()
+    index.purge(keep=1)
+    return index.current().select("id", "sha", "lang", "source", F.lit(len(last.generations)).cast("long").alias("generations"), F.lit(replayed).alias("replayed"), F.lit(before).alias("before_pruning"))

@@ -195,13 +195,6 @@ def test_streams(spark, tmp_path):
     done = flows.manifest_stream(spark, str(log), 1).writeStream.format("memory").queryName("done").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     done.awaitTermination()
     assert sorted(r["key"] for r in spark.table("done").collect()) == ["a", "b"]
-    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, text string")
-    for n in range(3):
-        turns.where(F.col("turn") == n).coalesce(1).write.mode("append").json(str(tmp_path / "turns"))
-        time.sleep(0.01)
-    stream = flows.plan_stream(spark.readStream.schema("conv_id long, turn long, text string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "turns")))
-    stream.writeStream.format("memory").queryName("plans").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
-    assert {tuple(r) for r in spark.table("plans").collect()} == {tuple(r) for r in dialog.plan(turns).select("conv_id", "turn", "query", "how").collect()}
     docs = tmp_path / "docs"
     spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(str(docs))
     index = tmp_path / "index"

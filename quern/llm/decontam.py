@@ -7,6 +7,11 @@ is marked again and again until none is left.  The share of the item's tokens
 that tiles cover is its coverage, whatever the order of the tiles in the
 document; documents at or above the threshold are contaminated.
 
+Repetitive texts share seeds at very many pairs of places.  Where a document's pairs
+are more than a bound, its runs are enumerated by their first seeds alone, those whose
+tokens before differ, with lengths by prefix hashes; of more than a bounded number the
+best are marked, and what the marks leave is enumerated again.
+
 The benchmark is the stated query set: it is taken in blocks of bounded size, one
 after the other, each of which goes to every task; documents stay where they are.
 
@@ -31,6 +36,8 @@ from quern.llm.common import lowered, only, slices
 
 #: Benchmark text that goes to the tasks at once.
 BLOCK_BYTES = 16 << 20
+#: Pairs of places, or runs, that a task holds at once.
+PAIRS = 1 << 20
 
 
 @dataclass
@@ -97,7 +104,99 @@ def tiles(doc_at: np.ndarray, item_at: np.ndarray, least: int) -> list[tuple[int
     return out
 
 
-def matches(items: Items, column: pa.Array, least: int, threshold: float) -> list[tuple[int, int, float, int, int]]:
+class Lengths:
+    """How far a document and an item agree from given places, up to the next marked token."""
+
+    def __init__(self, doc: np.ndarray, item: np.ndarray):
+        base = bw._BASES[2]
+        self.sums = [bw._sums(x, base) for x in (doc, item)]
+        self.back = [bw._power(base, len(x) + 1, True) for x in (doc, item)]
+
+    def _hash(self, which: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        sums = self.sums[which]
+        return (sums[at + size] - sums[at]) * self.back[which][at]
+
+    def __call__(self, d: np.ndarray, q: np.ndarray, most: np.ndarray, least: int) -> np.ndarray:
+        low, high = np.full(len(d), least), most.copy()
+        while (open_ := low < high).any():
+            mid = np.where(open_, (low + high + 1) // 2, low)
+            same = self._hash(0, d, mid) == self._hash(1, q, mid)
+            low, high = np.where(same, mid, low), np.where(same, high, np.minimum(high, mid - 1))
+        return low
+
+
+def _free(used: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where `least` unmarked tokens begin, and how many unmarked ones follow from each place."""
+    marked = np.flatnonzero(np.append(used, True))
+    left = marked[np.searchsorted(marked, np.arange(len(used)))] - np.arange(len(used))
+    return np.flatnonzero(left >= least), left
+
+
+def _best_runs(doc: np.ndarray, item: np.ndarray, used_d: np.ndarray, used_q: np.ndarray, least: int, most: int, lengths: Lengths) -> tuple[np.ndarray, bool]:
+    """The best `most` runs of unmarked tokens as rows (-length, item place, document place), ascending; and whether these are all."""
+    (at_d, left_d), (at_q, left_q) = _free(used_d, least), _free(used_q, least)
+    seed_d, seed_q = bw.rolling(doc, least)[at_d], bw.rolling(item, least)[at_q]
+    # the token before, where there is an unmarked one
+    first_d, first_q = (at_d == 0) | used_d[at_d - 1], (at_q == 0) | used_q[at_q - 1]
+    before_d, before_q = doc[at_d - 1], np.where(first_q, np.uint64(0), item[at_q - 1])
+    order = np.lexsort((at_q, before_q, first_q, seed_q))
+    keys = np.zeros(len(order), [("seed", "u8"), ("first", "?"), ("before", "u8")])
+    keys["seed"], keys["first"], keys["before"], at_q = seed_q[order], first_q[order], before_q[order], at_q[order]
+    low, high = np.searchsorted(keys["seed"], seed_d, "left"), np.searchsorted(keys["seed"], seed_d, "right")
+    some = high > low
+    at_d, low, high, first_d = at_d[some], low[some], high[some], first_d[some]
+    own = np.zeros(len(at_d), keys.dtype)
+    own["seed"], own["before"] = seed_d[some], before_d[some]
+    kinds, inverse = np.unique(own, return_inverse=True)
+    same = np.searchsorted(keys, kinds, "left")[inverse], np.searchsorted(keys, kinds, "right")[inverse]
+    same_low, same_high = np.where(first_d, low, same[0]), np.where(first_d, low, same[1])
+    count = (same_low - low) + (high - same_high)
+    total, held, whole, begin = np.cumsum(count), np.zeros((0, 3), np.int64), True, 0
+    while begin < len(at_d):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most, "right")))
+        c, part = count[begin:end], slice(begin, end)
+        k = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        skip = np.repeat(same_low[part] - low[part], c)
+        q = at_q[np.repeat(low[part], c) + k + np.where(k >= skip, np.repeat(same_high[part] - same_low[part], c), 0)]
+        d = np.repeat(at_d[part], c)
+        n = lengths(d, q, np.minimum(left_d[d], left_q[q]), least)
+        held = np.concatenate([held, np.stack([-n, q, d], axis=1)])
+        held = held[np.lexsort((held[:, 2], held[:, 1], held[:, 0]))]
+        whole, held, begin = whole and len(held) <= most, held[:most], end
+    return held, whole
+
+
+def bounded_tiles(doc: np.ndarray, item: np.ndarray, least: int, most: int = PAIRS) -> list[tuple[int, int, int]]:
+    """The same as tiles(), from the tokens' hashes, holding a bounded number of runs."""
+    used_d, used_q, lengths, out = np.zeros(len(doc), bool), np.zeros(len(item), bool), Lengths(doc, item), []
+    while True:
+        runs, whole = _best_runs(doc, item, used_d, used_q, least, most, lengths)
+        if not len(runs):
+            return out
+        last, pieces, at = tuple(runs[-1].tolist()), [], 0
+        while at < len(runs) or pieces:
+            if at % 1024 == 0 and not len(_free(used_q, least)[0]):
+                return out
+            if at < len(runs) and (not pieces or tuple(runs[at].tolist()) <= pieces[0]):
+                n, b, a = runs[at].tolist()
+                at += 1
+            else:
+                n, b, a = heapq.heappop(pieces)
+            free = ~(used_d[a : a - n] | used_q[b : b - n])
+            if free.all():
+                out.append((-n, a, b))
+                used_d[a : a - n] = used_q[b : b - n] = True
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
+            for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                piece = (i - j, b + i, a + i)
+                if j - i >= least and (whole or piece <= last):
+                    heapq.heappush(pieces, piece)
+        if whole:
+            return out
+
+
+def matches(items: Items, column: pa.Array, least: int, threshold: float, most: int = PAIRS) -> list[tuple[int, int, float, int, int]]:
     """(row, item, coverage, tiles, tokens covered) at or above the threshold."""
     if not len(items.seeds):
         return []
@@ -109,20 +208,39 @@ def matches(items: Items, column: pa.Array, least: int, threshold: float) -> lis
     at, seed = at[hit], seed[hit]
     if not len(at):
         return []
-    count = items.begin[seed + 1] - items.begin[seed]
-    pick = np.repeat(items.begin[seed], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    item, item_at = items.where[pick].T
-    doc, place = np.repeat(words.doc[at], count), np.repeat(words.place[at], count)
-    pair = doc.astype(np.int64) * len(items.ids) + item
-    order = np.argsort(pair, kind="stable")
-    starts = np.flatnonzero(np.append(True, np.diff(pair[order]) != 0))
+    count, doc = items.begin[seed + 1] - items.begin[seed], words.doc[at]
     found = []
-    for group in np.split(order, starts[1:]):
-        i = int(item[group[0]])
-        own = tiles(place[group].astype(np.int64), item_at[group].astype(np.int64), least)
+
+    def judge(row: int, i: int, own: list[tuple[int, int, int]]) -> None:
         covered = sum(t[0] for t in own)
         if covered >= threshold * len(items.tokens[i]):
-            found.append((int(doc[group[0]]), i, covered / len(items.tokens[i]), len(own), covered))
+            found.append((row, i, covered / len(items.tokens[i]), len(own), covered))
+
+    begins = np.flatnonzero(np.append(True, np.diff(doc) != 0))
+    until = np.cumsum(np.add.reduceat(count, begins))
+    begins = np.append(begins, len(doc))
+    k = 0
+    while k < len(until):
+        before = until[k - 1] if k else 0
+        if until[k] - before > most:
+            row, part = int(doc[begins[k]]), np.unique(seed[begins[k] : begins[k + 1]])
+            tokens = hashes[words.first[row] : words.first[row + 1]]
+            for i in np.unique(np.concatenate([np.unique(items.where[items.begin[x] : items.begin[x + 1], 0]) for x in part])).tolist():
+                judge(row, i, bounded_tiles(tokens, items.tokens[i], least, most))
+            k += 1
+            continue
+        end = k + int(np.searchsorted(until[k:], before + most, "right"))
+        some = slice(begins[k], begins[end])
+        c, s = count[some], seed[some]
+        pick = np.repeat(items.begin[s], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        item, item_at = items.where[pick].T
+        row, place = np.repeat(doc[some], c), np.repeat(words.place[at[some]], c)
+        pair = row.astype(np.int64) * len(items.ids) + item
+        order = np.argsort(pair, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(pair[order]) != 0))
+        for group in np.split(order, starts[1:]):
+            judge(int(row[group[0]]), int(item[group[0]]), tiles(place[group].astype(np.int64), item_at[group].astype(np.int64), least))
+        k = end
     return found
 
 

@@ -14,8 +14,9 @@ more than `length` tokens has ends inside, at the highest penalty.
 The stream is cut in blocks.  After a block, the cheapest ways to all ends that
 can still begin a window share their first cuts; these are final, the rest stays
 for the next block.  So the cuts are the cheapest of the whole stream, while a
-task holds about one block (after `most` blocks without a shared cut the cheapest
-way so far is taken).
+task mostly holds about one block.  Where no cut is shared, as in long stretches of
+equal documents of half a window, it holds the stretch: four bytes a token and 24 an
+end, at most those of its input partition.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
 each packed; an empty table gives no pieces.  Sequence ids are unique over the
@@ -28,6 +29,7 @@ import base64
 import json
 import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -108,13 +110,13 @@ class Cutter:
         self.restart()
 
     def restart(self) -> None:
-        self.e, self.cost, self.back = [0], [0.0], [0]
+        self.e, self.cost, self.back = array("q", [0]), array("d", [0.0]), array("q", [0])
         self.queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # (f + e, e, index), values rising
-        self.at = {0: 0}
+        self.at, self.recent = {0: 0}, deque([0])  # ends within a window of the last
 
     def add(self, ends: list[int], penalties: list[float]) -> None:
         """Further ends, ascending and at most `length` apart."""
-        e, cost, back, queue, at, length = self.e, self.cost, self.back, self.queue, self.at, self.length
+        e, cost, back, queue, at, recent, length = self.e, self.cost, self.back, self.queue, self.at, self.recent, self.length
         for here, penalty in zip(ends, penalties):
             j = len(e)
             while queue[0][1] < here - length:
@@ -130,6 +132,9 @@ class Cutter:
             cost.append(best)
             back.append(i)
             at[here] = j
+            recent.append(here)
+            while recent[0] < here - length:
+                del at[recent.popleft()]
             best += here
             while queue and queue[-1][0] >= best:
                 queue.pop()
@@ -182,11 +187,11 @@ KINDS = pa.array(["document", "sentence", "hard"])
 class Stream:
     """The documents of one task: their ids not yet cut, and where each began."""
 
-    def __init__(self, encoder: Encoder, length: int, sentence_penalty: float, hard_penalty: float, hard_every: int, most: int, number: int):
+    def __init__(self, encoder: Encoder, length: int, sentence_penalty: float, hard_penalty: float, hard_every: int, number: int):
         self.encoder, self.cutter, self.length = encoder, Cutter(length), length
-        self.penalties, self.every, self.most, self.sequence = (sentence_penalty, hard_penalty), hard_every, most, number
+        self.penalties, self.every, self.sequence = (sentence_penalty, hard_penalty), hard_every, number
         self.ids, self.docs = np.zeros(0, np.uint32), []  # docs: (id, first position, its tokens before that, all its tokens)
-        self.ends, self.kinds, self.blocks = np.zeros(0, np.int64), np.zeros(0, np.int8), 0
+        self.ends, self.kinds, self.blocks, self.wait = np.zeros(0, np.int64), np.zeros(0, np.int8), 0, 1
 
     def take(self, docs: list[tuple], last: bool) -> Iterator[tuple]:
         """Adds (id, token ids) of whole documents; gives the columns of final pieces."""
@@ -206,10 +211,9 @@ class Stream:
             self.ids = np.concatenate([self.ids, block])
             self.ends, self.kinds = np.concatenate([self.ends, ends + at]), np.concatenate([self.kinds, kinds])
         self.blocks += 1
-        n = len(self.cutter.e) - 1
-        j = n if last else self.cutter.shared()
-        if not j and self.blocks >= self.most:
-            j = n
+        j = len(self.cutter.e) - 1 if last else self.cutter.shared() if self.blocks >= self.wait else 0
+        if not j and self.blocks >= self.wait:
+            self.wait = 2 * self.blocks  # looking back takes as long as the stretch
         if j:
             yield self.final(np.array(self.cutter.path(j)), j)
 
@@ -230,7 +234,7 @@ class Stream:
         self.sequence += len(path)
         rest = int(np.searchsorted(doc_end, done, "right"))
         self.docs = [(d[0], max(0, d[1] - done), d[2] + max(0, done - d[1]), d[3]) for d in self.docs[rest:]]
-        self.ids, self.blocks = self.ids[done:], 0
+        self.ids, self.blocks, self.wait = self.ids[done:], 0, 1
         # the ends after the last final cut are entered again, from the cut as position 0
         keep = self.ends > done
         self.ends, self.kinds = self.ends[keep] - done, self.kinds[keep]
@@ -240,7 +244,7 @@ class Stream:
         return out
 
 
-def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, sentence_penalty: float = 4.0, hard_penalty: float = 12.0, hard_every: int = 32, block_tokens: int = 1 << 18, most: int = 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, sentence_penalty: float = 4.0, hard_penalty: float = 12.0, hard_every: int = 32, block_tokens: int = 1 << 18) -> DataFrame:
     """One row a piece: which ids of which document stand where in which sequence.
 
     cut says what ends the piece: the document, a sentence, or neither (hard).
@@ -250,7 +254,7 @@ def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_file, ranks_file, pattern)
-        stream = Stream(encoder, length, sentence_penalty, hard_penalty, hard_every, most, TaskContext.get().partitionId() << 36)
+        stream = Stream(encoder, length, sentence_penalty, hard_penalty, hard_every, TaskContext.get().partitionId() << 36)
         held, size, kind = [], 0, None
 
         def batched(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:

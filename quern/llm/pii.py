@@ -6,9 +6,9 @@ lower case, a name's parts.  The normal form's free characters pass a keyed
 permutation that moves every value, so different entities always get different
 surrogates, no entity keeps its own, and all spellings of one entity get one
 surrogate, each in its own layout.  Check digits are made valid again, or kept
-invalid.  Names are found by a form of address or by a known given name; whoever
-is named so once in a text is replaced throughout it, also where a part of the
-name stands alone.  A check over all distinct entities of the table counts merged
+invalid.  Names are found by a form of address or by a known given name, with all
+capitalised parts and small words that follow; whoever is named so once in a text is
+replaced throughout it, also where a part of the name stands alone.  A check over all distinct entities of the table counts merged
 and split ones; if there were any, all surrogates would be drawn anew.
 
 The key is the caller's.  Defined results: a null text stays null and an empty one
@@ -62,8 +62,13 @@ def _kinds() -> dict[str, str]:
 
 
 KINDS = _kinds()
-_NAME = f"[{_UPPER}][{_LOWER}]+(?:-[{_UPPER}][{_LOWER}]+)?"
+#: Small words inside names.
+PARTICLES = ("al", "ben", "bin", "d", "da", "de", "del", "den", "der", "di", "dos", "du", "el", "la", "le", "ten", "ter", "van", "von", "y", "zu", "zum", "zur")
+_PIECE = f"(?:[{_UPPER}]['’])?[{_UPPER}][{_LOWER}]+(?:[{_UPPER}][{_LOWER}]+)*"
+_NAME = f"{_PIECE}(?:-{_PIECE})*"
+_MORE = f"(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_NAME})"
 _GIVEN = "|".join(sorted({*FEMALE, *MALE}, key=len, reverse=True))
+_CAPITALS = f"[{_UPPER}]['’]?[{_UPPER}]+(?:-[{_UPPER}]+)*"
 _EDGE = f"(?![{_UPPER}{_LOWER}0-9_])"
 #: In order: where two overlap, the earlier kind stays.
 FORMATS = (
@@ -73,10 +78,10 @@ FORMATS = (
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("ip", re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\(0\)[ .-]?)?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)")),
-    ("name", re.compile(rf"(?:\b(?:{'|'.join(HONORIFICS)})\.? {_NAME}(?: {_NAME})?|\b(?:{_GIVEN}) {_NAME}){_EDGE}")),
+    ("name", re.compile(rf"(?:\b(?:{'|'.join(HONORIFICS)})\.?{_MORE}+|\b(?:{_GIVEN}){_MORE}+|\b(?:{_GIVEN.upper()})(?: {_CAPITALS})+){_EDGE}")),
 )
 _WORD = re.compile(rf"(?<![{_UPPER}{_LOWER}0-9_]){_NAME}{_EDGE}")
-_MARKS = re.compile(b"(?:" + b"|".join(h.encode() for h in (*HONORIFICS, *FEMALE, *MALE)) + b")[ .]")
+_MARKS = re.compile(b"(?:" + b"|".join(h.encode() for h in (*HONORIFICS, *FEMALE, *MALE, *map(str.upper, (*FEMALE, *MALE)))) + b")[ .]")
 #: Values of at most so many kinds are moved along a keyed circle, others by a Feistel network.
 SMALL = 4096
 
@@ -141,7 +146,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
 
     for kind, pattern in FORMATS:
         add(pattern, kind)
-    if known := {p for s, e, kind in found if kind == "name" for p in _subparts(text[s:e])}:
+    if known := {p for s, e, kind in found if kind == "name" for p in _subparts(text[s:e])}.difference(PARTICLES):
         for m in _WORD.finditer(text):
             if not taken[m.start()] and not known.isdisjoint(m[0].split("-")):
                 found.append((*m.span(), "name"))
@@ -302,7 +307,14 @@ class Surrogates:
         return " ".join([*head, *("-".join(map(self.part, p.split("-"))) for p in own)])
 
     def part(self, name: str) -> str:
-        """A known given name becomes another of its gender; other names change letter by letter but the last."""
+        """A known given name becomes another of its gender; other names change letter by letter but the last.
+
+        Small words stay, and capitals change as the same name in small letters.
+        """
+        if name in PARTICLES:
+            return name
+        if name.isupper() and len(name) > 1 and (plain := name.capitalize()).upper() == name:
+            return self.part(plain).upper()
         for gender in (FEMALE, MALE):
             if name in gender:
                 return gender[self._circle(gender[0], len(gender))[gender.index(name)]]
@@ -342,7 +354,7 @@ def distinct_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> Da
                 text = batch.column(0)[i].as_py()
                 for s, e, kind in entities(text or ""):
                     old, new = normal(kind, text[s:e]), normal(kind, surrogates.of(kind, text[s:e]))
-                    pairs = zip(old.split(" "), new.split(" ")) if kind == "name" else [(old, new)]
+                    pairs = [p for p in zip(old.split(" "), new.split(" ")) if p[0] not in PARTICLES] if kind == "name" else [(old, new)]
                     seen.update((kind, *(hmac.new(key, x.encode(), hashlib.sha256).hexdigest() for x in pair)) for pair in pairs)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*seen)], ["kind", "entity", "surrogate"])

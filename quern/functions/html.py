@@ -15,9 +15,13 @@ from quern.functions.text import col
 BREAKS = {"p", "br", "div", "tr", "h1", "h2", "h3", "h4", "ul", "ol"}
 
 
-def fix_links(text: Column | str) -> Column:
+# The portal's internal and public routes to files.
+INTERNAL, PUBLIC = ":8081/api/files/", "/CRMPublicPortalApi/api/files/"
+
+
+def fix_links(text: Column | str, internal: str = INTERNAL, public: str = PUBLIC) -> Column:
     """Links through the internal port become the public route."""
-    return F.regexp_replace(col(text), r"(?i)(https?://[^\s/:]+):8081/api/files/", "$1/CRMPublicPortalApi/api/files/")
+    return F.regexp_replace(col(text), rf"(?i)(https?://[^\s/:]+){re.escape(internal)}", f"$1{public}")
 
 
 class _Reader(HTMLParser):

@@ -159,6 +159,7 @@ def same_number(text: Column | str) -> Column:
 
 def numbers_in(text: Column | str) -> Column:
     """Digit strings of two or more digits that are claims: no citations, list marks or digit counts."""
+    # fixed values: the patterns decide which numbers count
     t = F.coalesce(col(text), F.lit(""))
     t = F.regexp_replace(t, r"\[[^\]]*\](?:\([^)]*\))?", " ")
     t = F.regexp_replace(t, r"(?m)^\s*\**\s*\d+[.)]\s", "")
@@ -175,6 +176,7 @@ def number_parts(text: Column | str) -> Column:
 
 def citations(text: Column | str) -> Column:
     """Ids in brackets: without spaces, with an underscore, no addresses; links are taken out first."""
+    # fixed values: the patterns decide what is cited
     t = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\[[^\]]*\]\([^)]*\)", " ")
     found = F.regexp_extract_all(t, F.lit(r"\[([^\[\]\s]+)\]"), F.lit(1))
     return F.filter(found, lambda c: F.contains(c, F.lit("_")) & ~F.lower(c).rlike("^(http://|https://|www\\.)"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import embedding_input, embedding_key
+from quern.tables import stored
 
 
 def keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,6 +44,53 @@ def batches_of(texts: list[str], most: int = 256, characters: int = 200_000) ->
         yield begin, len(texts)
 
 
+class Refused(Exception):
+    """What an encoder raises when it may accept the same texts later."""
+
+
+def patient(encode: Callable[[list[str]], list[list[float]]], tries: int = 6, budget: int = 20, first: float = 0.5, most: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[list[float] | None]]:
+    """encode with waits: after each refusal twice as long, at most `most` seconds, times a draw between a half and one.
+
+    Texts are refused for good, with None each, after so many tries, or when the
+    waits of the whole partition have used up its budget.  The draws depend on the
+    texts, so a task that runs again waits alike.
+    """
+    left = [budget]
+
+    def run(texts: list[str]) -> list[list[float] | None]:
+        draw = random.Random(texts[0] if texts else "")
+        for n in range(tries):
+            try:
+                return encode(texts)
+            except Refused:
+                if n == tries - 1 or left[0] <= 0:
+                    break
+                left[0] -= 1
+                sleep(min(most, first * 2**n) * draw.uniform(0.5, 1))
+        return [None] * len(texts)
+
+    return run
+
+
+def encoded(rows: DataFrame, encode: Callable[[list[str]], list[list[float]]], id_col: str, text_col: str, batch: int = 256, **how) -> tuple[DataFrame, DataFrame]:
+    """(id, vector) of texts that were encoded, and (id) of those that were not: a refusal costs its rows, not the job.
+
+    encode is pickled to the tasks; how is for patient().  A row's batch is its own
+    task's, so the waits of one partition don't hold up another.
+    """
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tried = patient(encode, **how)
+        for part in parts:
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for a, b in batches_of(texts, batch):
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(tried(texts[a:b]), pa.list_(pa.float32()))], ["id", "vector"])
+
+    done = stored(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, vector array<float>"), "encoded")
+    return done.where("vector IS NOT NULL"), done.where("vector IS NULL").select("id")
+
+
 def embedded(rows: DataFrame, cache: DataFrame, encode: Callable[[list[str]], list[list[float]]], model: str, dims: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, key, vector) of all rows, and what is new for the cache (key, vector).
 

@@ -213,7 +213,7 @@ SELECT conv_id, turn, CASE WHEN len(stated) > 0 THEN round(len(list_filter(state
     "topic_carry": "SELECT conv_id, turn, last_value(CASE WHEN length(text) > 100 THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS topic FROM conversations",
     "seen_docs": f"""
 SELECT conv_id, turn, array_to_string(list_sort(list_distinct(flatten(coalesce(h, [])))), ',') AS seen
-FROM (SELECT conv_id, turn, list({words('text')}[1:3]) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM conversations)""",
+FROM (SELECT conv_id, turn, list({words('text')}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM conversations)""",
     "turn_plan": f"""
 WITH t AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[0-9A-Za-zЀ-ӿ]+') AS w FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL),
 f AS (SELECT *, len(w) > 0 AND (len(w) <= 3 OR w[1] IN ({_listed(MACEDONIAN.openers)}) OR list_has_any(w, [{_listed(MACEDONIAN.anaphors)}]) OR {' OR '.join(f"contains(lower(text), '{x}')" for x in MACEDONIAN.continuations)}) AS followup,

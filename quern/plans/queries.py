@@ -225,8 +225,10 @@ def differing_sections(spark, d):
 
 
 def universal_rows(spark, d):
-    coarse = _as_blocks(spark, d).withColumn("content", F.substring("content", 1, 1))
-    return context.universal_rows(coarse, "id_service", "id_variation", "type", "content")
+    """Rows whose content is the line's status alone, so that suppliers do share some."""
+    li = table(spark, d, "lineitem")
+    rows = li.select(F.col("l_suppkey").alias("id_service"), F.col("l_linenumber").alias("id_variation"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("content"))
+    return context.universal_rows(rows, "id_service", "id_variation", "type", "content")
 
 
 def context_render(spark, d):
@@ -296,7 +298,7 @@ def topic_carry(spark, d):
 
 
 def seen_docs(spark, d):
-    c = table(spark, d, "conversations").withColumn("docs", F.slice(text.content_words("text"), 1, 3))
+    c = table(spark, d, "conversations").withColumn("docs", text.content_words("text"))
     return dialog.seen(c, "docs").select("conv_id", "turn", F.concat_ws(",", F.sort_array("seen")).alias("seen"))
 
 

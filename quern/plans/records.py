@@ -15,7 +15,7 @@ from quern.operators import ambiguity, bm25, context, dialog, generations, gold,
 from quern.plans.oracle import words
 from quern.plans.queries import LATIN, table
 from quern.profile import MACEDONIAN
-from quern.sources import crawl, services
+from quern.sources import crawl, directory, services
 from quern.streaming import flows
 from quern.tables import new_path
 
@@ -578,3 +578,39 @@ def index_generations(spark, d):
     last = index.compact()
     index.purge(keep=1)
     return index.current().select("id", "sha", "lang", "source", F.lit(len(last.generations)).cast("long").alias("generations"), F.lit(replayed).alias("replayed"), F.lit(before).alias("before_pruning"))
+
+
+@_with("""
+WITH s AS (SELECT c_custkey, c_name, n_name, c_mktsegment, 'list' || (c_custkey % 7) AS file FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT file, translate(upper(n_name), 'ABCEHJKMOPTXY', 'АВСЕНЈКМОРТХУ') AS municipality, c_name AS name, CASE WHEN file <> 'list3' THEN c_mktsegment END AS place FROM s WHERE c_custkey % 11 <> 0 AND file <> 'list6'""")
+def located_sheets(spark, d):
+    """Customers as sheets: title lines of different length, columns shifted and reordered by file, one without places, one without a header."""
+    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    n = F.col("c_custkey") % 7
+    file = F.concat(F.lit("list"), n.cast("string"))
+    name = F.when(F.col("c_custkey") % 11 == 0, F.lit(" ")).otherwise(F.concat(F.lit("  "), "c_name", F.lit(" +A1:B2")))
+
+    def laid(municipality, who, place):
+        """The three cells where each file has them."""
+        return F.when(n == 0, F.array(municipality, who, place)).when(n == 1, F.array(F.lit(""), who, municipality, F.lit("-"), place)).when(n == 3, F.array(F.lit(None), municipality, who)).otherwise(F.array(place, municipality, who))
+
+    rows = c.select(file.alias("file"), (F.col("c_custkey") + 10).cast("long").alias("row"), laid(F.col("n_name"), name, F.col("c_mktsegment")).alias("cells"))
+    files = spark.range(7).withColumn("c_custkey", F.col("id")).select(file.alias("file"), n.alias("n"), "c_custkey")
+    heads = files.where("n <> 6").select("file", (F.lit(3) + F.col("n")).alias("row"), laid(F.lit("Општина "), F.lit("Име и презиме"), F.lit("МЕСТО на живеење")).alias("cells"))
+    titles = files.select("file", F.lit(0).cast("long").alias("row"), F.array(F.lit("Список: општина и име")).alias("cells")).union(files.select("file", F.lit(1).cast("long"), F.array(F.lit(" "), F.lit(None))))
+    found, _ = directory.located(rows.unionByName(heads).unionByName(titles))
+    return found.select("file", "municipality", "name", "place")
+
+
+def _refusing(texts):
+    """A model that takes at most 64 texts at once, and none of a batch that holds a text of length 13 modulo 97."""
+    if any(len(t) % 97 == 13 for t in texts):
+        raise maintenance.Refused
+    return [[float(len(t)), 1.0] for t in texts]
+
+
+@_with("SELECT doc_id AS id, CASE WHEN length(text) % 97 = 13 THEN NULL ELSE length(text)::BIGINT END AS size FROM documents")
+def encoded_rows(spark, d):
+    """Texts through a model that refuses some for good: these come back as rows without a vector."""
+    done, refused = maintenance.encoded(table(spark, d, "documents"), _refusing, "doc_id", "text", batch=1, tries=2, budget=5, first=0.0)
+    return done.select("id", F.col("vector")[0].cast("long").alias("size")).unionByName(refused.select("id", F.lit(None).cast("long").alias("size")))

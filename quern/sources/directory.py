@@ -22,7 +22,7 @@ def same_letters(text: Column | str) -> Column:
 
 
 def without_formula(text: Column | str) -> Column:
-    """Without a cell range that leaked into the text."""
+    """Without a cell range that leaked into the text; the pattern is a fixed value."""
     return F.regexp_replace(col(text), r"\s*\+\s*\$?[A-Z]+\$?\d+\s*:\s*\$?[A-Z]+\$?\d+\s*$", "")
 
 
@@ -30,6 +30,35 @@ def clean_cell(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(without_formula(F.coalesce(col(text), F.lit(""))), "(?U)\\s+", " "))
 
 
+#: How the columns are headed, by their beginnings.
+HEADINGS = {"municipality": "општина", "name": "име", "address": "адреса", "place": "место", "phone": "телефон"}
+
+
+def located(cells: DataFrame, headings: dict[str, str] = HEADINGS, key: str = "municipality", needed: str = "name") -> tuple[DataFrame, DataFrame]:
+    """(file, row, columns of headings) below each file's header, and files without one.
+
+    cells are (file, row, cells array<string>), as sheets give them.  Rows without
+    any text are none.  The header is the first row with a cell that begins like
+    the key's heading and one that begins like the needed one's; each column is
+    where its heading stands, so shifted and reordered columns are read right, and
+    a heading that is missing gives null.  Rows without key or needed value go.
+    """
+    clean = F.transform("cells", clean_cell)
+    rows = cells.select("file", "row", clean.alias("cells")).where(F.exists("cells", lambda c: c != ""))
+    low = F.transform("cells", lambda c: F.lower(c))
+
+    def place(heading: str) -> Column:
+        return F.array_position(F.transform(low, lambda c: F.startswith(c, F.lit(heading))), True)
+
+    places = F.struct(*[place(heading).alias(name) for name, heading in headings.items()])
+    heads = rows.withColumn("at", places).where((F.col(f"at.{key}") > 0) & (F.col(f"at.{needed}") > 0)).groupBy("file").agg(F.min(F.struct("row", "at")).alias("head"))
+    value = lambda n: F.when(F.col(f"head.at.{n}") > 0, F.get("cells", (F.col(f"head.at.{n}") - 1).cast("int"))).alias(n)
+    below = rows.join(heads, "file").where(F.col("row") > F.col("head.row")).select("file", "row", *map(value, headings))
+    below = below.withColumn(key, same_letters(F.upper(without_formula(key))))
+    told = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return below.where(told(key) & told(needed)), cells.select("file").distinct().join(heads, "file", "left_anti")
+
+
 def slug(text: Column | str) -> Column:
     """Latin letters and digits; other runs are one underscore, none at the ends."""
     t = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), TRANSLITERATION.items(), F.lower(F.trim(col(text))))

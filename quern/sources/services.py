@@ -81,7 +81,7 @@ def display_name(of_variation: bool) -> Column:
 
 
 def access_text() -> Column:
-    """How the service is reached and paid for: up to three lines."""
+    """How the service is reached and paid for: up to three lines; their leads are fixed values."""
     line = lambda lead, names: F.when(F.size(names) > 0, F.concat(F.lit(lead), F.array_join(names, "; ")))
     online = F.when(F.col("is_online") & F.col("online_url").isNotNull(), F.concat(F.lit("Услугата е достапна онлајн: "), F.col("online_url"))).when(F.col("is_online"), "Услугата е достапна онлајн.")
     return F.concat_ws("\n", online, line("Начини на плаќање: ", "payment_methods"), line("Начини на пристап: ", "other_offices"))

@@ -240,3 +240,32 @@ def test_sessions_end_in_streams_as_in_batches(spark, tmp_path):
     assert state[-1] == 2  # the conversation that stayed away holds no state
     batch = {(r["conv_id"], r["turn"], r["how"]) for r in dialog.plan_sessions(turns, 3_600_000).collect()}
     assert batch == set(got) - {(2, 0, "expired")}
+
+
+def test_headers_are_located_by_their_labels(spark):
+    from quern.sources import directory
+
+    rows = [
+        ("a", 0, ["Општина листа"]), ("a", 1, [None, " "]), ("a", 2, ["Име", None, "ОПШТИНА", "Телефон"]), ("a", 3, [" Ана  Б ", "x", "CKOПJE", "070"]), ("a", 4, ["", "x", "Битола", ""]), ("a", 5, ["В", None, None, None]), ("a", 6, ["Г", "", "Штип + $A$1:$B$2", None]),
+        ("b", 0, ["no header"]), ("b", 1, ["x", "y"]), ("c", 0, None),
+    ]
+    found, lacking = directory.located(spark.createDataFrame(rows, "file string, row int, cells array<string>"))
+    assert sorted((r["row"], r["municipality"], r["name"], r["place"], r["phone"]) for r in found.collect()) == [(3, "СКОПЈЕ", "Ана Б", None, "070"), (6, "ШТИП", "Г", None, "")]
+    assert sorted(r["file"] for r in lacking.collect()) == ["b", "c"]
+
+
+def test_refusals_wait_within_a_budget(spark):
+    from quern.operators.maintenance import Refused, patient
+
+    waits, left = [], [3]
+
+    def encode(texts):
+        if texts == ["never"] or left[0] > 0:
+            left[0] -= 1
+            raise Refused
+        return [[1.0]] * len(texts)
+
+    run = patient(encode, tries=5, budget=6, first=1.0, most=3.0, sleep=waits.append)
+    assert run(["a", "b"]) == [[1.0], [1.0]] and len(waits) == 3 and 0.5 <= waits[0] <= 1 and 1 <= waits[1] <= 2 and 1.5 <= waits[2] <= 3
+    assert run(["never"]) == [None] and len(waits) == 6  # the budget is used up
+    assert run(["never"]) == [None] and len(waits) == 6 and run(["c"]) == [[1.0]]

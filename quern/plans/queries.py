@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import dates, html, text
-from quern.operators import answers, bm25, context, dense, dialog, maintenance, metrics, ranking, structured, tools
+from quern.operators import answers, bm25, context, dense, dialog, maintenance, metrics, postings, ranking, structured, tools
 from quern.profile import MACEDONIAN
 from quern.sources import corpus, crawl, directory, payloads
 from quern.streaming import flows
@@ -136,8 +136,9 @@ def alias_rrf(spark, d):
     docs, items = table(spark, d, "documents"), _items(spark, d)
     wide = structured.expanded(items, profile=LATIN)
     more = wide.where(F.size("added") > 0).select("query_id", F.col("expanded").alias("query"))
-    first = stored(bm25.search(docs, items, 30, digits=6), "hits")
-    second = bm25.search(docs, more, 30, digits=6)
+    index = postings.build(docs, "doc_id", "text")
+    first = stored(postings.search(index, items, 30, digits=6), "hits")
+    second = postings.search(index, more, 30, digits=6)
     both = ranking.rrf([(first.join(more, "query_id", "left_semi"), 1.0), (second, 1.0)], K, digits=9)
     return _long(both.unionByName(first.join(more, "query_id", "left_anti").where(F.col("rank") <= K)), "rank")
 

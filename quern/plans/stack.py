@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import bm25, dense, structured
+from quern.operators import dense, postings, structured
 from quern.operators.context import differing_sections
 from quern.operators.ranking import rrf
 from quern.profile import MACEDONIAN, Profile
@@ -31,7 +31,15 @@ class Corpus:
 
 
 def lexical(corpus: Corpus) -> Retriever:
-    return lambda queries, k: bm25.search(corpus.rows, queries, k, corpus.id_col, corpus.text_col, profile=corpus.profile)
+    """The index is built at the first search and kept for the others."""
+    held: list[postings.Index] = []
+
+    def run(queries: DataFrame, k: int) -> DataFrame:
+        if not held:
+            held.append(postings.build(corpus.rows, corpus.id_col, corpus.text_col, corpus.profile))
+        return postings.search(held[0], queries, k)
+
+    return run
 
 
 def vector(corpus: Corpus) -> Retriever:

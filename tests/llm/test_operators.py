@@ -199,7 +199,7 @@ def test_cuts_in_blocks_are_the_cheapest_of_the_stream(seed):
     begin = np.concatenate([[0], np.flatnonzero(stop)[:-1] + 1])
     assert all(any(b < h < e + 1 and e + 1 - b > length for b, e in zip(begin, np.flatnonzero(stop))) for h in ends[kinds == 2])
     for block in (1, 7, 60):
-        stream = packing.Stream(encoder, length, 4.0, 12.0, 8, 10**9, 0)
+        stream = packing.Stream(encoder, length, 4.0, 12.0, 8, 0)
         out = []
         for k in range(0, 60, block):
             out += list(stream.take(docs[k : k + block], k + block >= 60))

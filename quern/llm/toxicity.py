@@ -10,6 +10,10 @@ forward-backward give each token's probability, runs of likely tokens give the
 offending offsets, and a logistic fit on the training documents' marginals gives
 the document score.
 
+How strict the weak labels are is chosen by cross-validation inside the training
+documents: each setting is fitted on all parts but one of the sample and judged on
+the part left out, one task a part and setting.  Held-out documents take no part.
+
 Forward and backward messages are products of 2 x 2 matrices, which can be
 bracketed at will: runs of BLOCK words are multiplied side by side, then one
 message passes from run to run of each document, then all runs are filled in side
@@ -18,7 +22,7 @@ by side.  This gives the same numbers as word after word, in far fewer steps.
 Defined results: null and empty texts have no tokens and get the score of the
 least toxic evidence; repeated rows are each scored; labels with several rows a
 document count as toxic if any is; without both labels in training the score is
-the share of toxic training rows (0.0 if there are none).
+the share of toxic training rows (0.0 if there are none).  Equal ids with several texts train as several documents.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bytewords as bw
-from quern.llm.common import crc_remainder, lowered, only, slices
+from quern.llm.common import crc_remainder, lowered, only, slices, stored
 
 BITS = 18
 SIZE = 1 << BITS
@@ -43,6 +47,10 @@ PREFIXES, SUFFIXES = (3, 4, 5, 7), (3,)
 TOP = 3
 #: Words of a document that are multiplied one after the other.
 BLOCK = 64
+#: (purity, doubt) that cross-validation chooses from: least share of toxic documents, clean ones added to those seen.
+SETTINGS = ((0.65, 1 / 300), (0.75, 1 / 300), (0.85, 1 / 300))
+#: Parts of the sample, and rounds of the fits that only compare settings.
+PARTS, TRIAL_ROUNDS = 2, 40
 
 
 @dataclass
@@ -180,7 +188,7 @@ def document_score(chain: Chain, p: np.ndarray, first: np.ndarray) -> np.ndarray
     return 1 / (1 + np.exp(-np.clip(evidence(p, first) @ chain.slopes + chain.offset, -30, 30)))
 
 
-def weak_labels(slots: np.ndarray, doc: np.ndarray, toxic: np.ndarray, purity: float) -> np.ndarray:
+def weak_labels(slots: np.ndarray, doc: np.ndarray, toxic: np.ndarray, purity: float, doubt: float) -> np.ndarray:
     """Tokens of toxic documents with a slot that is frequent there and rare elsewhere.
 
     The share of toxic among a slot's documents, with classes weighed alike, is
@@ -195,7 +203,7 @@ def weak_labels(slots: np.ndarray, doc: np.ndarray, toxic: np.ndarray, purity: f
         d, slot = seen // SIZE, seen % SIZE
         hit = np.bincount(slot[toxic[d]], minlength=SIZE)
         miss = np.bincount(slot[~toxic[d]], minlength=SIZE) * (n_toxic / max(1, n_clean))
-        good |= hit >= purity * (hit + miss + 1 + n_toxic / 300)
+        good |= hit >= purity * (hit + miss + 1 + n_toxic * doubt)
     return good[used].any(axis=1) & toxic[doc]
 
 
@@ -285,14 +293,14 @@ class Likelihood:
         return Chain(*full, float(bias[0]), t.reshape(2, 2))
 
 
-def fit(column: pa.Array, toxic: np.ndarray, rounds: int = 100, tolerance: float = 1e-3, purity: float = 0.75) -> Chain:
+def fit(column: pa.Array, toxic: np.ndarray, rounds: int = 100, tolerance: float = 1e-3, purity: float = SETTINGS[1][0], doubt: float = SETTINGS[1][1]) -> Chain:
     """The chain of greatest penalised likelihood, and the logistic fit of its evidence."""
     none = np.zeros(SIZE)
     if not len(toxic) or toxic.all() or not toxic.any():
         return Chain(none, none, none, -3.0, np.zeros((2, 2)), constant=float(toxic.mean()) if len(toxic) else 0.0)
     words = bw.split(lowered(column), bw.NOT_ALNUM)
     slots, first = features(words), words.first
-    likelihood = Likelihood(slots, first, weak_labels(slots, words.doc, toxic, purity))
+    likelihood = Likelihood(slots, first, weak_labels(slots, words.doc, toxic, purity, doubt))
     chain = likelihood.chain(climbed(likelihood, likelihood.start(), rounds, tolerance))
     p, _, _ = marginals(emissions(chain, slots, first), first, chain.transitions)
     x = np.concatenate([evidence(p, words.first), np.ones((len(toxic), 1))], axis=1)
@@ -305,27 +313,83 @@ def fit(column: pa.Array, toxic: np.ndarray, rounds: int = 100, tolerance: float
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 1500, max_bytes: int = 1 << 18, **how) -> Chain:
-    """Fit on a sample of at most max_docs labelled documents of each class, of at most max_bytes each.
+def predicted(column: pa.Array, chain: Chain) -> np.ndarray:
+    """The scores of whole texts."""
+    if chain.constant is not None:
+        return np.full(len(column), chain.constant)
+    words = bw.split(lowered(column), bw.NOT_ALNUM)
+    p, _, _ = marginals(emissions(chain, features(words), words.first), words.first, chain.transitions)
+    return document_score(chain, p, words.first)
+
+
+def loss(scores: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Log loss of each score, bounded."""
+    q = np.clip(scores, 1e-4, 1 - 1e-4)
+    return -np.where(toxic, np.log(q), np.log1p(-q))
+
+
+def validation(sample: DataFrame, settings: tuple[tuple[float, float], ...] = SETTINGS, parts: int = PARTS, **how) -> DataFrame:
+    """(setting, part, n, loss) of a bounded sample (id, text, label): log loss summed over the part left out.
+
+    Parts are dealt by a hash of the id; a group holds the sample once, as the final fit does.
+    """
+    trials = F.explode(F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(k).alias("part")) for i in range(len(settings)) for k in range(parts)])).alias("trial")
+    of = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(parts)).cast("int").alias("own")
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        setting, part = table.column("setting")[0].as_py(), table.column("part")[0].as_py()
+        text, toxic = table.column("text").combine_chunks(), table.column("label").to_numpy() > 0
+        out = table.column("own").to_numpy() == part
+        purity, doubt = settings[setting]
+        chain = fit(text.filter(pa.array(~out)), toxic[~out], purity=purity, doubt=doubt, **how)
+        lost = loss(predicted(text.filter(pa.array(out)), chain), toxic[out])
+        return pa.table({"setting": [setting], "part": [part], "n": [len(lost)], "loss": [float(lost.sum())]})
+
+    rows = sample.select("id", "text", "label", of, trials).select("id", "text", "label", "own", "trial.*")
+    return rows.repartitionByRange(len(settings) * parts, "setting", "part").groupBy("setting", "part").applyInArrow(one, "setting long, part long, n long, loss double")
+
+
+def chosen(sample: DataFrame, settings: tuple[tuple[float, float], ...] = SETTINGS, parts: int = PARTS, **how) -> tuple[float, float]:
+    """The setting of least validated loss, the first of equal ones; the first too where the sample is empty."""
+    if len(settings) == 1:
+        return settings[0]
+    sums = validation(sample, settings, parts, **how).groupBy("setting").agg(F.sum("loss").alias("loss")).collect()  # one row a setting
+    return settings[min(((round(r["loss"], 6), r["setting"]) for r in sums), default=(0.0, 0))[1]]
+
+
+def picked(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 1500, max_bytes: int = 1 << 18, max_total: int = 1 << 24) -> DataFrame:
+    """(id, text, label): a sample of labelled documents that is dealt by a hash of the id.
 
-    The sample is dealt by a hash of the id among the documents of that size; its
-    texts alone meet in one task, in a number and size that the bounds keep small;
-    documents are read in many.  labels must hold the rows to learn from and no other.
+    Of each class about max_docs documents and half of max_total bytes at most, among
+    those of at most max_bytes each.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("long").alias("label"))
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
-    sizes = marks.join(own.select("id"), "id").groupBy("label").count().collect()
-    counts = {int(r["label"]): r["count"] for r in sizes}
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(size <= max_bytes)
+    sizes = marks.join(own.select("id", size.alias("bytes")), "id").groupBy("label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()  # one row a class
+    share = {int(r["label"]): min(1.0, max_docs / r["n"], max_total / 2 / max(1, r["bytes"])) for r in sizes}
     part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000))
-    picked = reduce(lambda c, kn: F.when(F.col("label") == kn[0], part < int(1_000_000 * min(1.0, max_docs / kn[1]))).otherwise(c), counts.items(), F.lit(False))
-    # the picked labels, 2 * max_docs at most, go to the documents; texts don't move but for the sample
-    sample = own.join(F.broadcast(marks.where(picked)), "id").select("id", "text", "label")
+    taken = reduce(lambda c, ks: F.when(F.col("label") == ks[0], part < int(1_000_000 * ks[1])).otherwise(c), share.items(), F.lit(False))
+    # the picked labels, 2 * max_docs or so, go to the documents; texts don't move but for the sample
+    return own.join(F.broadcast(marks.where(taken)), "id").select("id", "text", "label")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 1500, max_bytes: int = 1 << 18, max_total: int = 1 << 24, settings: tuple[tuple[float, float], ...] = SETTINGS, **how) -> Chain:
+    """Fit on a bounded sample (see picked) with the setting that cross-validation inside it prefers.
+
+    The sample's texts alone meet in one task, in a number and size that the bounds
+    keep small; documents are read in many.  labels must hold the rows to learn from
+    and no other.
+    """
+    sample = stored(picked(docs, labels, id_col, text_col, label_col, max_docs, max_bytes, max_total), "sample")
+    purity, doubt = chosen(sample, settings, **{"rounds": TRIAL_ROUNDS, **how})
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (got := list(batches)):
             return
         table = pa.Table.from_batches(got).sort_by("id").combine_chunks()
-        chain = fit(table.column("text").combine_chunks(), table.column("label").to_numpy() > 0, **how)
+        chain = fit(table.column("text").combine_chunks(), table.column("label").to_numpy() > 0, purity=purity, doubt=doubt, **how)
         vectors = chain.weights, chain.left, chain.right
         used = [np.flatnonzero(v) for v in vectors]
         rest = [chain.bias, *chain.transitions.ravel(), *chain.slopes, chain.offset, np.nan if chain.constant is None else chain.constant]

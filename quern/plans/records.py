@@ -9,9 +9,10 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.functions import text, vectors
-from quern.operators import ambiguity, bm25, context, dialog, generations, gold, injection, maintenance, metrics, phrases, probing, tools
+from quern.operators import ambiguity, answers, bm25, context, dialog, generations, gold, injection, maintenance, metrics, phrases, probing, structured, tools
 from quern.plans.oracle import words
 from quern.plans.queries import LATIN, table
 from quern.profile import MACEDONIAN
@@ -614,3 +615,138 @@ def encoded_rows(spark, d):
     """Texts through a model that refuses some for good: these come back as rows without a vector."""
     done, refused = maintenance.encoded(table(spark, d, "documents"), _refusing, "doc_id", "text", batch=1, tries=2, budget=5, first=0.0)
     return done.select("id", F.col("vector")[0].cast("long").alias("size")).unionByName(refused.select("id", F.lit(None).cast("long").alias("size")))
+
+
+# scores of answers and rankings, questions from the corpus, announcements, directories of places
+
+
+@_with("""
+WITH a AS (SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS cites, o_orderkey % 3 <> 0 AS sound FROM orders),
+m AS (
+  SELECT k, 'behavior_match' AS metric, CASE WHEN k % 13 = 0 THEN 0.0 ELSE 1.0 END AS value FROM a
+  UNION ALL SELECT k, 'value_recall', CASE WHEN k % 4 = 0 THEN 1.0 ELSE 0.5 END FROM a WHERE k % 10 <> 9
+  UNION ALL SELECT k, 'no_forbidden', CASE WHEN k % 7 IN (1, 2) THEN 0.0 ELSE 1.0 END FROM a WHERE k % 5 <> 4
+  UNION ALL SELECT k, 'numeric_groundedness', CASE WHEN sound THEN 1.0 ELSE 0.0 END FROM a
+  UNION ALL SELECT k, 'value_citation', CASE WHEN cites AND sound THEN 1.0 ELSE 0.0 END FROM a WHERE k % 10 <> 9
+  UNION ALL SELECT k, 'citation_integrity', CASE WHEN k % 11 = 0 THEN 0.0 ELSE 1.0 END FROM a)
+SELECT k AS case_id, metric, value::DOUBLE AS value FROM m
+UNION ALL SELECT k, 'answer_score', round(avg(value), 9) FROM m GROUP BY k""")
+def answer_scores(spark, d):
+    """Answers to every order: a price that its document holds or not, a condition, a forbidden word stated, negated, or both."""
+    k = F.col("o_orderkey")
+    price = (F.lit(1000) + k % 900).cast("string")
+    forbidden = F.when(k % 7 == 0, ", не картичка").when(k % 7 == 1, ", важи картичка").when(k % 7 == 2, ", не картичка, но важи картичка").otherwise("")
+    own = F.array(k.cast("string"))
+    none = F.array().cast("array<string>")
+    o = table(spark, d, "orders")
+    records = o.select(
+        k.alias("case_id"), F.lit("Колку чини?").alias("query"), F.concat(F.lit("Цената е "), price, F.lit(" денари"), F.when(k % 4 == 0, " во готовина").otherwise(""), forbidden, F.lit(".")).alias("text"), F.when(k % 2 == 0, own).otherwise(none).alias("citations"),
+        own.alias("docs"), F.lit(False).alias("asked_clarification"), F.when(k % 11 == 0, F.array(F.lit("x"))).alias("invalid_citations"),
+    )
+    cases = o.select(
+        k.alias("case_id"), F.when(k % 13 == 0, "abstain").otherwise("answer").alias("expect_behavior"), F.when(k % 10 == 9, none).otherwise(F.array(price, F.lit("готовина|кеш"))).alias("expect_values"),
+        F.when(k % 5 == 4, none).otherwise(F.array(F.lit("картичка"))).alias("forbid_values"),
+    )
+    blocks = o.select(k.cast("string").alias("chunk_id"), F.concat(F.lit("Цена: "), F.when(k % 3 == 0, F.lit(1000) + k % 900 + 1).otherwise(F.lit(1000) + k % 900).cast("string")).alias("content"))
+    return answers.scores(records, cases, blocks).withColumn("value", F.round("value", 9))
+
+
+_RANKED = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey % 5 END AS service, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 2 + 1 END AS variation, o_orderkey % 3 <> 0 AS typed FROM orders"
+
+
+def _ranked(spark, d):
+    """Lines as hits of their order, and what the order expects of them."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    lines = li.withColumn("rank", rank).withColumn("key", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("rank").cast("string")))
+    hits = lines.select(F.col("l_orderkey").alias("query_id"), F.col("key").alias("id"), "rank")
+    rows = lines.select(F.col("key").alias("chunk_id"), (F.col("l_suppkey") % 5).alias("id_service"), F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey") % 3).alias("id_variation"), F.col("l_returnflag").alias("type"))
+    k = F.col("o_orderkey")
+    cases = o.select(
+        k.alias("case_id"), F.when(k % 7 != 0, F.col("o_custkey") % 5).alias("expect_service"), F.when(k % 5 != 0, F.col("o_custkey") % 2 + 1).alias("expect_variation"),
+        F.when(k % 3 != 0, F.array(F.lit("A"), F.lit("N"))).otherwise(F.array().cast("array<string>")).alias("expect_types"),
+    )
+    return hits, cases, rows
+
+
+@_with(f"""
+WITH c AS ({_RANKED}), l AS (SELECT l_orderkey AS k, l_suppkey % 5 AS s, nullif(l_partkey % 3, 0) AS v, l_returnflag AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem),
+b AS (SELECT c.*, (SELECT count(*) FROM l WHERE l.k = c.k AND r <= 3) AS n,
+  (SELECT count(*) FROM l WHERE l.k = c.k AND r <= 3 AND s = service) AS own,
+  (SELECT count(*) FROM l WHERE l.k = c.k AND r = 1 AND s = service AND (v IS NULL OR v = variation)) AS first,
+  (SELECT count(*) FROM l WHERE l.k = c.k AND r <= 3 AND s = service AND v <> variation) AS siblings,
+  (SELECT count(*) FROM l WHERE l.k = c.k AND r <= 3 AND t IN ('A', 'N')) AS fitting FROM c)
+SELECT k AS case_id, 'service_acc@3' AS metric, (own > 0)::INT::DOUBLE AS value FROM b WHERE service IS NOT NULL
+UNION ALL SELECT k, 'variation_acc@1', (first > 0)::INT FROM b WHERE variation IS NOT NULL
+UNION ALL SELECT k, 'sibling_confusion@3', round(siblings / greatest(n, 1), 9) FROM b WHERE variation IS NOT NULL
+UNION ALL SELECT k, 'type_precision@3', round(fitting / greatest(n, 1), 9) FROM b WHERE typed""")
+def rank_diagnostics(spark, d):
+    """Service and type accuracy and confusion with siblings among the first three lines of every order."""
+    return metrics.diagnostics(*_ranked(spark, d), k=3).withColumn("value", F.round("value", 9))
+
+
+@_with("""
+WITH q AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS faq, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_type ELSE p_brand || '/' || p_size END AS q FROM part WHERE p_partkey % 9 <> 0)
+SELECT CASE WHEN faq THEN 'faq_' ELSE 'terminology_' END || left(sha1(q), 10) AS case_id, CASE WHEN faq THEN q ELSE 'Што значи ' || q || '?' END AS query, min(k % 50) OVER (PARTITION BY faq, q) AS expect_service, k::VARCHAR AS id, 2 AS grade FROM q WHERE length(q) >= CASE WHEN faq THEN 12 ELSE 3 END""")
+def gold_questions(spark, d):
+    """Questions and terms that the parts' texts state; all rows with an equal one are primary, texts of another form give none."""
+    k = F.col("p_partkey")
+    question, term = F.concat_ws(" ", "p_name", "p_type"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string"))
+    content = F.when(k % 9 == 0, F.concat(F.lit("Белешка: "), question)).when(k % 2 == 0, F.concat(F.lit("Прашање:  "), question, F.lit("\nОдговор: да\nне"))).otherwise(F.concat(F.lit("Термин: "), term, F.lit("  | опис")))
+    blocks = table(spark, d, "part").select(k.cast("string").alias("chunk_id"), k.alias("pos"), (k % 50).alias("id_service"), F.when(k % 2 == 0, "faq").otherwise("terminology").alias("type"), content.alias("content"))
+    cases = gold.faq(blocks).unionByName(gold.terminology(blocks))
+    return cases.select("case_id", "query", "expect_service", F.explode("gold").alias("id", "grade")).withColumn("grade", F.col("grade").cast("int"))
+
+
+@_with("""
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS day, lower(o_orderpriority) AS kind FROM orders),
+q AS (SELECT s_suppkey AS k, s_suppkey % 4 AS n, DATE '1995-01-01' + (s_suppkey % 1000)::INT AS day FROM supplier)
+SELECT k AS query_id, o_orderkey::VARCHAR AS number FROM q JOIN o ON
+  (n = 0 AND o_custkey = k AND k > 0 AND (k % 8 <> 0 OR kind = '1-urgent')) OR (n = 1 AND (o.day = q.day OR o.day + 1 = q.day)) OR (n = 2 AND contains('buyer ' || o_custkey || ' of goods', 'er ' || k)) OR (n = 3 AND kind = '2-high' AND (o.day = q.day OR o.day + 1 = q.day))""")
+def announcements(spark, d):
+    """Suppliers' questions by identifier and type, by one of two printed dates, by a part of a name, and by type and date."""
+    o = table(spark, d, "orders")
+    shown = lambda c: F.date_format(c, "d.M.yyyy")
+    decisions = o.select(
+        F.col("o_orderkey").cast("string").alias("number"), F.lpad(F.col("o_custkey").cast("string"), 7, "0").alias("id"), F.format_string("Buyer %d  of goods", "o_custkey").alias("name"), F.col("o_orderpriority").alias("doc_type"),
+        F.array(shown("o_orderdate"), shown(F.date_add("o_orderdate", 1))).alias("dates"),
+    )
+    k = F.col("s_suppkey")
+    n = k % 4
+    day = F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), (k % 1000).cast("int")), "dd.MM.yyyy")
+    asked = table(spark, d, "supplier").select(
+        k.alias("query_id"), F.when((n == 0) & (k > 0), k.cast("string")).otherwise("").alias("by_id"), F.when(n == 2, F.format_string("ER  %d", k)).otherwise("").alias("by_name"),
+        F.when((n == 0) & (k % 8 == 0) & (k > 0), " 1-Urgent").when(n == 3, "2-HIGH").otherwise("").alias("by_type"), F.when((n == 1) | (n == 3), day).otherwise("").alias("by_date"),
+    )
+    return tools.announcement_search(decisions, asked).select("query_id", "number")
+
+
+@_with(r"""
+WITH b AS (SELECT c_custkey AS id, n_name AS m, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 3 END AS part, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS list FROM customer JOIN nation ON c_nationkey = n_nationkey),
+q AS (SELECT s_suppkey AS k, 'извршители ' || CASE WHEN s_suppkey % 3 = 0 THEN 'и адвокати ' ELSE 'за агентот ' END || 'во ' || lower(n_name) || CASE WHEN s_suppkey % 2 = 0 THEN ', ' || 'x' || n_name ELSE ' и NATION_' || (s_suppkey % 30) END AS query FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 <> 0),
+t AS (SELECT k, n_name AS m FROM q JOIN nation ON regexp_matches(lower(query), '(^|[^\p{L}\p{N}_])' || lower(n_name))),
+h AS (SELECT k, b.* FROM t JOIN b USING (m))
+SELECT k AS query_id, id::VARCHAR AS id, row_number() OVER (PARTITION BY k ORDER BY coalesce(part, 1), coalesce(list, ''), m, id::VARCHAR) AS place FROM h QUALIFY place <= 6""")
+def place_rows(spark, d):
+    """The first six rows of the directories of the places that suppliers' questions name; those without a cue get none."""
+    nation = F.broadcast(table(spark, d, "nation"))  # 25 nations
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    blocks = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        c.cast("string").alias("chunk_id"), F.col("n_name").alias("municipality"), F.when(c % 3 > 0, c % 3).alias("part"), F.when(c % 5 > 0, F.col("c_mktsegment")).alias("list_key")
+    )
+    cue = F.when(k % 7 == 0, "и други ").when(k % 3 == 0, "и адвокати ").otherwise("за агентот ")
+    second = F.when(k % 2 == 0, F.concat(F.lit(", x"), "n_name")).otherwise(F.concat(F.lit(" и NATION_"), (k % 30).cast("string")))
+    queries = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(k.alias("query_id"), F.concat(F.lit("Извршители "), cue, F.lit("во "), F.lower("n_name"), second).alias("query"))
+    return structured.directory_rows(queries, blocks).withColumn("place", F.col("place").cast("long"))
+
+
+@_with("""
+WITH m AS (SELECT o_orderkey AS case_id, o_custkey % 10 / 10 AS a, o_custkey % 7 / 10 AS b FROM orders)
+SELECT 'worst' AS list, * FROM (SELECT case_id, round(a, 6) AS value FROM m ORDER BY a, case_id LIMIT 20)
+UNION ALL SELECT 'drops', * FROM (SELECT case_id, round(b - a, 6) AS value FROM m WHERE a <> b ORDER BY round(b - a, 6), case_id LIMIT 20)""")
+def worst_and_drops(spark, d):
+    """A report's lists: the twenty cases of least value, and those whose value fell most."""
+    o = table(spark, d, "orders")
+    one = lambda n: o.select(F.col("o_orderkey").alias("case_id"), F.lit("ndcg@10").alias("metric"), (F.col("o_custkey") % n / 10).alias("value"))
+    fell = metrics.drops(one(10), one(7), "ndcg@10").select(F.lit("drops").alias("list"), "case_id", F.round("change", 6).alias("value"))
+    return metrics.worst(one(10), "ndcg@10").select(F.lit("worst").alias("list"), "case_id", F.round("value", 6).alias("value")).unionByName(fell)

@@ -149,3 +149,27 @@ def save_report(report: DataFrame, path: str) -> None:
 def load_report(spark: SparkSession, path: str) -> DataFrame:
     """A saved report (slice, key, metric, n, mean)."""
     return spark.read.schema("slice string, key string, metric string, n long, mean double").json(path)
+
+
+def save_run(path: str, header: DataFrame, report: DataFrame, cases: DataFrame) -> None:
+    """A whole run in three tables; the header, one row, comes last, so a run that broke off has none.
+
+    report is (slice, key, metric, n, mean); cases hold case_id, metrics (a map) and
+    top (ids in order), one row a case.
+    """
+    report.write.mode("overwrite").parquet(f"{path}/report")
+    cases.write.mode("overwrite").parquet(f"{path}/cases")
+    header.write.mode("overwrite").parquet(f"{path}/header")
+
+
+def load_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(header, report, cases) of a saved run."""
+    header, report, cases = (spark.read.parquet(f"{path}/{part}") for part in ("header", "report", "cases"))
+    return header, report, cases
+
+
+def case_rows(metrics: DataFrame, hits: DataFrame, most: int = 10) -> DataFrame:
+    """(case_id, metrics, top): the values of each case by name, and its first ids; a case without hits has none."""
+    values = metrics.groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    first = hits.where(F.col("rank") <= most).groupBy(F.col("query_id").alias("case_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("top"))
+    return values.join(first, "case_id", "left").withColumn("top", F.coalesce("top", F.array().cast("array<string>")))

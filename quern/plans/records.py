@@ -16,7 +16,7 @@ from quern.operators import ambiguity, answers, bm25, context, dialog, generatio
 from quern.plans.oracle import words
 from quern.plans.queries import LATIN, table
 from quern.profile import MACEDONIAN
-from quern.sources import crawl, directory, services
+from quern.sources import corpus, crawl, directory, services
 from quern.streaming import flows
 from quern.tables import new_path
 
@@ -750,3 +750,36 @@ def worst_and_drops(spark, d):
     one = lambda n: o.select(F.col("o_orderkey").alias("case_id"), F.lit("ndcg@10").alias("metric"), (F.col("o_custkey") % n / 10).alias("value"))
     fell = metrics.drops(one(10), one(7), "ndcg@10").select(F.lit("drops").alias("list"), "case_id", F.round("change", 6).alias("value"))
     return metrics.worst(one(10), "ndcg@10").select(F.lit("worst").alias("list"), "case_id", F.round("value", 6).alias("value")).unionByName(fell)
+
+
+_DIGEST = "SELECT count(*) AS n, sha256(concat_ws(':', count(*)::VARCHAR, " + ", ".join(f"coalesce(sum(('0x' || substr(sha, {1 + 8 * i}, 8))::BIGINT), 0)::VARCHAR" for i in range(8)) + ")) AS digest FROM (SELECT sha256(length('=' || doc_id) || ':=' || doc_id || coalesce('=' || text, '-')) AS sha FROM documents)"
+
+
+@_with(_DIGEST)
+def corpus_digest(spark, d):
+    """One digest of all documents, whatever their order."""
+    return corpus.digest(table(spark, d, "documents").repartition(7), "doc_id", "text")
+
+
+@_with(f"""
+WITH c AS (SELECT o_orderkey AS k, 'f' || (o_orderkey % 4) AS family, o_custkey % 10 / 10 AS v FROM orders),
+l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem),
+t AS (SELECT k, string_agg(k || '-' || r, ' ' ORDER BY r) AS top FROM l WHERE r <= 3 GROUP BY 1)
+SELECT 'header' AS part, (SELECT digest FROM ({_DIGEST})) AS key, count(*) AS n, NULL::DOUBLE AS value, 'plain' AS top FROM c
+UNION ALL SELECT 'all', 'all', count(*), round(avg(v), 9), NULL FROM c
+UNION ALL SELECT 'family', family, count(*), round(avg(v), 9), NULL FROM c GROUP BY 2
+UNION ALL SELECT 'case', c.k::VARCHAR, 1, v, coalesce(top, '') FROM c LEFT JOIN t ON t.k = c.k""")
+def saved_report(spark, d):
+    """A run of all orders as cases, saved with its header and read back: header, slices, and every case with its first ids."""
+    hits, _, _ = _ranked(spark, d)
+    o = table(spark, d, "orders")
+    cases = o.select(F.col("o_orderkey").alias("case_id"), F.concat(F.lit("f"), (F.col("o_orderkey") % 4).cast("string")).alias("family"))
+    values = o.select(F.col("o_orderkey").alias("case_id"), F.lit("ndcg@10").alias("metric"), (F.col("o_custkey") % 10 / 10).alias("value"))
+    header = corpus.digest(table(spark, d, "documents"), "doc_id", "text").select(F.lit("plain").alias("retriever"), "digest", F.lit(cases.count()).cast("long").alias("n_cases"), F.current_timestamp().alias("generated_at"))
+    at = new_path(spark, "report")
+    metrics.save_run(at, header, metrics.sliced(values, cases, ("family",)), metrics.case_rows(values, hits, 3))
+    head, report, rows = metrics.load_run(spark, at)
+    none = F.lit(None).cast("string")
+    out = head.select(F.lit("header").alias("part"), F.col("digest").alias("key"), F.col("n_cases").alias("n"), F.lit(None).cast("double").alias("value"), F.col("retriever").alias("top"))
+    out = out.unionByName(report.select(F.col("slice").alias("part"), "key", "n", F.round("mean", 9).alias("value"), none.alias("top")))
+    return out.unionByName(rows.select(F.lit("case").alias("part"), F.col("case_id").cast("string").alias("key"), F.lit(1).cast("long").alias("n"), F.col("metrics")["ndcg@10"].alias("value"), F.array_join("top", " ").alias("top")))

@@ -104,3 +104,17 @@ def case_problems(cases: DataFrame, blocks: DataFrame) -> DataFrame:
     ids = cases.select("case_id", F.explode(F.map_keys("gold")).alias("chunk_id"))
     own.append(ids.join(blocks.select("chunk_id"), "chunk_id", "left_anti").select("case_id", F.lit("stale id").alias("problem")))
     return reduce(DataFrame.unionByName, own)
+
+
+def digest(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """(n, digest), one row: equal for equal corpora in any order and partitioning.
+
+    The eight words of each row's SHA-256 are summed exactly, so that every task adds
+    up its own rows and no rows meet; the digest is that of the count and the sums.
+    Repeated rows count; nulls are told apart from empty texts.
+    """
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    own = rows.select(F.sha2(F.concat(F.char_length(told(key)).cast("string"), F.lit(":"), told(key), told(content)).cast("binary"), 256).alias("sha"))
+    words = [F.conv(F.substring("sha", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    sums = [F.coalesce(F.sum(w), F.lit(0)).cast("string") for w in words]
+    return own.agg(F.count("*").alias("n"), F.array(*sums).alias("sums")).select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.array_join("sums", ":")).cast("binary"), 256).alias("digest"))

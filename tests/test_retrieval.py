@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import ambiguity, bm25, context, dense, metrics, ranking, structured
 from quern.plans import stack
+from quern.sources import corpus
 
 BLOCK = "chunk_id string, pos long, type string, id_service long, id_variation long, variation_short_name string, service_name string, content string, list_key string, municipality string, part int, embedding_text string"
 
@@ -172,3 +173,22 @@ def test_oracle_beats_random(spark, sf):
     mean = lambda hits: metrics.case_metrics(hits, gold, (10,)).where("metric = 'ndcg@10'").agg(F.avg("value")).first()[0]
     assert mean(ranking.oracle_ceiling(gold, 10)) == 1.0
     assert mean(ranking.random_floor(gold.select(F.col("case_id").alias("query_id")), docs, 10, "doc_id")) < 0.3
+
+
+def test_saved_runs_come_back_whole(spark, tmp_path):
+    values = spark.createDataFrame([(1, "hit", 1.0), (1, "mrr", 0.5), (2, "hit", 0.0)], "case_id long, metric string, value double")
+    hits = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (1, "c", 3)], "query_id long, id string, rank int")
+    cases = metrics.case_rows(values, hits, 2)
+    report = spark.createDataFrame([("all", "all", "hit", 2, 0.5)], "slice string, key string, metric string, n long, mean double")
+    header = spark.createDataFrame([("plain", "x", 2)], "retriever string, digest string, n_cases long")
+    metrics.save_run(str(tmp_path), header, report, cases)
+    h, r, c = metrics.load_run(spark, str(tmp_path))
+    assert [tuple(x) for x in h.collect()] == [("plain", "x", 2)] and r.count() == 1
+    assert {x["case_id"]: (x["metrics"], x["top"]) for x in c.collect()} == {1: ({"hit": 1.0, "mrr": 0.5}, ["a", "b"]), 2: ({"hit": 0.0}, [])}
+
+
+def test_digest_of_a_corpus(spark):
+    rows = [(1, "a"), (2, None), (3, ""), (3, "")]
+    of = lambda xs: corpus.digest(spark.createDataFrame(xs, "k long, t string"), "k", "t").collect()[0]
+    assert of(rows) == of(rows[::-1]) and of(rows)["n"] == 4
+    assert len({of(x)["digest"] for x in (rows, rows[:3], [(1, "a"), (2, ""), (3, ""), (3, "")], [(1, "a"), (2, None), (3, ""), (3, None)], [])}) == 5

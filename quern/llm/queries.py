@@ -79,7 +79,10 @@ masks AS (SELECT b, list_sort(words) AS w, unnest(generate_series(1, (2 ** len(w
 subsets AS (SELECT list_filter(w, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS needed FROM masks),
 often AS (SELECT needed, count(*) AS hits FROM subsets GROUP BY 1 HAVING count(*) >= (SELECT least FROM whole)),
 counted AS (SELECT needed, hits, count(*) AS n FROM often JOIN baskets ON list_has_all(words, needed) GROUP BY 1, 2),
-mined AS (SELECT needed FROM counted, whole WHERE hits * n_all >= 1.5 * n * bad_all),
+strong AS (
+  SELECT needed, hits * ln(hits * n_all / (n * bad_all)::DOUBLE) + CASE WHEN n > hits THEN (n - hits) * ln((n - hits) * n_all / (n * (n_all - bad_all))::DOUBLE) ELSE 0 END AS strength
+  FROM counted, whole WHERE hits * n_all >= 1.5 * n * bad_all),
+mined AS (SELECT needed FROM strong WHERE strength >= ln((SELECT count(*) FROM often) / 0.01) - 1e-9),
 given(rule, verdict, rhost, rpath) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
 best AS (
   SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict

@@ -2,7 +2,7 @@
 
 Token combinations of labelled urls are mined together with the label.  Those
 that mean a bad page with enough support, and more often than pages are bad at
-all, become rules; an inverted index from token to rules finds, for each url, the rules of which it holds all
+all by more than chance explains, become rules; an inverted index from token to rules finds, for each url, the rules of which it holds all
 tokens.  The main path is built-in functions only.
 
 Defined results: a null url, or one without "://", has an empty host and path and
@@ -53,11 +53,23 @@ def given_rule(host_: Column, path_: Column, rules: list[tuple[str, str]]) -> tu
     return name, verdict
 
 
-def mine(urls: DataFrame, url_col: str, bad_col: str, support: float = 0.02, least: int = 3, lift: float = 1.5) -> list[tuple[list[str], int, int]]:
+def strength(hits: Column, held: Column, bad: int, n: int) -> Column:
+    """held * KL(hits / held || bad / n): the negative logarithm of the bound on chance."""
+    rest = held - hits
+    return hits * F.ln(hits * n / (held * bad)) + F.when(rest > 0, rest * F.ln(rest * n / (held * (n - bad)))).otherwise(0.0)
+
+
+def mine(urls: DataFrame, url_col: str, bad_col: str, support: float = 0.02, least: int = 3, lift: float = 1.5, alpha: float = 0.01) -> list[tuple[list[str], int, int]]:
     """(tokens, bad urls, urls) of the rules that mean a bad page.
 
     A rule holds in at least max(least, support * bad urls) bad urls, and its share
     of bad ones, the confidence, is at least `lift` times the share among all.
+    Were its tokens independent of the label, so many bad urls among its urls would
+    have a probability of at most exp(-urls * KL(confidence || share)), by
+    Hoeffding's bound for draws without replacement.  That bound times the number
+    of frequent token sets, all of which are tried, is at most `alpha`: with no
+    true association, any rule at all is mined with probability alpha or less.
+
     Rules may have any number of tokens; those that a smaller rule implies are
     left out, since they change no verdict.  The support is relative, so the
     rules' number doesn't grow with the urls.
@@ -69,10 +81,13 @@ def mine(urls: DataFrame, url_col: str, bad_col: str, support: float = 0.02, lea
         if bad < count:
             return []
         model = FPGrowth(itemsCol="items", minSupport=(count - 0.5) / n, minConfidence=max(0.0, lift * bad / n - 1e-6)).fit(baskets.select("items"))
-        rules = model.associationRules.where(F.col("consequent")[0] == BAD).select("antecedent", "confidence", "support").collect()
+        tried = model.freqItemsets.where(F.array_contains("items", BAD) & (F.size("items") > 1) & (F.col("freq") >= count)).count()
+        ruled = model.associationRules.where(F.col("consequent")[0] == BAD).select("antecedent", F.round(F.col("support") * n).alias("hits"), "confidence")
+        ruled = ruled.select("antecedent", "hits", F.round(F.col("hits") / F.col("confidence")).alias("held"))
+        rules = ruled.where(strength(F.col("hits"), F.col("held"), bad, n) >= math.log(max(tried, 1) / alpha) - 1e-9).collect()
     finally:
         baskets.unpersist()
-    found = [(sorted(r["antecedent"]), round(r["support"] * n), round(round(r["support"] * n) / r["confidence"])) for r in rules]
+    found = [(sorted(r["antecedent"]), int(r["hits"]), int(r["held"])) for r in rules]
     kept: list[tuple[list[str], int, int]] = []
     sets: list[frozenset[str]] = []
     for needed, hits, all_ in sorted(found, key=lambda r: (len(r[0]), r[0])):

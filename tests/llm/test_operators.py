@@ -1,6 +1,7 @@
 """Each operator against a plain version, and with nulls, empties, ties, long texts and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quern.llm import decontam, packing, pii, quality, repeats, secretscan, simhash, topk, toxicity, urlfilter
 from quern.llm.queries import URL_RULES, tokenizer
@@ -249,6 +251,32 @@ def test_mined_rules_equal_enumeration(spark):
     assert sorted(g[0] for g in got) == sorted(want) and max(map(len, want)) >= 4
 
 
+def test_chance_gives_no_rule_and_a_true_association_does(spark):
+    """Labels that no token goes with: many sets pass support and lift, none the bound; a planted token does, in all the noise."""
+    r = random.Random(5)
+    urls = [("http://x.com/" + "/".join(r.choice("abcdefghijkl") + r.choice("abc") for _ in range(4)), r.random() < 0.12) for _ in range(1500)]
+    noise = spark.createDataFrame(urls, "url string, bad boolean")
+    assert len(urlfilter.mine(noise, "url", "bad", alpha=1e300)) > 5 and urlfilter.mine(noise, "url", "bad") == []
+    planted = urls + [(f"http://y.com/spam/{r.choice('abcdefghi')}a", r.random() < 0.7) for i in range(60)]
+    got = urlfilter.mine(spark.createDataFrame(planted, "url string, bad boolean"), "url", "bad")
+    assert got and all({"p:spam", "h:y"} & set(needed) for needed, *_ in got)
+    bad, n = sum(b for _, b in planted), len(planted)
+    for needed, hits, held in got:  # the bound is one: it isn't below the exact tail
+        tail = sum(math.comb(bad, k) * math.comb(n - bad, held - k) for k in range(hits, min(bad, held) + 1)) / math.comb(n, held)
+        bound = spark.range(1).select(urlfilter.strength(F.lit(float(hits)), F.lit(float(held)), bad, n)).first()[0]
+        assert tail <= math.exp(-bound)
+    everything = spark.createDataFrame([(u, True) for u, _ in urls[:50]], "url string, bad boolean")
+    assert urlfilter.mine(everything, "url", "bad") == []
+
+
+def test_very_long_urls_and_clashing_names(spark):
+    long = "http://x.com/" + "a/" * 200_000 + "?q=1"
+    rows = [(1, long, "v", "h", "p", "w", True), (1, long, "v", "h", "p", "w", True), (2, "", "v", "h", "p", "w", False)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string, host string, path string, words string, bad boolean")
+    got = {tuple(x) for x in urlfilter.judge(pages, pages, URL_RULES).collect()}
+    assert got == {(1, "x.com", "/" + "a/" * 200_000, None, "allow"), (2, "", "", None, "allow")}
+
+
 # 5
 
 

@@ -7,7 +7,8 @@ tokens.  The main path is built-in functions only.
 
 Defined results: a null url, or one without "://", has an empty host and path and
 no tokens; it fits no rule and is allowed.  Repeated rows are each judged; labels
-with several rows a page count as bad if any is; with no labels nothing is mined.
+with several rows a page count as bad if any is; with no labels, or where `lift` times the share
+of bad pages is over one, nothing is mined.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def mine(urls: DataFrame, url_col: str, bad_col: str, support: float = 0.02, lea
     try:
         n, bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
         count = max(least, math.ceil(support * bad))
-        if bad < count:
+        if bad < count or lift * bad > n:  # where most pages are bad no share is that much larger
             return []
         model = FPGrowth(itemsCol="items", minSupport=(count - 0.5) / n, minConfidence=max(0.0, lift * bad / n - 1e-6)).fit(baskets.select("items"))
         tried = model.freqItemsets.where(F.array_contains("items", BAD) & (F.size("items") > 1) & (F.col("freq") >= count)).count()

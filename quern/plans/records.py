@@ -16,7 +16,7 @@ from quern.operators import ambiguity, answers, bm25, context, dialog, generatio
 from quern.plans.oracle import words
 from quern.plans.queries import LATIN, table
 from quern.profile import MACEDONIAN
-from quern.sources import corpus, crawl, directory, services
+from quern.sources import archive, corpus, crawl, directory, services
 from quern.streaming import flows
 from quern.tables import new_path
 
@@ -783,3 +783,42 @@ def saved_report(spark, d):
     out = head.select(F.lit("header").alias("part"), F.col("digest").alias("key"), F.col("n_cases").alias("n"), F.lit(None).cast("double").alias("value"), F.col("retriever").alias("top"))
     out = out.unionByName(report.select(F.col("slice").alias("part"), "key", "n", F.round("mean", 9).alias("value"), none.alias("top")))
     return out.unionByName(rows.select(F.lit("case").alias("part"), F.col("case_id").cast("string").alias("key"), F.lit(1).cast("long").alias("n"), F.col("metrics")["ndcg@10"].alias("value"), F.array_join("top", " ").alias("top")))
+
+
+# a crawl into the archive
+
+_REFUSED: set[str] = set()
+
+
+def _portal(url):
+    """A portal that lacks some, apologises for some, is deaf to some, and refuses every fifth at first."""
+    n = int(url.rsplit("/", 1)[1])
+    if n % 23 == 0:
+        raise ConnectionError("deaf")
+    if n % 5 == 0 and url not in _REFUSED:
+        _REFUSED.add(url)
+        return 429, b"", 0.0
+    if n % 17 == 0:
+        return 404, b"", None
+    return 200, (b"Sorry. Ticket ID 7" if n % 19 == 0 else b'{"idService": %d}' % (n % 50)), None
+
+
+@_with("""
+WITH c AS (SELECT c_custkey AS n FROM customer),
+r AS (
+  SELECT n, CASE WHEN n % 23 = 0 THEN 'failed' WHEN n % 17 = 0 OR n % 19 = 0 THEN 'error' ELSE 'ok' END AS status,
+         CASE WHEN n % 23 = 0 THEN NULL WHEN n % 17 = 0 THEN 404 ELSE 200 END AS http_status,
+         CASE WHEN n % 23 = 0 THEN NULL WHEN n % 17 = 0 THEN '' WHEN n % 19 = 0 THEN 'Sorry. Ticket ID 7' ELSE '{"idService": ' || n % 50 || '}' END AS body
+  FROM c)
+SELECT n::VARCHAR AS key, status, http_status, length(body) AS bytes, sha256(body) AS sha256, body AS content, CASE WHEN body IS NOT NULL THEN 1 END AS n_bodies FROM r""")
+def crawl_archive(spark, d):
+    """All customers' pages crawled in two runs of one stream: each key has one row, each body one file, with its own content."""
+    at = new_path(spark, "archive")
+    key = F.col("c_custkey").cast("string")
+    wanted = table(spark, d, "customer").select(F.lit("service").alias("kind"), key.alias("key"), F.concat(F.lit("https://portal.example/"), key).alias("url"))
+    for half in (0, 1):
+        archive.released(wanted.where(F.pmod(F.xxhash64("key"), F.lit(2)) == half), f"{at}/blocks")
+        replies = archive.fetched(archive.requests(spark, f"{at}/blocks"), _portal, per_second=1e9, tries=3, first=0.0)
+        archive.keep(replies, f"{at}/kept", f"{at}/log").awaitTermination()
+    files = archive.bodies(spark, f"{at}/kept").where("sound").groupBy("sha256").agg(F.count("*").alias("n_bodies"), F.first("content").cast("string").alias("content"))
+    return archive.manifest(spark, f"{at}/kept").join(files, "sha256", "left").select("key", "status", "http_status", "bytes", "sha256", "content", "n_bodies")

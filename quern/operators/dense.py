@@ -19,6 +19,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return v / np.where(length > 0, length, 1)
 
 
+def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best finite scores of each line, ties to the smaller id; only what ties with the k-th or better is sorted."""
+    if k < score.shape[1]:
+        least = np.partition(score, -k, axis=1)[:, -k, None]
+        i, j = np.nonzero((score >= least) & (score > -np.inf))
+    else:
+        i, j = np.nonzero(score > -np.inf)
+    order = np.lexsort((ids[j], -score[i, j], i))
+    i, j = i[order], j[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep]
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str | None = None, threshold: float | None = None, exclude_self: bool = False, block: int = 4096, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank); queries are (query_id, embedding[, group]).
 
@@ -53,10 +66,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                 if threshold is not None:
                     allowed &= score >= threshold
                 score = np.where(allowed, score, -np.inf)
-                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                i, j = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-                keep = score[i, j] > -np.inf
-                yield pa.RecordBatch.from_pydict({"query_id": ids[i[keep]], "id": own[j[keep]], "score": score[i[keep], j[keep]]})
+                i, j = best(score, own, k)
+                yield pa.RecordBatch.from_pydict({"query_id": ids[i], "id": own[j], "score": score[i, j]})
 
         parts.append(base.mapInArrow(run, f"query_id {own.schema['query_id'].dataType.simpleString()}, id {kind}, score double"))
     if not parts:

@@ -90,17 +90,36 @@ def sliced(metrics: DataFrame, cases: DataFrame, slices: tuple[str, ...]) -> Dat
     return out.select(which.alias("slice"), key.alias("key"), "metric", "n", "mean")
 
 
-def p95(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+def p95(rows: DataFrame, value: str, by: list[str], bins: int = 4096) -> DataFrame:
     """The value at place min(n - 1, int(0.95 n)) from 0, which isn't an interpolated percentile.
 
-    Rows are counted by value before anything is shuffled, and running counts of
-    the distinct values tell the place.
+    Two passes: counts in equal bins between the smallest and largest finite value
+    of each group tell the bin of that place; only the distinct values of this bin
+    are then put in order.  Nulls don't count; NaN comes last.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("m"))
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), F.col(value).cast("double").alias("d"))
+    finite = F.when(~F.isnan("d") & (F.abs("d") < float("inf")), F.col("d"))
+    ends = _renamed(own.groupBy(*by).agg(F.min(finite).alias("lo"), F.max(finite).alias("hi")), by)
+    inner = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("d") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))).otherwise(0)
+    at = F.when(F.isnan("d") | (F.col("d") == float("inf")), bins).when(F.col("d") == float("-inf"), -1).otherwise(inner)
+    binned = own.join(ends, _same(by)).select(*by, "v", at.cast("long").alias("bin"))
+    counted = binned.groupBy(*by, "bin").agg(F.count("*").alias("m"))
     window = Window.partitionBy(*by)
-    placed = counted.withColumn("end", F.sum("m").over(window.orderBy(value))).withColumn("n", F.sum("m").over(window))
-    wanted = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
-    return placed.where((F.col("end") - F.col("m") <= wanted) & (wanted < F.col("end"))).select(*by, F.col(value).alias("p95"))
+    placed = counted.withColumn("end", F.sum("m").over(window.orderBy("bin"))).withColumn("wanted", F.least(F.sum("m").over(window) - 1, F.floor(F.sum("m").over(window) * 0.95)))
+    first = F.col("end") - F.col("m")
+    hit = placed.where((first <= F.col("wanted")) & (F.col("wanted") < F.col("end"))).select(*by, F.col("bin").alias("hit"), (F.col("wanted") - first).alias("left"))
+    inside = binned.join(_renamed(hit, by), _same(by) & (F.col("bin") == F.col("hit"))).groupBy(*by, "left", "v").agg(F.count("*").alias("m"))
+    near = inside.withColumn("end", F.sum("m").over(window.orderBy("v")))
+    return near.where((F.col("end") - F.col("m") <= F.col("left")) & (F.col("left") < F.col("end"))).select(*by, F.col("v").alias("p95"))
+
+
+def _renamed(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_{c}" for c in by})
+
+
+def _same(by: list[str]) -> Column:
+    """Equal groups, nulls included, of a table and a renamed one."""
+    return reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), by, F.lit(True))
 
 
 def compare(baseline: DataFrame, candidate: DataFrame, metric: str = "ndcg@10", tolerance: float = 0.01, least: int = 10) -> DataFrame:

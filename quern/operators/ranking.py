@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.tables import stored
+
 RRF_K = 60
 #: Rows of a query batch that may be sent to every task.
 BATCH_ROWS = 10_000
@@ -26,6 +28,21 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), id_col:
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """rows with their number in the group, from 1, where a group may be too large for one task.
+
+    Ranges of (group, order) are numbered apart, and each starts after the rows of
+    its group in the ranges before it.  Rows should be narrow: they are written once.
+    """
+    ranges = stored(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
+    starts = sizes.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_range").alias("_at"), before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), by, F.col("_range") == F.col("_at"))
+    return ranges.withColumn(name, own).join(starts, same).select(*rows.columns, (F.col(name) + F.col("_before")).alias(name))
+
+
 def normalized_hits(hits: DataFrame, k: int) -> DataFrame:
     """Each id once, at its best rank, ranks made dense again, cut to k."""
     first = hits.groupBy("query_id", "id").agg(F.min("rank").alias("was"), F.max("score").alias("score"))

@@ -182,13 +182,13 @@ def vote_top_per_group(spark, d):
 
 
 def _listed(spark, d):
-    docs = table(spark, d, "documents")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return docs.select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), "source", "text", rank.alias("rank"), (F.col("doc_id") % 2 == 0).alias("injected"))
+    """Each language's documents in order, with the digest of the text: texts don't move."""
+    own = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), "source", F.sha2(F.col("text").cast("binary"), 256).alias("content"))
+    return ranking.numbered(own, ["query_id"], ["id"]).withColumn("injected", F.col("id") % 2 == 0)
 
 
 def dedup_content(spark, d):
-    kept = context.without_copies(_listed(spark, d), "text", "source")
+    kept = context.without_copies(_listed(spark, d), "content", "source")
     return kept.select(F.col("query_id").alias("lang"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "injected", F.concat_ws(",", F.sort_array("also_in")).alias("also_in"))
 
 
@@ -405,14 +405,19 @@ def entity_index(spark, d):
 
 
 def stream_windows(spark, d):
-    """Hourly counts by a stream of the events, run until all is read."""
+    """Daily counts by a stream of the events, run until all is read.
+
+    Each batch tells only the windows that it changed, so windows older than the
+    watermark leave the state; the last word on a window is that of its last batch.
+    """
     at = new_path(spark, "stream")
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")  # a pattern may be a file or a folder
     counts = flows.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), width="1 day")
-    query = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/log").trigger(availableNow=True)
-    query.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out").select(F.col("window.start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    query = counts.writeStream.outputMode("update").option("checkpointLocation", f"{at}/log").trigger(availableNow=True)
+    query.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")).start().awaitTermination()
+    told = spark.read.parquet(f"{at}/out").groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
+    return told.select(F.col("window.start").alias("day"), "event_type", "x.n", F.round("x.total", 4).alias("total"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -1,8 +1,10 @@
 """Search, fusion, lookup, context and ambiguity on a small registry."""
 
 import math
+import random
 import xml.etree.ElementTree as ET
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +194,39 @@ def test_digest_of_a_corpus(spark):
     of = lambda xs: corpus.digest(spark.createDataFrame(xs, "k long, t string"), "k", "t").collect()[0]
     assert of(rows) == of(rows[::-1]) and of(rows)["n"] == 4
     assert len({of(x)["digest"] for x in (rows, rows[:3], [(1, "a"), (2, ""), (3, ""), (3, "")], [(1, "a"), (2, None), (3, ""), (3, None)], [])}) == 5
+
+
+def test_numbers_without_one_task_a_group(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i) for i in range(500)]
+    r.shuffle(rows)
+    got = {(x["g"], x["i"]): x["rank"] for x in ranking.numbered(spark.createDataFrame(rows, "g string, i long").repartition(5), ["g"], ["i"]).collect()}
+    want = {(g, i): n for g0 in ("a", "b", None) for n, (g, i) in enumerate(sorted(x for x in rows if x[0] == g0), 1)}
+    assert got == want
+    assert ranking.numbered(spark.createDataFrame([], "g string, i long"), ["g"], ["i"]).count() == 0
+
+
+def test_p95_by_bins(spark):
+    r = random.Random(4)
+    inf, nan = float("inf"), float("nan")
+    groups = {"one": [7.0], "ties": [1.0] * 30 + [2.0], "wide": [r.gauss(0, 1) * 10 ** r.randrange(-9, 9) for _ in range(400)], "odd": [-inf, 1.0, nan, inf, nan], "huge": [-1.7e308, 1.7e308, 0.0, 1.0], "infinite": [inf] * 3, None: [3.0, 4.0, None]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, x double")
+    for bins in (1, 7, 4096):
+        got = {x["g"]: x["p95"] for x in metrics.p95(df, "x", ["g"], bins).collect()}
+        for g, vs in groups.items():
+            order = sorted((v for v in vs if v is not None), key=lambda v: (v != v, v if v == v else 0))
+            want = order[min(len(order) - 1, int(0.95 * len(order)))]
+            assert got[g] == want or (want != want and got[g] != got[g]), (g, bins)
+    assert metrics.p95(df.limit(0), "x", ["g"]).count() == 0
+    assert metrics.p95(df.where("g = 'wide'"), "x", []).count() == 1
+
+
+def test_best_of_a_block_of_scores():
+    r = np.random.default_rng(1)
+    for k in (1, 3, 50):
+        score = np.round(r.random((6, 40)), 1)
+        score[r.random(score.shape) < 0.3] = -np.inf
+        score[5] = -np.inf
+        ids = r.permutation(40)
+        want = [(i, j) for i in range(6) for j in [j for j in np.lexsort((ids, -score[i])) if score[i, j] > -np.inf][:k]]
+        assert list(zip(*(x.tolist() for x in dense.best(score, ids, k)))) == want

@@ -243,8 +243,9 @@ b AS (SELECT page_id, string_split(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'),
 c AS (SELECT page_id, array_to_string(list_transform(list_transform(parts, lambda part: {
     before: CASE WHEN regexp_matches(part, '<a\s') THEN regexp_extract(part, '(?s)^(.*?)<a\s', 1) ELSE part END, href: trim(regexp_extract(part, '(?s)<a\s[^>]*href="([^"]*)"', 1)), said: trim(regexp_replace(regexp_extract(part, '(?s)<a\s[^>]*>(.*)$', 1), '\s+', ' ', 'g'))}),
     lambda x: x.before || x.said || CASE WHEN x.href = '' OR contains(x.said, x.href) THEN '' WHEN x.said = '' THEN x.href ELSE ' (' || x.href || ')' END), '') AS t FROM b),
-d AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<li[^>]*>', chr(10) || '- ', 'g'), '<br[^>]*>|</(p|div|tr|h1|h2|h3|h4|ul|ol)>', chr(10), 'g'), '</?[a-z!][^>]*>', '', 'gi') AS t FROM c),
-e AS (SELECT page_id, translate(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(1) || chr(2), '<&') AS t FROM d),
+u AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g') AS t FROM c),
+d AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<li[^>]*>', chr(10) || '- ', 'g'), '<br[^>]*>|</(p|div|tr|h1|h2|h3|h4|ul|ol)>', chr(10), 'g'), '</?[a-z!][^>]*>', '', 'gi') AS t FROM u),
+e AS (SELECT page_id, translate(t, chr(1) || chr(2), '<&') AS t FROM d),
 f AS (SELECT page_id, array_to_string(list_transform(string_split(regexp_replace(t, '[ \t' || chr(160) || ']+', ' ', 'g'), chr(10)), lambda line: trim(line)), chr(10)) AS t FROM e)
 SELECT page_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS plain FROM f""",
     "directory_blocks": """

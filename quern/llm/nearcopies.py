@@ -1,11 +1,21 @@
-"""Near copies by the Jaccard similarity of word shingles, one of each class kept.
+"""Near copies by SimHash, decided by the Jaccard similarity of word shingles, one of each class kept.
 
-Texts with equal shingle sets are joined first.  Min-hashes in 40 bands of four
-name the candidates, whose exact similarity then decides: a pair of similarity
-0.8 shares no band with probability (1 - 0.8^4)^40, under 1e-9, a closer pair
-less.  In each cell all members meet two leaders.  Members of cells that these
-links don't join into one class meet by the rarest of their shingles, a filter
-that loses no pair.
+Texts with equal shingle sets are joined first.  The others get a SimHash of 512
+bits over their distinct shingles, embedded by segment bit counts as in simhash.
+Cells of a grid over these coordinates name the candidates: as many draws of a
+few segments as leave a pair at the least similarity without a common cell with
+probability 1e-9, by its expected distance.  Within a cell the Hamming distance
+of the first 128 bits tests each pair, then that of all bits, and the exact
+similarity decides.
+
+For 200,000 texts and similarity 0.8 the spread of that distance makes it 2e-7,
+and the 128 bits lose 2e-7 more (2e-6 and 2e-7 for 1,300,000 texts, less for closer
+pairs); texts of eight and nine words, four shingles against five, differ in more
+bits and are lost at 1e-4.
+
+In a dense cell stars cover the near members instead of all pairs.  Members of
+dense cells that these links don't join into one class meet by the rarest of
+their shingles, a filter that loses no pair.
 
 Shingles count as equal if their 64-bit XXH64 is.  Defined results: null and
 empty texts have the empty set and are one class; a text of fewer words than a
@@ -17,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from math import acos, ceil, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +36,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.llm.bytewords import mixed
 from quern.llm.common import only, slices, stored
 from quern.llm.components import components
+from quern.llm.simhash import embedded
 
-BANDS, ROWS = 40, 4
+U = np.uint64
+#: Words of 64 bits in a code, and how many of them cells test a pair by; the most bits these and whole codes may differ in.
+WORDS, TESTED, RADIUS, WHOLE_RADIUS = 8, 2, 42, 132
+#: Texts that share a cell by chance, on average.
+_CROWD = 600
+#: A cell of more pairs a member is dense; of more members, all of them count as near to some other.
+_DENSE, _GIANT = 8, 8192
 _MANY = 4096
+_ROWS_A_TASK = 500_000
 _BUCKET = np.uint64(511)
 _ROW = "quern_row"
 _draw = np.random.default_rng(42)
-_XOR = _draw.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
-_TIMES = _draw.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+_SEEDS = _draw.integers(0, 2**64, WORDS, np.uint64)
 
 
 def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -49,12 +68,112 @@ def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([digest(joined[a : b - 1], seed) for a, b in zip(at, at[width:])], np.uint64))
 
 
-def band_keys(own: np.ndarray) -> list[int]:
-    """Keys of the cells of a shingle set; none of the empty set."""
+def code(own: np.ndarray) -> np.ndarray:
+    """SimHash of a shingle set: majority bits, none of the empty set."""
     if not len(own):
-        return []
-    least = np.min([((own[i : i + _MANY] ^ _XOR) * _TIMES).min(axis=1) for i in range(0, len(own), _MANY)], axis=0)
-    return [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+        return own
+    ones = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(own), _MANY):
+        bits = np.unpackbits(mixed(own[i : i + _MANY, None] ^ _SEEDS).view(np.uint8), axis=1)
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(own)).view(np.uint64)
+
+
+def grid(number: int, least: float, miss: float = 1e-9) -> np.ndarray:
+    """The segments drawn for each table, a row of their numbers each.
+
+    A bit of two sets of that similarity differs with probability `flip`, a segment
+    of two bits has equal bit counts in both with probability `same`, and by chance
+    with 3/8.
+    """
+    flip = acos(2 * least / (1 + least)) / pi
+    same = (1 - flip) ** 2 + flip**2 / 2
+    drawn = max(3, ceil(log(max(number, 1) / _CROWD) / log(8 / 3)))
+    tables = ceil(log(miss) / log(1 - same**drawn))
+    draw = np.random.default_rng(7)
+    return np.array([draw.choice(32 * WORDS, drawn, replace=False) for _ in range(tables)])
+
+
+def _within(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether the codes (rows of words) differ in few bits: a row for each of some, a column for each of others."""
+    apart = np.bitwise_count(some[:, 0, None] ^ others[:, 0])
+    for k in range(1, TESTED):
+        apart += np.bitwise_count(some[:, k, None] ^ others[:, k])
+    return apart <= RADIUS
+
+
+def near_in(codes: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Near pairs of a cell's codes, and which members are left to meet otherwise: none unless it is dense."""
+    n, none = len(codes), np.zeros(0, np.int64)
+    left, step = np.arange(n), max(1, (1 << 20) // n)
+    if n <= _GIANT:
+        count, pairs = np.zeros(n, np.int64), []
+        for i in range(0, n, step):
+            at = _within(codes[i : i + step], codes)
+            count[i : i + step] = np.count_nonzero(at, axis=1)
+            if count.sum() - n <= 2 * _DENSE * n and count.max() > 1:
+                u, v = np.nonzero(at)
+                pairs.append((u[u + i < v] + i, v[u + i < v]))
+        left = np.flatnonzero(count > 1)
+        if count.sum() - n <= 2 * _DENSE * len(left):
+            return pairs, none
+    members, stars = left, []
+    for _ in range(len(left) if n <= _GIANT else 64):
+        if len(left) < 2:
+            break
+        at = _within(codes[left[:1]], codes[left[1:]])[0]
+        stars.append((np.full(np.count_nonzero(at), left[0]), left[1:][at]))
+        left = left[1:][~at]
+    return stars, members
+
+
+def _near(cell: np.ndarray, node: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (u, v) of all cells; and (cell, node) of the members of dense ones."""
+    order = np.lexsort((mixed(node.view(np.uint64)), cell))  # so that cells choose the same centres
+    cell, node, codes = cell[order], node[order], codes[order]
+    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    sizes = np.diff(np.append(starts, len(cell)))
+    u, v, rest = [], [], [np.zeros(0, np.int64)]
+    for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        pairs, members = near_in(codes[s : s + n])
+        for a, b in pairs:
+            u.append(a + s)
+            v.append(b + s)
+        rest.append(members + s)
+    u, v, rest = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (u, v, rest))
+    pairs = np.unique(np.sort(np.stack([node[u], node[v]]), axis=0), axis=1)
+    return pairs[0], pairs[1], cell[rest], node[rest]
+
+
+def candidates(nodes: DataFrame, least: float) -> DataFrame:
+    """(cell, u, v): pairs u, v without a cell, and members u of dense cells without v; nodes has (node, code)."""
+    number = nodes.count()
+    tables = grid(number, least)
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-number * len(tables) // _ROWS_A_TASK))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+            points = embedded(codes)
+            own = [batch.column(0), *(pa.array(codes[:, k].view(np.int64)) for k in range(TESTED))]
+            for k, segments in enumerate(tables.tolist()):
+                cell = np.full(len(codes), k, np.uint64)  # the table, then two bits for each bit count
+                for segment in segments:
+                    cell = cell << U(2) | points[:, segment // 32] >> U(segment % 32 * 2) & U(3)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *own], ["cell", "node", *(f"c{k}" for k in range(TESTED))])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            cell, node, *words = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(2 + TESTED))
+            u, v, dense, members = _near(cell, node, np.stack(words, axis=1).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(v)], ["cell", "u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(dense), pa.array(members), pa.nulls(len(dense), pa.int64())], ["cell", "u", "v"])
+
+    coded = nodes.where(F.size("code") > 0).select("node", "code")
+    return coded.mapInArrow(cells, "cell long, node long" + "".join(f", c{k} long" for k in range(TESTED))).repartition(tasks, "cell").mapInArrow(link, "cell long, u long, v long")
 
 
 def _lists(rows: list) -> pa.Array:
@@ -64,15 +183,15 @@ def _lists(rows: list) -> pa.Array:
 
 
 def _sketches(own: DataFrame, width: int) -> DataFrame:
-    """(row, digest of the shingle set, cells)."""
+    """(row, digest of the shingle set, its SimHash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingles(x or b"", width) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, _lists([band_keys(s) for s in sets])], ["row", "digest", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, _lists([code(s) for s in sets])], ["row", "digest", "code"])
 
-    return own.mapInArrow(run, "row long, digest binary, cells array<long>")
+    return own.mapInArrow(run, "row long, digest binary, code array<long>")
 
 
 def _sets(own: DataFrame, width: int) -> DataFrame:
@@ -96,18 +215,19 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """(u, v) links that span the classes of the nodes (node, cells); texts has (row, text)."""
-    cells = nodes.select("node", F.explode("cells").alias("cell"))
-    order = F.xxhash64("cell", "node")
-    shared = cells.groupBy("cell").agg(F.min_by("node", order).alias("l1"), F.max_by("node", order).alias("l2"), F.count("*").alias("n")).where("n > 1")
-    members = stored(cells.join(shared, "cell"), "members")
-    sets = stored(_sets(texts.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi"), width), "sets")
-    led = members.select(F.col("node"), F.explode(F.array("l1", "l2")).alias("leader")).where("node <> leader")
-    first = stored(_alike(led.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct(), sets, least), "links")
-    roots = components(first)
-    rest = members.where("n > 3 AND node <> l1 AND node <> l2").join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rest.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cell")
-    rest = stored(rest.join(mixed, "cell").select("node", "root").distinct(), "rest")
+    """(u, v) links that span the classes of the nodes (node, code); texts has (row, text)."""
+    found = stored(candidates(nodes, least), "candidates")
+    left, right = (nodes.select(F.col("node").alias(k), F.col("code").alias(f"c{k}")) for k in "uv")
+    apart = sum((F.bit_count(F.get("cu", F.lit(k)).bitwiseXOR(F.get("cv", F.lit(k)))) for k in range(WORDS)), F.lit(0))
+    pairs = found.where("v IS NOT NULL").select("u", "v").distinct().join(left, "u").join(right, "v").where(apart <= WHOLE_RADIUS).select("u", "v")
+    pairs = stored(pairs, "pairs")
+    members = found.where("v IS NULL").select("cell", F.col("u").alias("node"))
+    met = pairs.select(F.explode(F.array("u", "v")).alias("row")).unionByName(members.select(F.col("node").alias("row"))).distinct()
+    sets = stored(_sets(texts.join(met, "row", "left_semi"), width), "sets")
+    first = stored(_alike(pairs, sets, least), "links")
+    rest = members.join(components(first), "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
+    split = rest.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cell")
+    rest = stored(rest.join(split, "cell").select("node", "root").distinct(), "rest")
     return first.unionByName(_alike(_prefix_pairs(rest, sets, least), sets, least))
 
 
@@ -138,9 +258,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     prints = stored(_sketches(texts, width), "prints")
     best = F.struct(F.col("id").isNull().alias("last"), "id", "told", "row")
     ids = only(own, _ROW, id_col, text_col).toDF("row", "id", "text").select("row", "id", F.xxhash64("text").alias("told"))
-    same = prints.join(ids, "row").groupBy("digest").agg(F.min(best).alias("best"), F.first("cells").alias("cells"))
-    nodes = stored(same.select(F.col("best.row").alias("node"), "best", "cells"), "nodes")
-    roots = components(similar_links(nodes.select("node", "cells"), texts, width, least))
+    same = prints.join(ids, "row").groupBy("digest").agg(F.min(best).alias("best"), F.first("code").alias("code"))
+    nodes = stored(same.select(F.col("best.row").alias("node"), "best", "code"), "nodes")
+    roots = components(similar_links(nodes.select("node", "code"), texts, width, least))
     rooted = nodes.select("node", "best").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(_ROW))
     return own.join(kept, _ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -112,33 +112,49 @@ class Cutter:
     def restart(self) -> None:
         self.e, self.cost, self.back = array("q", [0]), array("d", [0.0]), array("q", [0])
         self.queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # (f + e, e, index), values rising
-        self.at, self.recent = {0: 0}, deque([0])  # ends within a window of the last
+
+    def exact(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the further ends lie a power of two after which end number, smaller powers first."""
+        known = len(self.e)
+        first = max(0, known - self.length)
+        every = np.concatenate([np.array(self.e[first:], np.int64), ends])
+        found = []
+        for size in self.powers:
+            at = np.searchsorted(every, ends - size)
+            hit = np.flatnonzero(every[at] == ends - size)
+            found.append((hit, at[hit] + first))
+        here, short = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(here, kind="stable")
+        return here[order], short[order]
 
     def add(self, ends: list[int], penalties: list[float]) -> None:
         """Further ends, ascending and at most `length` apart."""
-        e, cost, back, queue, at, recent, length = self.e, self.cost, self.back, self.queue, self.at, self.recent, self.length
-        for here, penalty in zip(ends, penalties):
-            j = len(e)
+        if not len(ends):
+            return
+        e, cost, back, queue, length = self.e, self.cost, self.back, self.queue, self.length
+        further = np.array(ends, np.int64)
+        which, shorts = self.exact(further)
+        which, shorts, k = [*which.tolist(), -1], shorts.tolist(), 0
+        j = len(e)
+        e.frombytes(further.tobytes())
+        for number, (here, penalty) in enumerate(zip(ends, penalties)):
             while queue[0][1] < here - length:
                 queue.popleft()
             value, _, i = queue[0]
             best = value + length - here
-            for size in self.powers:
-                short = at.get(here - size)
-                if short is not None and cost[short] < best:
+            while which[k] == number:
+                short = shorts[k]
+                if cost[short] < best:
                     best, i = cost[short], short
+                k += 1
             best += penalty
-            e.append(here)
             cost.append(best)
             back.append(i)
-            at[here] = j
-            recent.append(here)
-            while recent[0] < here - length:
-                del at[recent.popleft()]
             best += here
             while queue and queue[-1][0] >= best:
                 queue.pop()
             queue.append((best, here, j))
+            j += 1
 
     def path(self, j: int) -> list[int]:
         """The cuts of the cheapest way to end number j, ascending."""

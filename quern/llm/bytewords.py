@@ -24,7 +24,7 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BASES = [int(x) | 1 for x in _rng.integers(2**60, 2**63, 12, dtype=np.uint64)]
 _powers: dict[tuple[int, bool], np.ndarray] = {}
-#: Bytes that are hashed at once.  Tables of powers are kept for so many, eight bytes each, as long as a worker lives.
+#: Bytes, or words of a rolling hash, that are hashed at once.  Tables of powers are kept for so many, eight bytes each, as long as a worker lives.
 _CHUNK = 1 << 18
 
 
@@ -121,11 +121,15 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
 
 def rolling(hashes: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     """Hash of each run of n values; the last n - 1 values begin none."""
-    if len(hashes) < n:
+    count = len(hashes) - n + 1
+    if count < 1:
         return np.zeros(0, np.uint64)
-    base = _BASES[seed]
-    sums = _sums(hashes, base)
-    return mixed((sums[n:] - sums[:-n]) * _power(base, len(hashes), True)[: len(hashes) - n + 1])
+    base, out, step = _BASES[seed], np.empty(count, np.uint64), max(n, _CHUNK - n + 1)
+    for i in range(0, count, step):
+        part = hashes[i : i + step + n - 1]
+        sums = _sums(part, base)
+        out[i : i + step] = mixed((sums[n:] - sums[:-n]) * _power(base, len(part), True)[: len(part) - n + 1])
+    return out
 
 
 def within(first: np.ndarray, n: int) -> np.ndarray:

@@ -219,7 +219,7 @@ def _windows(joined: DataFrame, window: int, ranges: int, seed: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 16
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES // 2):  # two hashes of each word are held at once
             whole = np.array([bool(d) and hashlib.sha256(t or b"").hexdigest() in d for d, t in zip(batch.column(3).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())])
             places = [b"".join(p or []) if not w else b"" for p, w in zip(batch.column(2).to_pylist(), whole)]
             if not any(places):

@@ -2,20 +2,22 @@
 
 Texts with equal shingle sets are joined first.  The others get a SimHash of 512
 bits over their distinct shingles, embedded by segment bit counts as in simhash.
-Cells of a grid over these coordinates name the candidates: as many draws of a
-few segments as leave a pair at the least similarity without a common cell with
-probability 1e-9, by its expected distance.  Within a cell the Hamming distance
-of the first 128 bits tests each pair, then that of all bits, and the exact
-similarity decides.
-
-For 200,000 texts and similarity 0.8 the spread of that distance makes it 2e-7,
-and the 128 bits lose 2e-7 more (2e-6 and 2e-7 for 1,300,000 texts, less for closer
-pairs); texts of eight and nine words, four shingles against five, differ in more
-bits and are lost at 1e-4.
-
-In a dense cell stars cover the near members instead of all pairs.  Members of
-dense cells that these links don't join into one class meet by the rarest of
-their shingles, a filter that loses no pair.
+Cells of a grid over these coordinates name the candidates, in two steps.  Whole
+codes are dealt by cells of few segments, so many draws of them that a pair at
+the least similarity is left without a common cell with probability 1e-9, by its
+expected distance; their number stays the same up to some ten million texts.
+Inside such a cell its members meet in finer cells of further segments, which move
+no rows.  There the Hamming distance of the first 128 bits tests each pair, then
+that of all bits, and the exact similarity decides.
+
+By that formula, finer cells and the spread of the distance included, a pair of
+similarity 0.8 is lost with probability 6e-8 for 200,000 texts, and the 128 bits
+lose 2e-7 more (less for closer pairs); texts of eight and nine words, four
+shingles against five, differ in more bits and are lost at 1e-4.
+
+A class of many near members in a cell is spanned by links instead of all pairs.
+Such crowds, joined over all cells, whose members the exact links don't join into
+one class meet by the rarest of their shingles, a filter that loses no pair.
 
 Shingles count as equal if their 64-bit XXH64 is.  Defined results: null and
 empty texts have the empty set and are one class; a text of fewer words than a
@@ -44,12 +46,17 @@ from quern.llm.simhash import embedded
 U = np.uint64
 #: Words of 64 bits in a code, and how many of them cells test a pair by; the most bits these and whole codes may differ in.
 WORDS, TESTED, RADIUS, WHOLE_RADIUS = 8, 2, 42, 132
-#: Texts that share a cell by chance, on average.
-_CROWD = 600
-#: A cell of more pairs a member is dense; of more members, all of them count as near to some other.
+#: Texts that share a cell by chance, on average; how many times as many share one that rows are dealt by; those that share a finer one.
+_CROWD, _WIDE, _FINE = 600, 1000, 12
+#: A pair that shares a cell shares none of its finer ones with this probability, by its expected distance.
+_FINE_MISS = 0.02
+#: Cells of so many members are compared as they are.
+_SMALL = 128
+#: A class of more pairs a member is dense; in a cell of more members, all of them count as near to some other.
 _DENSE, _GIANT = 8, 8192
 _MANY = 4096
-_ROWS_A_TASK = 500_000
+_ROWS_A_TASK = 250_000
+_PAIRS_AT_ONCE = 1 << 19
 _BUCKET = np.uint64(511)
 _ROW = "quern_row"
 _draw = np.random.default_rng(42)
@@ -94,61 +101,185 @@ def grid(number: int, least: float, miss: float = 1e-9) -> np.ndarray:
     return np.array([draw.choice(32 * WORDS, drawn, replace=False) for _ in range(tables)])
 
 
+def finer(number: int, least: float, coarse: np.ndarray) -> np.ndarray:
+    """The segments drawn for the finer cells of each table of grid: tables, cells, segments."""
+    flip = acos(2 * least / (1 + least)) / pi
+    same = (1 - flip) ** 2 + flip**2 / 2
+    drawn = max(1, ceil(log(max(number, 1) / _FINE) / log(8 / 3)) - coarse.shape[1])
+    cells = ceil(log(_FINE_MISS) / log(1 - same**drawn))
+    draw = np.random.default_rng(11)
+    return np.array([[draw.choice(others, drawn, replace=False) for _ in range(cells)] for others in (np.setdiff1d(np.arange(32 * WORDS), own) for own in coarse)])
+
+
 def _within(some: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Whether the codes (rows of words) differ in few bits: a row for each of some, a column for each of others."""
     apart = np.bitwise_count(some[:, 0, None] ^ others[:, 0])
     for k in range(1, TESTED):
         apart += np.bitwise_count(some[:, k, None] ^ others[:, k])
-    return apart <= RADIUS
+    near = apart <= RADIUS
+    if some.shape[1] > TESTED:
+        u, v = np.nonzero(near)
+        for i in range(0, len(u), _PAIRS_AT_ONCE):
+            a, b = u[i : i + _PAIRS_AT_ONCE], v[i : i + _PAIRS_AT_ONCE]
+            near[a, b] = _whole(some[a], others[b])
+    return near
+
+
+def _whole(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether whole codes differ in few bits, row by row."""
+    return np.bitwise_count(some ^ others).sum(axis=1, dtype=np.int64) <= WHOLE_RADIUS
+
+
+def _spread(seed: np.ndarray, left: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (u, v) that span all that near codes join to the seed, and which are left without it."""
+    us, vs, front = [], [], seed
+    while len(front) and len(left):
+        reached, step = [], max(1, (1 << 20) // len(left))
+        for i in range(0, len(front), step):
+            at = _within(codes[front[i : i + step]], codes[left])
+            hit = at.any(axis=0)
+            us.append(front[i : i + step][at.argmax(axis=0)[hit]])
+            reached.append(left[hit])
+            left = left[~hit]
+            if not len(left):
+                break
+        front = np.concatenate(reached)
+        vs.append(front)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs]), left
 
 
 def near_in(codes: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Near pairs of a cell's codes, and which members are left to meet otherwise: none unless it is dense."""
-    n, none = len(codes), np.zeros(0, np.int64)
-    left, step = np.arange(n), max(1, (1 << 20) // n)
-    if n <= _GIANT:
-        count, pairs = np.zeros(n, np.int64), []
-        for i in range(0, n, step):
-            at = _within(codes[i : i + step], codes)
-            count[i : i + step] = np.count_nonzero(at, axis=1)
-            if count.sum() - n <= 2 * _DENSE * n and count.max() > 1:
-                u, v = np.nonzero(at)
-                pairs.append((u[u + i < v] + i, v[u + i < v]))
-        left = np.flatnonzero(count > 1)
-        if count.sum() - n <= 2 * _DENSE * len(left):
-            return pairs, none
-    members, stars = left, []
-    for _ in range(len(left) if n <= _GIANT else 64):
-        if len(left) < 2:
-            break
-        at = _within(codes[left[:1]], codes[left[1:]])[0]
-        stars.append((np.full(np.count_nonzero(at), left[0]), left[1:][at]))
-        left = left[1:][~at]
-    return stars, members
-
-
-def _near(cell: np.ndarray, node: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (u, v) of all cells; and (cell, node) of the members of dense ones."""
-    order = np.lexsort((mixed(node.view(np.uint64)), cell))  # so that cells choose the same centres
+    """For each class that near codes join its near pairs or, if it is dense, links that span it; and the members of dense ones.
+
+    The first index of a class stands first in its links.
+    """
+    n, pairs, members, seeds = len(codes), [], [np.zeros(0, np.int64)], 0
+    left = np.arange(n)
+    while len(left) > 1 and (n <= _GIANT or seeds < 64):
+        some = min(64, len(left))
+        at = _within(codes[left[:some]], codes[left])
+        lone = np.count_nonzero(at, axis=1) == 1
+        seeds += 1
+        if lone.all():
+            left = left[some:]
+            continue
+        left = left[np.append(~lone, np.ones(len(left) - some, bool))]
+        seed = left[:1]
+        u, v, left = _spread(seed, left[1:], codes)
+        if n <= _GIANT and len(v) <= 2 * _DENSE:
+            own = np.sort(np.append(seed, v))
+            a, b = np.nonzero(np.triu(_within(codes[own], codes[own]), 1))
+            u, v = own[a], own[b]
+        else:
+            members.append(np.append(seed, v))
+        pairs.append((u, v))
+    return pairs, np.arange(n) if n > _GIANT else np.sort(np.concatenate(members))
+
+
+def _pairs_in(starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(u, v, cell) of the near pairs of these cells of neighbouring rows, some cells at a time."""
+    ends = np.cumsum(sizes * (sizes - 1) // 2)
+    begin = 0
+    while begin < len(starts):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _PAIRS_AT_ONCE, "right")))
+        s, n = starts[begin:end], sizes[begin:end]
+        row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # the place of each row in its cell
+        later = np.repeat(n, n) - row - 1
+        u = np.repeat(np.repeat(s, n) + row, later)
+        v = u + 1 + np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later)
+        apart = np.bitwise_count(codes[u, 0] ^ codes[v, 0])
+        for k in range(1, TESTED):
+            apart += np.bitwise_count(codes[u, k] ^ codes[v, k])
+        near = np.flatnonzero(apart <= RADIUS)
+        near = near[_whole(codes[u[near]], codes[v[near]])]
+        u, v = u[near], v[near]
+        yield u, v, np.searchsorted(starts, u, "right") - 1
+        begin = end
+
+
+def _near_in_cells(key: np.ndarray, node: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Near pairs (u, v) of all cells, rows of one key; links (u, v) that span dense classes; (class, node) of their members."""
+    order = np.argsort(key, kind="stable")
+    key, node, codes = key[order], node[order], codes[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(starts, len(key)))
+    small = (sizes > 1) & (sizes <= _SMALL)
+    large = list(zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist()))
+    starts, sizes = starts[small], sizes[small]
+    pairs, spans, dense = ([np.zeros((2, 0), np.int64)] for _ in range(3))
+    for u, v, cell in _pairs_in(starts, sizes, codes):
+        linked = np.bincount(np.searchsorted(starts, np.unique(np.concatenate([u, v])), "right") - 1, minlength=len(starts))
+        crowded = np.bincount(cell, minlength=len(starts)) > _DENSE * linked
+        large += zip(starts[crowded].tolist(), sizes[crowded].tolist())
+        pairs.append(np.stack([u, v])[:, ~crowded[cell]])
+    for s, n in large:
+        links, members = near_in(codes[s : s + n])
+        first, left = np.zeros(n, np.int64), np.zeros(n, bool)
+        left[members] = True
+        for u, v in links:
+            (spans if left[u[0]] else pairs).append(np.stack([u, v]) + s)
+            if n <= _GIANT:
+                first[u] = first[v] = u[0]
+        dense.append(np.stack([first[members], members]) + s)
+    return tuple(node[np.concatenate(x, axis=1)] for x in (pairs, spans, dense))
+
+
+def _joined(dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these links, ascending, and for each the smallest one that links join it to."""
+    nodes, at = np.unique(dense, return_inverse=True)
+    (a, b), root = at.reshape(2, -1), np.arange(len(nodes))
+    while True:
+        least, before = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        root = root[root]
+        if (root == before).all():
+            return nodes, nodes[root]
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same found together: of the pairs those that no crowd holds, of the links to a node one, and members by crowd."""
+    pairs, spans, dense = (np.concatenate([np.zeros((2, 0), np.int64), *x], axis=1) for x in (zip(*found) if found else ((), (), ())))
+    pairs, nodes, spans = np.unique(np.sort(pairs, axis=0), axis=1), np.zeros(0, np.int64), spans[:, np.lexsort((mixed(spans[0].view(np.uint64)), spans[1]))]
+    spans = spans[:, np.append(True, spans[1, 1:] != spans[1, :-1])[: spans.shape[1]]]
+    if dense.shape[1]:
+        nodes, roots = _joined(dense)
+        at = np.minimum(np.searchsorted(nodes, pairs), len(nodes) - 1)
+        pairs = pairs[:, ~((nodes[at] == pairs).all(axis=0) & (roots[at[0]] == roots[at[1]]))]
+        dense = np.stack([roots, nodes])
+    return pairs, spans, dense
+
+
+def _near(cell: np.ndarray, node: np.ndarray, codes: np.ndarray, width: int, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u, v) of all cells, a table's number and `width` segments each; and (crowd, node) of the members of dense classes."""
+    order = np.lexsort((mixed(node.view(np.uint64)), cell))  # so that cells choose the same first members
     cell, node, codes = cell[order], node[order], codes[order]
     starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     sizes = np.diff(np.append(starts, len(cell)))
-    u, v, rest = [], [], [np.zeros(0, np.int64)]
-    for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-        pairs, members = near_in(codes[s : s + n])
-        for a, b in pairs:
-            u.append(a + s)
-            v.append(b + s)
-        rest.append(members + s)
-    u, v, rest = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (u, v, rest))
-    pairs = np.unique(np.sort(np.stack([node[u], node[v]]), axis=0), axis=1)
-    return pairs[0], pairs[1], cell[rest], node[rest]
+    number = np.repeat(np.arange(len(starts)), sizes)
+    small = np.repeat(sizes <= _SMALL, sizes)
+    found = [_near_in_cells(number[small], node[small], codes[small])] if small.any() else []
+    number, node, codes, cell = (x[~small] for x in (number, node, codes, cell))
+    points, tables = embedded(codes), cell.view(np.uint64) >> U(2 * width)
+    begins = np.flatnonzero(np.append(True, tables[1:] != tables[:-1])) if len(cell) else np.zeros(0, np.int64)
+    for draw in range(fine.shape[1] if len(cell) else 0):
+        key = number.astype(np.uint64)
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(cell)]):
+            for segment in fine[int(tables[a]), draw].tolist():
+                key[a:b] = key[a:b] << U(2) | points[a:b, segment // 32] >> U(segment % 32 * 2) & U(3)
+        found.append(_near_in_cells(key, node, codes))
+        if draw % 8 == 7:
+            found = [_merged(found)]
+    pairs, spans, dense = _merged(found)
+    return np.unique(np.sort(np.concatenate([pairs, spans], axis=1), axis=0), axis=1), dense
 
 
 def candidates(nodes: DataFrame, least: float) -> DataFrame:
-    """(cell, u, v): pairs u, v without a cell, and members u of dense cells without v; nodes has (node, code)."""
+    """(cell, u, v): pairs u, v without a cell, and members u of dense classes without v, the cell being the first node of their crowd there; nodes has (node, code)."""
     number = nodes.count()
-    tables = grid(number, least)
+    tables = grid(number // _WIDE, least)
+    fine, width = finer(number, least, tables), tables.shape[1]
     tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-number * len(tables) // _ROWS_A_TASK))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,23 +288,27 @@ def candidates(nodes: DataFrame, least: float) -> DataFrame:
                 continue
             codes = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
             points = embedded(codes)
-            own = [batch.column(0), *(pa.array(codes[:, k].view(np.int64)) for k in range(TESTED))]
+            own = [batch.column(0), *(pa.array(codes[:, k].view(np.int64)) for k in range(WORDS))]
             for k, segments in enumerate(tables.tolist()):
                 cell = np.full(len(codes), k, np.uint64)  # the table, then two bits for each bit count
                 for segment in segments:
                     cell = cell << U(2) | points[:, segment // 32] >> U(segment % 32 * 2) & U(3)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *own], ["cell", "node", *(f"c{k}" for k in range(TESTED))])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *own], ["cell", "node", *(f"c{k}" for k in range(WORDS))])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if got:
-            cell, node, *words = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(2 + TESTED))
-            u, v, dense, members = _near(cell, node, np.stack(words, axis=1).view(np.uint64))
+            cell, node = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(2))
+            codes = np.empty((len(cell), WORDS), np.uint64)
+            for k in range(WORDS):
+                codes[:, k] = np.concatenate([b.column(2 + k).to_numpy() for b in got]).view(np.uint64)
+            got.clear()
+            (u, v), (crowd, members) = _near(cell, node, codes, width, fine)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(v)], ["cell", "u", "v"])
-            yield pa.RecordBatch.from_arrays([pa.array(dense), pa.array(members), pa.nulls(len(dense), pa.int64())], ["cell", "u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.array(members), pa.nulls(len(members), pa.int64())], ["cell", "u", "v"])
 
     coded = nodes.where(F.size("code") > 0).select("node", "code")
-    return coded.mapInArrow(cells, "cell long, node long" + "".join(f", c{k} long" for k in range(TESTED))).repartition(tasks, "cell").mapInArrow(link, "cell long, u long, v long")
+    return coded.mapInArrow(cells, "cell long, node long" + "".join(f", c{k} long" for k in range(WORDS))).repartition(tasks, "cell").mapInArrow(link, "cell long, u long, v long")
 
 
 def _lists(rows: list) -> pa.Array:
@@ -216,18 +351,15 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def similar_links(nodes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """(u, v) links that span the classes of the nodes (node, code); texts has (row, text)."""
-    found = stored(candidates(nodes, least), "candidates")
-    left, right = (nodes.select(F.col("node").alias(k), F.col("code").alias(f"c{k}")) for k in "uv")
-    apart = sum((F.bit_count(F.get("cu", F.lit(k)).bitwiseXOR(F.get("cv", F.lit(k)))) for k in range(WORDS)), F.lit(0))
-    pairs = found.where("v IS NOT NULL").select("u", "v").distinct().join(left, "u").join(right, "v").where(apart <= WHOLE_RADIUS).select("u", "v")
-    pairs = stored(pairs, "pairs")
-    members = found.where("v IS NULL").select("cell", F.col("u").alias("node"))
-    met = pairs.select(F.explode(F.array("u", "v")).alias("row")).unionByName(members.select(F.col("node").alias("row"))).distinct()
+    found = stored(candidates(nodes, least).distinct(), "candidates")
+    pairs = found.where("v IS NOT NULL").select("u", "v")
+    met = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
     sets = stored(_sets(texts.join(met, "row", "left_semi"), width), "sets")
     first = stored(_alike(pairs, sets, least), "links")
-    rest = members.join(components(first), "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
-    split = rest.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cell")
-    rest = stored(rest.join(split, "cell").select("node", "root").distinct(), "rest")
+    crowds = stored(components(found.where("v IS NULL").select("u", F.col("cell").alias("v"))), "crowds").select("node", F.col("root").alias("crowd"))
+    rest = crowds.join(components(first), "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
+    split = rest.groupBy("crowd").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("crowd")
+    rest = stored(rest.join(split, "crowd").select("node", "root"), "rest")
     return first.unionByName(_alike(_prefix_pairs(rest, sets, least), sets, least))
 
 
@@ -238,17 +370,18 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     the shingles the first of each, as many as may be missing and one more, meet.
     The rarest come first.  Buckets of different parity are no more than the
     shingles that only one of the two holds, so too many of them rule a pair out.
+    Nodes of the root that most holders of a shingle have meet the others, not each other.
     """
     held = stored(rest.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "held")
-    often = held.groupBy("shingle").agg(F.count("*").alias("df"))
+    often = held.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("a"), F.max("root").alias("b"), F.mode("root").alias("most"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
-    first = held.join(often, "shingle").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1).where("df > 1")
-    first = stored(first.select("shingle", "node", "root", "n").join(sets.select("node", "parity"), "node"), "first")
-    other = first.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "parity")])
+    first = held.join(often, "shingle").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1).where("a <> b")
+    first = stored(first.select("shingle", "node", "root", "n", (F.col("root") == F.col("most")).alias("usual")).join(sets.select("node", "parity"), "node"), "first")
+    other = first.where("NOT usual").select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "parity")])
     apart = sum((F.bit_count(F.get("parity", F.lit(k)).bitwiseXOR(F.get("parity2", F.lit(k)))) for k in range(8)), F.lit(0))
     close = (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-6) & (apart <= (F.col("n") + F.col("n2")) * ((1 - least) / (1 + least)) + 1e-6)
-    met = first.join(other, "shingle").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & close)
-    return met.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
+    met = first.join(other, "shingle").where((F.col("usual") | (F.col("node") < F.col("node2"))) & (F.col("root") != F.col("root2")) & close)
+    return met.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:

@@ -11,7 +11,7 @@ no rows.  There the Hamming distance of the first 128 bits tests each pair, then
 that of all bits, and the exact similarity decides.
 
 By that formula, finer cells and the spread of the distance included, a pair of
-similarity 0.8 is lost with probability 6e-8 for 200,000 texts, and the 128 bits
+similarity 0.8 is lost with probability 1e-7 for 200,000 texts, and the 128 bits
 lose 2e-7 more (less for closer pairs); texts of eight and nine words, four
 shingles against five, differ in more bits and are lost at 1e-4.
 

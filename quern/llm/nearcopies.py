@@ -8,7 +8,8 @@ the least similarity is left without a common cell with probability 1e-9, by its
 expected distance; their number stays the same up to some ten million texts.
 Inside such a cell its members meet in finer cells of further segments, which move
 no rows.  There the Hamming distance of the first 128 bits tests each pair, then
-that of all bits, and the exact similarity decides.
+that of all bits, and the exact similarity decides.  A pair that meets in several
+tables is told by the first alone.
 
 By that formula, finer cells and the spread of the distance included, a pair of
 similarity 0.8 is lost with probability 1e-7 for 200,000 texts, and the 128 bits
@@ -19,6 +20,9 @@ A class of many near members in a cell is spanned by links instead of all pairs.
 Such crowds, joined over all cells, whose members the exact links don't join into
 one class meet by the rarest of their shingles, a filter that loses no pair.
 
+Texts are stored once, in buckets of neighbouring rows.  Marks of the rows that
+are asked for come to them, a bit each, so joins move no texts.
+
 Shingles count as equal if their 64-bit XXH64 is.  Defined results: null and
 empty texts have the empty set and are one class; a text of fewer words than a
 shingle is one shingle.  Of a class the row with the smallest id stays, null
@@ -27,6 +31,7 @@ ids last; rows that share it are told apart by text, then by place.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import accumulate
 from math import acos, ceil, log, pi
@@ -34,12 +39,12 @@ from math import acos, ceil, log, pi
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.llm.bytewords import mixed
-from quern.llm.common import only, slices, stored
+from quern.llm.common import only, shared_folder, slices, stored
 from quern.llm.components import components
 from quern.llm.simhash import embedded
 
@@ -58,7 +63,11 @@ _MANY = 4096
 _ROWS_A_TASK = 250_000
 _PAIRS_AT_ONCE = 1 << 19
 _BUCKET = np.uint64(511)
-_ROW = "quern_row"
+#: Shingles before its own that a row of the prefix filter knows.
+_BEFORE = 16
+#: Rows of one number of a chunk, as a power of two.
+_CHUNK_BITS = 13
+_ROW, _CHUNK = "quern_row", "quern_chunk"
 _draw = np.random.default_rng(42)
 _SEEDS = _draw.integers(0, 2**64, WORDS, np.uint64)
 
@@ -251,8 +260,35 @@ def _merged(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     return pairs, spans, dense
 
 
-def _near(cell: np.ndarray, node: np.ndarray, codes: np.ndarray, width: int, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (u, v) of all cells, a table's number and `width` segments each; and (crowd, node) of the members of dense classes."""
+def _first_here(left: np.ndarray, right: np.ndarray, cells: np.ndarray, coarse: np.ndarray, fine: np.ndarray) -> np.ndarray:
+    """Whether pairs of codes have the first finer cell they share, in order of the tables, inside these cells (ascending), or share none."""
+    here = np.ones(len(left), bool)
+    for i in range(0, len(left), _MANY):
+        points, others = embedded(left[i : i + _MANY]), embedded(right[i : i + _MANY])
+        apart = points ^ others
+        equal = np.stack([apart[:, s // 32] >> U(s % 32 * 2) & U(3) for s in range(32 * WORDS)], axis=1) == 0
+        open_ = np.arange(len(apart))
+        for k, segments in enumerate(coarse.tolist()):
+            met = equal[open_][:, segments].all(axis=1)
+            met[met] = equal[open_[met]][:, fine[k]].all(axis=2).any(axis=1)
+            found = open_[met]
+            here[i + found] = np.isin(_cells_of(points[found], k, segments), cells)
+            open_ = open_[~met]
+    return here
+
+
+def _cells_of(points: np.ndarray, table: int, segments: list[int]) -> np.ndarray:
+    """The table, then two bits for each bit count."""
+    cell = np.full(len(points), table, np.uint64)
+    for segment in segments:
+        cell = cell << U(2) | points[:, segment // 32] >> U(segment % 32 * 2) & U(3)
+    return cell.view(np.int64)
+
+
+def _near(cell: np.ndarray, node: np.ndarray, codes: np.ndarray, coarse: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u, v) of all cells that no other task tells; and (crowd, node) of the members of dense classes."""
+    cells, (nodes, at) = np.unique(cell), np.unique(node, return_index=True)
+    own = codes[at]
     order = np.lexsort((mixed(node.view(np.uint64)), cell))  # so that cells choose the same first members
     cell, node, codes = cell[order], node[order], codes[order]
     starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
@@ -261,7 +297,7 @@ def _near(cell: np.ndarray, node: np.ndarray, codes: np.ndarray, width: int, fin
     small = np.repeat(sizes <= _SMALL, sizes)
     found = [_near_in_cells(number[small], node[small], codes[small])] if small.any() else []
     number, node, codes, cell = (x[~small] for x in (number, node, codes, cell))
-    points, tables = embedded(codes), cell.view(np.uint64) >> U(2 * width)
+    points, tables = embedded(codes), cell.view(np.uint64) >> U(2 * coarse.shape[1])
     begins = np.flatnonzero(np.append(True, tables[1:] != tables[:-1])) if len(cell) else np.zeros(0, np.int64)
     for draw in range(fine.shape[1] if len(cell) else 0):
         key = number.astype(np.uint64)
@@ -272,6 +308,8 @@ def _near(cell: np.ndarray, node: np.ndarray, codes: np.ndarray, width: int, fin
         if draw % 8 == 7:
             found = [_merged(found)]
     pairs, spans, dense = _merged(found)
+    ends = np.searchsorted(nodes, pairs)
+    pairs = pairs[:, _first_here(own[ends[0]], own[ends[1]], cells, coarse, fine)]
     return np.unique(np.sort(np.concatenate([pairs, spans], axis=1), axis=0), axis=1), dense
 
 
@@ -279,7 +317,7 @@ def candidates(nodes: DataFrame, least: float) -> DataFrame:
     """(cell, u, v): pairs u, v without a cell, and members u of dense classes without v, the cell being the first node of their crowd there; nodes has (node, code)."""
     number = nodes.count()
     tables = grid(number // _WIDE, least)
-    fine, width = finer(number, least, tables), tables.shape[1]
+    fine = finer(number, least, tables)
     tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-number * len(tables) // _ROWS_A_TASK))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +328,7 @@ def candidates(nodes: DataFrame, least: float) -> DataFrame:
             points = embedded(codes)
             own = [batch.column(0), *(pa.array(codes[:, k].view(np.int64)) for k in range(WORDS))]
             for k, segments in enumerate(tables.tolist()):
-                cell = np.full(len(codes), k, np.uint64)  # the table, then two bits for each bit count
-                for segment in segments:
-                    cell = cell << U(2) | points[:, segment // 32] >> U(segment % 32 * 2) & U(3)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *own], ["cell", "node", *(f"c{k}" for k in range(WORDS))])
+                yield pa.RecordBatch.from_arrays([pa.array(_cells_of(points, k, segments)), *own], ["cell", "node", *(f"c{k}" for k in range(WORDS))])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -303,7 +338,7 @@ def candidates(nodes: DataFrame, least: float) -> DataFrame:
             for k in range(WORDS):
                 codes[:, k] = np.concatenate([b.column(2 + k).to_numpy() for b in got]).view(np.uint64)
             got.clear()
-            (u, v), (crowd, members) = _near(cell, node, codes, width, fine)
+            (u, v), (crowd, members) = _near(cell, node, codes, tables, fine)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(v)], ["cell", "u", "v"])
             yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.array(members), pa.nulls(len(members), pa.int64())], ["cell", "u", "v"])
 
@@ -329,8 +364,9 @@ def _sketches(own: DataFrame, width: int) -> DataFrame:
     return own.mapInArrow(run, "row long, digest binary, code array<long>")
 
 
-def _sets(own: DataFrame, width: int) -> DataFrame:
-    """(node, shingles, parity): whether each of 512 buckets of shingles holds an odd number, as eight longs."""
+def _sets(own: DataFrame, text_col: str, rows: DataFrame, width: int) -> DataFrame:
+    """(node, shingles, parity) of these rows (row): whether each of 512 buckets of shingles holds an odd number, as eight longs."""
+    texts = only(_marked(own, rows), _ROW, text_col).toDF("row", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -338,7 +374,13 @@ def _sets(own: DataFrame, width: int) -> DataFrame:
             odd = [np.packbits(np.bincount((s & _BUCKET).astype(np.int64), minlength=512) & 1).view(np.uint64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets), _lists(odd)], ["node", "shingles", "parity"])
 
-    return own.mapInArrow(run, "node long, shingles array<long>, parity array<long>")
+    return texts.mapInArrow(run, "node long, shingles array<long>, parity array<long>")
+
+
+def _close(least: float) -> Column:
+    """Whether sets of n and n2 shingles can be so similar: buckets of different parity are no more than the shingles that only one of the two holds."""
+    apart = sum((F.bit_count(F.get("parity", F.lit(k)).bitwiseXOR(F.get("parity2", F.lit(k)))) for k in range(8)), F.lit(0))
+    return (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-6) & (apart <= (F.col("n") + F.col("n2")) * ((1 - least) / (1 + least)) + 1e-6)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -349,51 +391,81 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(near).select("u", "v")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """(u, v) links that span the classes of the nodes (node, code); texts has (row, text)."""
+def _possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) that sizes and parities don't rule out, so that few are joined with their sets."""
+    size = F.size("shingles")
+    left = sets.select(F.col("node").alias("u"), size.alias("n"), "parity")
+    right = sets.select(F.col("node").alias("v"), size.alias("n2"), F.col("parity").alias("parity2"))
+    return pairs.join(left, "u").join(right, "v").where(_close(least)).select("u", "v")
+
+
+def similar_links(nodes: DataFrame, own: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """(u, v) links that span the classes of the nodes (node, code); own has the nodes' rows, their chunks and texts."""
     found = stored(candidates(nodes, least).distinct(), "candidates")
     pairs = found.where("v IS NOT NULL").select("u", "v")
     met = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    sets = stored(_sets(texts.join(met, "row", "left_semi"), width), "sets")
-    first = stored(_alike(pairs, sets, least), "links")
+    sets = stored(_sets(own, text_col, met, width), "sets")
+    first = stored(_alike(stored(_possible(pairs, sets, least), "possible"), sets, least), "links")
     crowds = stored(components(found.where("v IS NULL").select("u", F.col("cell").alias("v"))), "crowds").select("node", F.col("root").alias("crowd"))
     rest = crowds.join(components(first), "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
     split = rest.groupBy("crowd").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("crowd")
-    rest = stored(rest.join(split, "crowd").select("node", "root"), "rest")
-    return first.unionByName(_alike(_prefix_pairs(rest, sets, least), sets, least))
+    rest = stored(rest.join(split, "crowd").select("node", "root"), "split")
+    rest = stored(rest.join(_sets(own, text_col, rest.select(F.col("node").alias("row")), width), "node"), "rest")
+    return first.unionByName(_alike(_meetings(rest, least).distinct(), rest, least))
 
 
-def _prefix_pairs(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) of the nodes (node, root), of different roots: all whose similarity can be at least so much.
+def _meetings(rest: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of the nodes (node, root, shingles, parity), of different roots: all whose similarity can be at least so much, some repeated.
 
     Such a set holds at least that share of the other, so in any one order of
     the shingles the first of each, as many as may be missing and one more, meet.
-    The rarest come first.  Buckets of different parity are no more than the
-    shingles that only one of the two holds, so too many of them rule a pair out.
-    Nodes of the root that most holders of a shingle have meet the others, not each other.
+    The rarest come first.  Nodes of the root that most holders of a shingle have
+    meet the others, not each other.  Two that share one of the few shingles
+    before have met there.
     """
-    held = stored(rest.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "held")
+    held = stored(rest.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "held")
     often = held.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("a"), F.max("root").alias("b"), F.mode("root").alias("most"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
-    first = held.join(often, "shingle").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1).where("a <> b")
-    first = stored(first.select("shingle", "node", "root", "n", (F.col("root") == F.col("most")).alias("usual")).join(sets.select("node", "parity"), "node"), "first")
-    other = first.where("NOT usual").select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "parity")])
-    apart = sum((F.bit_count(F.get("parity", F.lit(k)).bitwiseXOR(F.get("parity2", F.lit(k)))) for k in range(8)), F.lit(0))
-    close = (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-6) & (apart <= (F.col("n") + F.col("n2")) * ((1 - least) / (1 + least)) + 1e-6)
-    met = first.join(other, "shingle").where((F.col("usual") | (F.col("node") < F.col("node2"))) & (F.col("root") != F.col("root2")) & close)
-    return met.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+    own = Window.partitionBy("node").orderBy("df", "shingle")
+    first = held.join(often, "shingle").withColumn("place", F.row_number().over(own)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1).where("a <> b")
+    before = F.collect_list("shingle").over(own.rowsBetween(-_BEFORE, -1))
+    first = first.select("shingle", "node", "root", "n", (F.col("root") == F.col("most")).alias("usual"), before.alias("before"))
+    first = stored(first.join(rest.select("node", "parity"), "node"), "first")
+    other = first.where("NOT usual").select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "parity", "usual", "before")])
+    new = (F.col("usual") | (F.col("node") < F.col("node2"))) & (F.col("root") != F.col("root2"))
+    met = first.join(other, "shingle").where(new & _close(least) & ~F.arrays_overlap("before", "before2"))
+    return met.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v"))
+
+
+def _in_chunks(docs: DataFrame) -> DataFrame:
+    """docs stored with numbers of its rows and of chunks of neighbouring ones, in buckets by chunk; a task's rows are few chunks, so its files are few."""
+    spark, name = docs.sparkSession, f"quern_rows_{uuid.uuid4().hex}"
+    row = F.monotonically_increasing_id()
+    own = docs.withColumn(_ROW, row).withColumn(_CHUNK, F.shiftright(_ROW, _CHUNK_BITS))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own.write.format("parquet").bucketBy(buckets, _CHUNK).option("path", f"{shared_folder(spark)}/quern/{name}").saveAsTable(name)
+    stored_rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry alone: the files stay in the shared folder
+    return stored_rows
+
+
+def _marked(own: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of own whose number is in rows (row): bits of the chunks are joined with the chunks where they are."""
+    row = F.col("row")
+    bits = rows.groupBy(F.shiftright(row, _CHUNK_BITS).alias(_CHUNK), F.shiftright(row, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(row & 63 AS INT))")).alias("bits"))
+    marks = bits.groupBy(_CHUNK).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("quern_marks"))
+    return own.join(marks.hint("shuffle_hash"), _CHUNK).where(F.expr(f"shiftright(quern_marks[shiftright({_ROW}, 6)], CAST({_ROW} & 63 AS INT)) & 1 = 1")).drop("quern_marks")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each class of rows joined by similarities of at least so much."""
-    own = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    own = _in_chunks(docs)
     texts = only(own, _ROW, text_col).toDF("row", "text")
     prints = stored(_sketches(texts, width), "prints")
     best = F.struct(F.col("id").isNull().alias("last"), "id", "told", "row")
     ids = only(own, _ROW, id_col, text_col).toDF("row", "id", "text").select("row", "id", F.xxhash64("text").alias("told"))
     same = prints.join(ids, "row").groupBy("digest").agg(F.min(best).alias("best"), F.first("code").alias("code"))
     nodes = stored(same.select(F.col("best.row").alias("node"), "best", "code"), "nodes")
-    roots = components(similar_links(nodes.select("node", "code"), texts, width, least))
+    roots = components(similar_links(nodes.select("node", "code"), own, text_col, width, least))
     rooted = nodes.select("node", "best").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
-    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(_ROW))
-    return own.join(kept, _ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.row")
+    return _marked(own, kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -123,13 +123,15 @@ def named_places(queries: DataFrame, places: DataFrame, profile: Profile = MACED
 def directory_rows(queries: DataFrame, blocks: DataFrame, most: int = 6, profile: Profile = MACEDONIAN) -> DataFrame:
     """(query_id, id, place): directory blocks of the named places, if the question asks for the directory.
 
-    First parts of all lists come before second parts of any.
+    First parts of all lists come before second parts of any.  A question's first
+    rows are among the first of each place, so no more of a place meet its questions.
     """
     own = blocks.where("municipality IS NOT NULL")
+    order = (F.coalesce("part", F.lit(1)), F.coalesce("list_key", F.lit("")), "municipality", "chunk_id")
+    first = own.withColumn("place", F.row_number().over(Window.partitionBy("municipality").orderBy(*order))).where(F.col("place") <= most).drop("place")
     asked = queries.where(starts_word(F.lower("query"), profile.directory_cues))
-    met = named_places(asked, own, profile).join(own, "municipality")
-    order = Window.partitionBy("query_id").orderBy(F.coalesce("part", F.lit(1)), F.coalesce("list_key", F.lit("")), "municipality", "chunk_id")
-    return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", F.col("chunk_id").alias("id"), "place")
+    met = named_places(asked, own, profile).join(first, "municipality")
+    return met.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= most).select("query_id", F.col("chunk_id").alias("id"), "place")
 
 
 def injected(parts: list[DataFrame]) -> DataFrame:

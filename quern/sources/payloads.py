@@ -34,19 +34,27 @@ def is_soft_error(text: Column | str) -> Column:
     return (F.octet_length(col(text)) <= 2000) & any_of(F.lower(col(text)), SOFT_MARKERS)
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed a single time, however often use has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def classified(text: Column | str) -> Column:
     """empty, waf, soft_error, bad_json or ok, in this order; markers count in the first 600 characters."""
-    t = cleaned(text)
-    head = F.lower(F.substring(t, 1, 600))
-    begun = F.when(F.substring(t, 1, 1).isin("{", "["), t).otherwise(F.concat(F.lit("{"), t))
-    service = F.try_variant_get(F.try_parse_json(begun), "$.idService", "string")
-    return (
-        F.when(t == "", "empty")
-        .when(head.startswith("<") | any_of(head, WAF_MARKERS), "waf")
-        .when((F.char_length(t) < 2000) & any_of(head, SOFT_MARKERS), "soft_error")
-        .when(service.isNull() | service.isin("", "0", "false", "null"), "bad_json")
-        .otherwise("ok")
-    )
+
+    def kind(x: Column) -> Column:
+        t, head = x["t"], x["head"]
+        begun = F.when(F.substring(t, 1, 1).isin("{", "["), t).otherwise(F.concat(F.lit("{"), t))
+        service = F.try_variant_get(F.try_parse_json(begun), "$.idService", "string")
+        return (
+            F.when(t == "", "empty")
+            .when(head.startswith("<") | any_of(head, WAF_MARKERS), "waf")
+            .when((F.char_length(t) < 2000) & any_of(head, SOFT_MARKERS), "soft_error")
+            .when(once(service, lambda s: s.isNull() | s.isin("", "0", "false", "null")), "bad_json")
+            .otherwise("ok")
+        )
+
+    return once(cleaned(text), lambda t: once(F.struct(t.alias("t"), F.lower(F.substring(t, 1, 600)).alias("head")), kind))
 
 
 def read_payloads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -59,33 +67,33 @@ def read_payloads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def number(value: Column | str) -> Column:
     """Comma to dot, whole amounts whole; what is no number stays as it is."""
     v = F.trim(F.replace(col(value), F.lit(","), F.lit(".")))
-    n = v.try_cast("double")
-    return F.when(n.isNull(), col(value)).when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
+    return once(v.try_cast("double"), lambda n: F.when(n.isNull(), col(value)).when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string")))
 
 
 def decoded(table: Column | str) -> Column:
-    """Rows of a {Columns, Data} table as arrays of (title, value), by Order, ties in their order.
+    """Rows of a {Columns, Data} table, or of its JSON, as arrays of (title, value), by Order, ties in their order.
 
     Null if there is no data; an Order that is no number counts as zero.
     """
-    t = F.from_json(col(table), TABLE) if isinstance(table, str) else table
-    columns = t["Columns"]
-
-    def described(key: Column) -> Column:
-        return F.get(F.filter(columns, lambda c: c["Column"] == key), F.lit(0))
 
-    def cell(key: Column, value: Column) -> Column:
-        c = described(key)
+    def described(c: Column) -> Column:
         kind = F.lower(F.trim(F.coalesce(c["Format"], F.lit("string"))))
-        return F.struct(F.trim(F.coalesce(F.nullif(c["Title"], F.lit("")), key)).alias("title"), F.when(kind.isin(*NUMERIC_FORMATS), number(value)).otherwise(value).alias("value"))
+        return F.struct(c["Column"].alias("key"), F.trim(F.nullif(c["Title"], F.lit(""))).alias("title"), kind.isin(*NUMERIC_FORMATS).alias("counts"))
 
-    def row(r: Column, i: Column) -> Column:
-        keys = F.filter(F.map_keys(r), lambda k: ~k.isin(*META_KEYS))
+    def cell(columns: Column, e: Column) -> Column:
+        told = lambda c: F.struct(F.coalesce(c["title"], F.trim(e["key"])).alias("title"), F.when(c["counts"], number(e["value"])).otherwise(e["value"]).alias("value"))
+        return once(F.get(F.filter(columns, lambda c: c["key"] == e["key"]), F.lit(0)), told)
+
+    def row(columns: Column, r: Column, i: Column) -> Column:
+        entries = F.filter(F.map_entries(r), lambda e: ~e["key"].isin(*META_KEYS))
         order = F.coalesce(F.try_element_at(r, F.lit("Order")).try_cast("double"), F.lit(0.0))
-        return F.struct(order.alias("order"), i.alias("i"), F.transform(keys, lambda k: cell(k, F.element_at(r, k))).alias("cells"))
+        return F.struct(order.alias("order"), i.alias("i"), F.transform(entries, lambda e: cell(columns, e)).alias("cells"))
+
+    def rows(t: Column) -> Column:
+        data = once(F.transform(t["Columns"], described), lambda columns: F.transform(t["Data"], lambda r, i: row(columns, r, i)))
+        return F.when(F.size(t["Data"]) > 0, F.transform(F.sort_array(data), lambda x: x["cells"]))
 
-    data = F.transform(t["Data"], lambda r, i: row(r, i))
-    return F.when(F.size(t["Data"]) > 0, F.transform(F.array_sort(data), lambda x: x["cells"]))
+    return once(F.from_json(col(table), TABLE) if isinstance(table, str) else table, rows)
 
 
 def row_text(cells: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from quern.functions.html import fix_links, html_to_text
 from quern.profile import MACEDONIAN, Profile
-from quern.sources.payloads import SHARED_SECTIONS, TABLE, VARIATION_SECTIONS, classified, cleaned, decoded, row_text
+from quern.sources.payloads import SHARED_SECTIONS, VARIATION_SECTIONS, classified, cleaned, decoded, once, row_text
 from quern.tables import stored
 
 NAMED = "array<struct<name:string,shortName:string,selected:boolean>>"
@@ -44,29 +44,31 @@ def _names(list_: Column) -> Column:
     return F.transform(F.coalesce(list_, F.array().cast(NAMED)), lambda x: _told(x["name"]))
 
 
-def accepted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files that are service payloads, the skip report: path and why)."""
-    kinds = files.withColumn("kind", classified("text"))
+def accepted(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of service payloads, the skip report: path and why) of rows with their file's kind."""
     return kinds.where("kind = 'ok'").drop("kind"), kinds.where("kind <> 'ok'").select("path", "kind")
 
 
 def parse_service(files: DataFrame) -> DataFrame:
-    """One record a file.  Names come from the service's and variation's own fields, never from a field called name."""
-    t = cleaned("text")
-    begun = F.when(F.substring(t, 1, 1) == "{", t).otherwise(F.concat(F.lit("{"), t))
-    d = files.select("path", F.from_json(begun, PAYLOAD).alias("d")).select("path", "d.*")
+    """One record a file, with its kind if files have one; tables stay JSON.
+
+    Names come from the service's and variation's own fields, never from a field called name.
+    """
+    begun = once(cleaned("text"), lambda t: F.when(F.substring(t, 1, 1) == "{", t).otherwise(F.concat(F.lit("{"), t)))
+    own = ["path", *(["kind"] if "kind" in files.columns else [])]
+    d = files.select(*own, F.from_json(begun, PAYLOAD).alias("d")).select(*own, "d.*")
     text = lambda c: fix_links(html_to_text(F.col(c)))
     asked = F.filter(F.coalesce("faQs", F.array().cast("array<struct<question:string,answer:string,orderQ:double>>")), lambda f: (_told(f["question"]) != "") | (_told(f["answer"]) != ""))
     placed = F.transform(asked, lambda f, i: F.struct(F.coalesce(f["orderQ"], F.lit(0.0)).alias("order"), i.alias("i"), f["question"].alias("question"), f["answer"].alias("answer")))
     return d.select(
-        "path", F.col("idService").alias("id_service"), F.coalesce("idServiceVariation", F.lit(0)).alias("id_variation"),
+        *own, F.col("idService").alias("id_service"), F.coalesce("idServiceVariation", F.lit(0)).alias("id_variation"),
         _told(F.col("serviceName")).alias("service_name"), _told(F.col("serviceShortName")).alias("service_short_name"), _told(F.col("variationName")).alias("variation_name"), _told(F.col("variationShortName")).alias("variation_short_name"),
         (F.coalesce("idServiceVariation", F.lit(0)) != 0).alias("is_variation"), "url", F.col("urlPrefix").alias("url_prefix"), keywords(F.col("keywords")).alias("keywords"), _names(F.col("tags")).alias("tags"),
         text("serviceDescription").alias("service_description"), F.coalesce("isOnline", F.lit(False)).alias("is_online"), F.nullif(_told(F.col("onlineURL")), F.lit("")).alias("online_url"),
         _names(F.col("paymentMethods")).alias("payment_methods"), _names(F.col("otherOffices")).alias("other_offices"),
         F.transform(F.coalesce("connected", F.array().cast(NAMED)), lambda c: F.coalesce(F.nullif(c["shortName"], F.lit("")), c["name"])).alias("connected_services"), _names(F.col("registries")).alias("registries"),
         F.transform(F.filter(F.coalesce("institutions", F.array().cast(NAMED)), lambda i: F.coalesce(i["selected"], F.lit(False))), lambda i: _told(i["name"])).alias("institutions"),
-        text(TEXT_SECTION).alias(TEXT_SECTION), *[F.from_json(s, TABLE).alias(s) for s in (*SHARED_SECTIONS, *VARIATION_SECTIONS) if s != TEXT_SECTION], F.array_sort(placed).alias("faqs"),
+        text(TEXT_SECTION).alias(TEXT_SECTION), *[s for s in (*SHARED_SECTIONS, *VARIATION_SECTIONS) if s != TEXT_SECTION], F.array_sort(placed).alias("faqs"),
         F.transform(F.filter(F.coalesce("variations", F.array().cast("array<struct<idServiceVariation:long,shortName:string>>")), lambda v: F.coalesce(v["idServiceVariation"], F.lit(0)) != 0), lambda v: F.struct(v["idServiceVariation"].alias("id_variation"), _told(v["shortName"]).alias("short_name"))).alias("variations"),
     )
 
@@ -96,7 +98,7 @@ def _parts(sections: tuple[str, ...], profile: Profile, access: bool, told: bool
 
     def rows(section: str) -> Column:
         one = lambda cells, i: part(F.concat(F.lit(f"{section}_"), (i + 1).cast("string")), section, profile.labels.get(section, section), i + 1, row_text(cells))
-        return F.coalesce(F.transform(decoded(F.col(section)), one), empty)
+        return F.coalesce(F.transform(decoded(section), one), empty)
 
     none = F.lit(None).cast("int")
     found = []
@@ -130,13 +132,15 @@ def _texts_read(records: DataFrame) -> DataFrame:
     asked = records.select("path", F.posexplode("faqs").alias("at", "f")).select("path", "at", fix_links(html_to_text(F.col("f.question"))).alias("question"), fix_links(html_to_text(F.col("f.answer"))).alias("answer"))
     read = asked.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "question", "answer"))).alias("faqs"))
     none = F.array().cast("array<struct<at:int,question:string,answer:string>>")
-    return records.drop("faqs").join(read, "path", "left").withColumn("faqs", F.coalesce("faqs", none))
+    some = F.coalesce(F.size("faqs") > 0, F.lit(False))
+    told = records.where(some).drop("faqs").join(read, "path", "left").withColumn("faqs", F.coalesce("faqs", none))
+    return told.unionByName(records.where(~some).withColumn("faqs", none))
 
 
 def build_corpus(files: DataFrame, profile: Profile = MACEDONIAN) -> tuple[DataFrame, DataFrame]:
     """(blocks, the skip report)."""
-    good, skipped = accepted(files)
-    records = stored(_texts_read(stored(parse_service(good), "records")), "records")
+    good, skipped = accepted(stored(parse_service(files.withColumn("kind", classified("text"))), "records"))
+    records = stored(_texts_read(good), "records")
     of_variation = Window.partitionBy("id_service", "id_variation").orderBy("path")
     variations = records.where("is_variation").withColumn("n", F.row_number().over(of_variation)).where("n = 1").drop("n")
     last = Window.partitionBy("id_service").orderBy(F.desc("path"))
@@ -156,11 +160,16 @@ def build_corpus(files: DataFrame, profile: Profile = MACEDONIAN) -> tuple[DataF
 
 
 def summary(blocks: DataFrame, skipped: DataFrame) -> DataFrame:
-    """(measure, key, n): blocks by scope and by type, services, variations, variations named like their service, and what was skipped."""
-    by = [blocks.groupBy(F.lit(c).alias("measure"), F.col(c).alias("key")).agg(F.count("*").alias("n")) for c in ("scope", "type")]
+    """(measure, key, n): blocks by scope and by type, services, variations, variations named like their service, and what was skipped.
+
+    The blocks are read once, into counts by variation and type, which give all measures.
+    """
+    same = F.coalesce(F.lower(F.trim("variation_short_name")) == F.lower(F.trim("service_name")), F.lit(False))
+    counts = stored(blocks.groupBy("scope", "type", "id_service", "id_variation").agg(F.count("*").alias("rows"), F.count_if(same).alias("same")), "counts")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    by = [counts.groupBy(F.lit(c).alias("measure"), F.col(c).alias("key")).agg(total("rows").alias("n")) for c in ("scope", "type")]
     one = lambda name, rows, n: rows.agg(n.alias("n")).select(F.lit(name).alias("measure"), F.lit("").alias("key"), "n")
-    same = blocks.where(F.lower(F.trim("variation_short_name")) == F.lower(F.trim("service_name")))
-    whole = [one("blocks", blocks, F.count("*")), one("services", blocks, F.count_distinct("id_service")), one("variations", blocks.where("id_variation > 0"), F.count_distinct("id_service", "id_variation")), one("single form", same, F.count("*"))]
+    whole = [one("blocks", counts, total("rows")), one("services", counts, F.count_distinct("id_service")), one("variations", counts.where("id_variation > 0"), F.count_distinct("id_service", "id_variation")), one("single form", counts, total("same"))]
     return reduce(DataFrame.unionByName, [*by, *whole, skipped.groupBy(F.lit("skipped").alias("measure"), F.col("kind").alias("key")).agg(F.count("*").alias("n"))])
 
 

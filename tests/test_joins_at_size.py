@@ -1,8 +1,10 @@
-"""Joins give no more rows than the answer needs."""
+"""Joins give no more rows than the answer needs, and tables are read no more often."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import structured
+from quern.sources import services
 
 
 def _joined(df):
@@ -37,3 +39,31 @@ def test_a_place_meets_its_questions_with_its_first_rows_only(spark, most):
         want += [(i, p[1], n + 1) for n, p in enumerate(own[:most])]
     assert rows == sorted(want)
     assert max(_joined(got)) <= 200 * 2 * most
+
+
+def test_a_summary_reads_its_blocks_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(kind):
+        read.add(1)
+        return kind
+
+    blocks = [("variation", "tariffs", 1, 2, " Name", "name"), ("variation", "access", 1, 2, None, "name"), ("variation", "access", 1, 3, "other", "name"), ("service", "faq", 1, None, None, "name"), ("variation", "faq", None, 0, "x", "X")]
+    table = spark.createDataFrame(blocks, "scope string, type string, id_service long, id_variation long, variation_short_name string, service_name string")
+    skipped = spark.createDataFrame([("a", "waf"), ("b", "waf")], "path string, kind string")
+    got = {(r["measure"], r["key"]): r["n"] for r in services.summary(table.where(noted("type").isNotNull()), skipped).collect()}
+    assert got == {
+        ("scope", "variation"): 4, ("scope", "service"): 1, ("type", "tariffs"): 1, ("type", "access"): 2, ("type", "faq"): 2, ("blocks", ""): 5, ("services", ""): 1, ("variations", ""): 2, ("single form", ""): 2, ("skipped", "waf"): 2,
+    }
+    assert read.value == len(blocks)
+    none = {(r["measure"], r["key"]): r["n"] for r in services.summary(table.limit(0), skipped.limit(0)).collect()}
+    assert none == {("blocks", ""): 0, ("services", ""): 0, ("variations", ""): 0, ("single form", ""): 0}
+
+
+def test_kinds_are_as_before_and_no_file_is_lost(spark):
+    files = [("ok", '﻿ {"idService": 3}'), ("open", '"idService": 3}'), ("none", " \n"), ("null", None), ("waf", "<HTML>"), ("soft", "Ticket ID 4"), ("zero", '{"idService": 0}'), ("no", "{"), ("list", "[1]")]
+    blocks, skipped = services.build_corpus(spark.createDataFrame(files, "path string, text string"))
+    kinds = {r["path"]: r["kind"] for r in skipped.collect()}
+    assert kinds == {"none": "empty", "null": "empty", "waf": "waf", "soft": "soft_error", "zero": "bad_json", "no": "bad_json", "list": "bad_json"}
+    assert blocks.count() == 0

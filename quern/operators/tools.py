@@ -24,15 +24,21 @@ def _told(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) != ""
 
 
-def _met(rows: DataFrame, asked: DataFrame, name_col: str, id_col: str) -> DataFrame:
-    """Rows joined with the criteria (by_id, by_name) they fit; each query is met by its identifier, else by its name."""
-    named = rows.withColumn("_row", F.monotonically_increasing_id())
-    named = stored(named.withColumns({"_low": norm_text(name_col), "_number": same_number(id_col)}), "rows")
+def _named(rows: DataFrame, name_col: str, id_col: str) -> DataFrame:
+    return rows.withColumns({"_low": norm_text(name_col), "_number": same_number(id_col)})
+
+
+def _met(named: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows with _low and _number, joined with the criteria (by_id, by_name) they fit; each query is met by its identifier, else by its name.
+
+    Equal names are searched once.
+    """
     by_number = named.join(asked.where(_told("by_id")).withColumn("_number", same_number("by_id")), "_number").where(~_told("by_name") | F.contains("_low", F.col("by_name")))
     rest = asked.where(~_told("by_id") & _told("by_name"))
-    hits = phrases.find(named, rest, "_low", "by_name", ("_row",), "anywhere").select("_row", F.col("name").alias("by_name")).distinct()
-    by_name = named.join(hits.join(rest, "by_name"), "_row")
-    return by_number.unionByName(by_name.select(by_number.columns)).drop("_row", "_low", "_number")
+    names = named.select("_low").repartition(2 * named.sparkSession.sparkContext.defaultParallelism, "_low").distinct()
+    hits = phrases.find(names, rest, "_low", "by_name", ("_low",), "anywhere").select("_low", F.col("name").alias("by_name")).distinct()
+    by_name = named.join(hits.join(rest, "by_name"), "_low")
+    return by_number.unionByName(by_name.select(by_number.columns))
 
 
 def entity_search(entities: DataFrame, queries: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
@@ -41,23 +47,28 @@ def entity_search(entities: DataFrame, queries: DataFrame, id_col: str = "id", n
     At least one must be given.
     """
     asked = stored(queries.select("query_id", F.col("by_id"), norm_text("by_name").alias("by_name")), "asked")
-    return _met(entities, asked, name_col, id_col).drop("by_id", "by_name")
+    return _met(stored(_named(entities, name_col, id_col), "rows"), asked).select(*entities.columns, "query_id")
 
 
 def announcement_search(decisions: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, decision's columns): by id, name, type and one of the printed dates, joined by and.
 
     At least one must be given.  The first of identifier, name, date and type that a
-    query has is what it is looked up by.
+    query has is what it is looked up by, date and type together if it has both.
+    Dates and types are read once a decision, not once a pair.
     """
-    days = F.transform("dates", lambda d: printed_date(d))
     asked = stored(queries.select("query_id", "by_id", norm_text("by_name").alias("by_name"), norm_text("by_type").alias("by_type"), printed_date("by_date").alias("by_date"), _told("by_date").alias("dated")), "asked")
-    met = _met(decisions, asked, "name", "id")
+    read = {"_type": norm_text("doc_type"), "_days": F.array_distinct(F.transform("dates", lambda d: printed_date(d)))}
+    rows = stored(_named(decisions, "name", "id").withColumns(read), "rows")
+    out = [*decisions.columns, "query_id"]
+    fits = (~F.col("dated") | F.array_contains("_days", F.col("by_date"))) & (~_told("by_type") | (F.col("_type") == F.col("by_type")))
+    met = _met(rows, asked).where(fits).select(out)
     rest = asked.where(~_told("by_id") & ~_told("by_name"))
-    dated = decisions.withColumn("by_date", F.explode(F.array_distinct(days))).join(rest.where("dated"), "by_date").select(met.columns)
-    typed = decisions.withColumn("by_type", norm_text("doc_type")).join(rest.where(~F.col("dated") & _told("by_type")), "by_type").select(met.columns)
-    fits = (~F.col("dated") | F.array_contains(days, F.col("by_date"))) & (~_told("by_type") | (norm_text("doc_type") == F.col("by_type")))
-    return met.unionByName(dated).unionByName(typed).where(fits).drop("by_id", "by_name", "by_type", "by_date", "dated")
+    days = rows.withColumn("by_date", F.explode("_days")).withColumnRenamed("_type", "by_type")
+    dated = days.drop("by_type").join(rest.where(F.col("dated") & ~_told("by_type")), "by_date").select(out)
+    both = days.join(rest.where(F.col("dated") & _told("by_type")), ["by_date", "by_type"]).select(out)
+    typed = rows.withColumnRenamed("_type", "by_type").join(rest.where(~F.col("dated") & _told("by_type")), "by_type").select(out)
+    return met.unionByName(dated).unionByName(both).unionByName(typed)
 
 
 def argument_problems(number: Column | str | None = None, case_number: Column | str | None = None, day: Column | str | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import any_of, col
+from quern.functions.text import any_of, col, once
 
 # They decide results and are stated as given.
 WAF_MARKERS = ("access denied", "signature id", "request rejected", "request unsuccessful", "blocked", "<html")
@@ -34,11 +34,6 @@ def is_soft_error(text: Column | str) -> Column:
     return (F.octet_length(col(text)) <= 2000) & any_of(F.lower(col(text)), SOFT_MARKERS)
 
 
-def once(value: Column, use) -> Column:
-    """use(value) with the value computed a single time, however often use has it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def classified(text: Column | str) -> Column:
     """empty, waf, soft_error, bad_json or ok, in this order; markers count in the first 600 characters."""
 

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.html import fix_links, html_to_text
+from quern.functions.text import once
 from quern.profile import MACEDONIAN, Profile
-from quern.sources.payloads import SHARED_SECTIONS, VARIATION_SECTIONS, classified, cleaned, decoded, once, row_text
+from quern.sources.payloads import SHARED_SECTIONS, VARIATION_SECTIONS, classified, cleaned, decoded, row_text
 from quern.tables import stored
 
 NAMED = "array<struct<name:string,shortName:string,selected:boolean>>"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import structured
+from quern.operators import structured, tools
 from quern.sources import services
 
 
@@ -67,3 +67,26 @@ def test_kinds_are_as_before_and_no_file_is_lost(spark):
     kinds = {r["path"]: r["kind"] for r in skipped.collect()}
     assert kinds == {"none": "empty", "null": "empty", "waf": "waf", "soft": "soft_error", "zero": "bad_json", "no": "bad_json", "list": "bad_json"}
     assert blocks.count() == 0
+
+
+def test_dates_and_types_are_read_once_a_decision(spark):
+    kinds, names = ["Упис", " бришење ", None], ["АД Прва", "Втора  дооел", "", None]
+    decisions = [(f"n{i}", f"000{i % 7}", names[i % 4], kinds[i % 3], [["1.2.2024", "02.02.2024", "1.2.2024"], ["1 февруари 2024", "x"], [None], None][i % 4]) for i in range(40)]
+    asked = [(0, "3", "", "", ""), (1, "003", "прва", "", "1.2.2024"), (2, "", "ДООЕЛ", "упис", ""), (3, "", "", "", "1.2.2024"), (4, "", "", "Бришење", "1.2.2024"), (5, "", "", "УПИС", ""), (6, "", "", "", "no day"), (7, "", "а", "", "2.2.2024"), (8, None, None, None, "2.2.2024"), (9, "", "", "упис", "no day")]
+    rows = spark.createDataFrame(decisions, "number string, id string, name string, doc_type string, dates array<string>")
+    queries = spark.createDataFrame([*asked, *((100 + i, "", "", "упис", "01.02.2024") for i in range(60))], "query_id int, by_id string, by_name string, by_type string, by_date string")
+    got = tools.announcement_search(rows, queries)
+    assert got.columns == [*rows.columns, "query_id"]
+    days = {"1.2.2024": "01.02.2024", "01.02.2024": "01.02.2024", "1 февруари 2024": "01.02.2024", "02.02.2024": "02.02.2024", "2.2.2024": "02.02.2024"}
+    norm = lambda t: " ".join((t or "").lower().split())
+    want = []
+    for q, by_id, by_name, by_type, by_date in (tuple(r) for r in queries.collect()):
+        for number, i, name, kind, dates in decisions:
+            if by_id and i.lstrip("0") != by_id.lstrip("0") or norm(by_name) not in norm(name) or by_type and norm(kind) != norm(by_type):
+                continue
+            if by_date and (by_date not in days or days[by_date] not in [days.get(d) for d in dates or []]):
+                continue
+            want.append((q, number))
+    assert sorted((r["query_id"], r["number"]) for r in got.collect()) == sorted(want)
+    # a date is parsed where it is stored, never for each pair
+    assert "regexp_extract" not in got._jdf.queryExecution().optimizedPlan().toString()
